@@ -144,9 +144,9 @@ def printable_runs(samples: DataFrame, seam: str = "seam_id", pos: str = "pos",
     """Longest stretches of consecutive samples that have a different plate on each side; ``pos`` counts by one."""
     apart = samples.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
     pair = apart.withColumn("_pair", F.concat_ws("|", left, right))
-    before = pair.select(seam, (F.col(pos) + 1).alias(pos), F.col("_pair").alias("_before"))
+    before = pair.select(seam, (F.col(pos) + 1).alias(pos), F.col("_pair").alias("_pair_before"))
     flagged = pair.join(before, [seam, pos], "left")
-    starts = F.when(F.col("_before").isNull() | (F.col("_before") != F.col("_pair")), 1).otherwise(0)
+    starts = F.when(F.col("_pair_before").isNull() | (F.col("_pair_before") != F.col("_pair")), 1).otherwise(0)
     runs = running_sum(flagged, seam, pos, starts, "run")
     return runs.groupBy(seam, "run").agg(
         F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count("*").alias("samples"),
