@@ -1 +1,8 @@
 """City-scale geodata on Spark: DataFrame operators for points, cells, features, seams and print logs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
