@@ -204,4 +204,4 @@ def coverage_gates(counts: DataFrame, limit_mm: float = 250.0) -> DataFrame:
 
     return counts.select(
         "*", enough("footprints", "mapped_buildings", 0.25).alias("buildings_ok"), enough("roofs", "footprints", 0.05).alias("roofs_ok"),
-        ~((F.col("mapped_roads") >= 10) & (F.col("roadbeds") == 0)).alias("roads_ok"), (F.col("top_mm") <= limit_mm).alias("height_ok"))
+        (~((F.col("mapped_roads") >= 10) & (F.col("roadbeds") == 0))).alias("roads_ok"), (F.col("top_mm") <= limit_mm).alias("height_ok"))

@@ -22,7 +22,7 @@ def offsets(reach, limit):
 
 
 @query("r4_fill_nearest", f"""
-    WITH g AS ({GROUND}), c AS (SELECT g.cx + dx AS cx, g.cy + dy AS cy, g.cx AS sx, g.cy AS sy, ground_m, d2 FROM g, {offsets(4, 16)} o)
+    WITH g AS ({GROUND}), c AS (SELECT g.cx + dx AS cx, g.cy + dy AS cy, g.cx AS sx, g.cy AS sy, ground_m, d2 FROM g CROSS JOIN {offsets(4, 16)} o)
     SELECT cx, cy, round(arg_min(ground_m, (d2, sy, sx)), 6) AS ground_m, min(d2) > 0 AS filled, min(d2) AS d2 FROM c GROUP BY cx, cy""")
 def _(t):
     return focal.fill_nearest(ground(t), "ground_m", 4).withColumn("ground_m", F.round("ground_m", 6))
@@ -31,7 +31,7 @@ def _(t):
 @query("r5_smooth_gaussian", f"""
     WITH g AS (SELECT cx, cy, upper_m FROM ({BINNED}) b), k AS (SELECT i, exp(-0.5*(i/0.75e0)*(i/0.75e0)) AS w FROM range(-3, 4) r(i)), n AS (SELECT i, w/(SELECT sum(w) FROM k) AS w FROM k),
     o AS (SELECT a.i AS dx, b.i AS dy, a.w*b.w AS w FROM n a, n b)
-    SELECT g.cx, g.cy, round(sum(w*h.upper_m)/greatest(sum(w), 0.01), 6) AS upper_m FROM g, o JOIN g h ON h.cx = g.cx + o.dx AND h.cy = g.cy + o.dy GROUP BY g.cx, g.cy""")
+    SELECT g.cx, g.cy, round(sum(w*h.upper_m)/greatest(sum(w), 0.01), 6) AS upper_m FROM g CROSS JOIN o JOIN g h ON h.cx = g.cx + o.dx AND h.cy = g.cy + o.dy GROUP BY g.cx, g.cy""")
 def _(t):
     out = focal.smooth_gaussian(binned(t).select("cx", "cy", "upper_m"), "upper_m", 0.75)
     return out.withColumn("upper_m", F.round("upper_m", 6))
@@ -45,8 +45,8 @@ def _(t):
 def closing_sql(r):
     o = offsets(r, r * r)
     return f"""WITH l AS (SELECT cx, cy, cls IN (1, 2) AS m FROM landcover),
-    d AS (SELECT l.cx, l.cy, bool_or(h.m) AS m FROM l, {o} o JOIN l h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy GROUP BY l.cx, l.cy),
-    e AS (SELECT l.cx, l.cy, count(*) FILTER (WHERE h.m) = 13 AS m FROM l, {o} o JOIN d h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy GROUP BY l.cx, l.cy)
+    d AS (SELECT l.cx, l.cy, bool_or(h.m) AS m FROM l CROSS JOIN {o} o JOIN l h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy GROUP BY l.cx, l.cy),
+    e AS (SELECT l.cx, l.cy, count(*) FILTER (WHERE h.m) = 13 AS m FROM l CROSS JOIN {o} o JOIN d h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy GROUP BY l.cx, l.cy)
     SELECT d.cx, d.cy, d.m AS dilated, e.m AS closed FROM d JOIN e ON d.cx = e.cx AND d.cy = e.cy"""
 
 
@@ -58,7 +58,7 @@ def _(t):
 
 
 @query("r8_distance_to", f"""
-    SELECT l.cx, l.cy, round(sqrt(min(d2) FILTER (WHERE h.cls = 4)), 6) AS distance FROM landcover l, {offsets(6, 36)} o
+    SELECT l.cx, l.cy, round(sqrt(min(d2) FILTER (WHERE h.cls = 4)), 6) AS distance FROM landcover l CROSS JOIN {offsets(6, 36)} o
     LEFT JOIN landcover h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy GROUP BY l.cx, l.cy""")
 def _(t):
     out = focal.distance_to(t.landcover.select("cx", "cy", (C("cls") == 4).cast("int").alias("water")), "water", 6)

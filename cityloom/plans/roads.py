@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as tg
 from ..functions.lattice import FT
 from ..operators import ordered, roads, spatial, stats
+from ..runtime import cut
 from .registry import query
 from .spatial import CROSSINGS, SEG, SUPPORT, way_segments
 
@@ -69,7 +70,7 @@ LINE_SAMPLES = "SELECT o_custkey AS line_id, (o_orderkey % 97)/96.0e0 AS place,
 @query("x3_theil_sen", f"""
     WITH s AS ({LINE_SAMPLES}) SELECT a.line_id, round(median((a.z - b.z)/(a.place - b.place)), 6) AS slope FROM s a JOIN s b ON a.line_id = b.line_id AND a.k < b.k AND abs(a.place - b.place) > 1e-9 GROUP BY a.line_id""")
 def _(t):
-    return line_samples(t).groupBy("line_id").agg(F.round(stats.theil_sen(C("place"), C("z")), 6).alias("slope"))
+    return line_samples(t).groupBy("line_id").agg(F.round(stats.theil_sen(C("place"), C("z")), 6).alias("slope")).where(C("slope").isNotNull() & ~F.isnan("slope"))
 
 
 @query("a13_robust_line_fit", f"""
@@ -124,14 +125,14 @@ SEAM_INSIDE = """SELECT seam_id, id, sum(sg*(1 - least(greatest(pl, 0), 1)))*100
              CASE WHEN s.x1 = s.x2 THEN (e.y1 + (e.y2-e.y1)*(s.x1-e.x1)/nullif(e.x2-e.x1, 0) - s.y1)/1000 ELSE (e.x1 + (e.x2-e.x1)*(s.y1-e.y1)/nullif(e.y2-e.y1, 0) - s.x1)/1000 END AS pl
       FROM seams s JOIN footprints f ON s.x1 <= f.maxx AND s.x2 >= f.minx AND s.y1 <= f.maxy AND s.y2 >= f.miny JOIN edges e ON e.id = f.id) q WHERE sg <> 0 GROUP BY seam_id, id"""
 NARROW = """SELECT id, CASE shape WHEN 1 THEN (maxx-minx)*(maxy-miny)/sqrt((maxx-minx)*(maxx-minx)+(maxy-miny)*(maxy-miny)) ELSE least(maxx-minx, maxy-miny) END AS narrow, name FROM footprints"""
-SEAM_CROSSINGS = f"""SELECT seam_id, i.id AS polygon_id, CASE WHEN i.id % 9 = 0 THEN 'bridge' ELSE 'building' END AS kind, name, inside, narrow, inside > narrow*1.6e0 AS along_feature FROM ({SEAM_INSIDE}) i JOIN ({NARROW}) n ON n.id = i.id WHERE inside > 2"""
+SEAM_CROSSINGS = f"""SELECT seam_id, i.id AS polygon_id, CASE WHEN i.id % 9 = 0 THEN 'bridge' ELSE 'building' END AS kind, name, inside, narrow, inside > narrow*1.6e0 AS along_feature FROM ({SEAM_INSIDE}) i JOIN ({NARROW}) n ON n.id = i.id WHERE inside > 2.5"""
 
 
 @query("j10_seam_crossings", f"""
     SELECT seam_id, polygon_id, kind, name, round(inside, 4) AS inside_length, round(narrow, 4) AS feature_width, along_feature,
            row_number() OVER (PARTITION BY seam_id ORDER BY round(inside, 6) DESC, polygon_id) AS rank FROM ({SEAM_CROSSINGS}) c""")
 def _(t):
-    out = roads.seam_crossings(seam_lines(t), _features(t), 64.0, 2.0)
+    out = roads.seam_crossings(seam_lines(t), _features(t), 64.0, 2.5)
     return out.select("seam_id", "polygon_id", "kind", "name", F.round("inside_length", 4).alias("inside_length"), F.round("feature_width", 4).alias("feature_width"), "along_feature", "rank")
 
 
@@ -152,6 +153,7 @@ def road_symbols(t):
     routes = routes.select(
         "way_id", "highway", "tags", "route_key", "support", C("v.cls").alias("cls"), tg.grade_key(C("tags")).alias("grade"), (C("length") * MM_PER_FT).alias("length_mm"))
     drawn = routes.withColumn("drawn", tg.drawn_as(C("tags"), C("cls"), C("length_mm"), tg.minimum_crossing_mm()))
+    drawn = cut(drawn, "routes")  # the spatial part runs once for the three uses below
     eligible = drawn.where(C("cls") == "carriageway")
     surface = eligible.where(C("grade") == "surface:0").select("route_key").distinct()
     widths = roads.route_widths(eligible, width_samples(t).join(surface, "route_key", "left_semi"))

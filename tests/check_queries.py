@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -16,6 +17,9 @@ from cityloom.runtime import session
 from cityloom.sources.derived import BASE_TABLES
 
 
+LIMIT_SECONDS = 60
+
+
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("SET threads=8")
@@ -25,7 +29,7 @@ def connect(folder: str):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return None
     if hasattr(value, "item"):
         value = value.item()
@@ -63,6 +67,8 @@ def main(sf: str, parts: list[str]) -> int:
         if parts and not any(p in name for p in parts):
             continue
         began = time.time()
+        watch = threading.Timer(LIMIT_SECONDS, spark.sparkContext.cancelAllJobs)
+        watch.start()
         try:
             got = fn(spark, folder).toPandas()
             took = time.time() - began
@@ -75,6 +81,8 @@ def main(sf: str, parts: list[str]) -> int:
                 verdict, note = None, f"{len(got)} rows, spark {took:.1f}s, rows only"
         except Exception as problem:  # report and go on with the next query
             verdict, note = f"{type(problem).__name__}: {str(problem)[:900]}", ""
+        finally:
+            watch.cancel()
         bad += verdict is not None
         print(("ok   " if verdict is None else "BAD  ") + name, note, verdict or "", flush=True)
     print(f"{bad} bad")
