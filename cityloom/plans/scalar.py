@@ -58,7 +58,7 @@ def _(t):
     )
 
 
-@query("p8_project_lcc", """
+ORACLE_LCC = """
     WITH c AS (SELECT c_custkey AS id, -74.2e0 + (c_custkey % 5000)/10000.0e0 AS lon, 40.5e0 + (c_custkey % 3700)/10000.0e0 AS lat FROM customer),
     k AS (SELECT sqrt(2/298.257222101e0 - (1/298.257222101e0)*(1/298.257222101e0)) AS e, radians(40 + 40/60.0e0) AS p1, radians(41 + 2/60.0e0) AS p2, radians(40 + 10/60.0e0) AS p0),
     m AS (SELECT *, cos(p1)/sqrt(1 - e*e*sin(p1)*sin(p1)) AS m1, cos(p2)/sqrt(1 - e*e*sin(p2)*sin(p2)) AS m2,
@@ -68,7 +68,10 @@ def _(t):
     g AS (SELECT *, 6378137.0e0*m1/(n*pow(t1, n)) AS f FROM n),
     r AS (SELECT id, f*pow(tan(pi()/4 - radians(lat)/2)/pow((1 - e*sin(radians(lat)))/(1 + e*sin(radians(lat))), e/2), n) AS rho, f*pow(t0, n) AS rho0,
                  n*radians(lon + 74) AS theta FROM c CROSS JOIN g)
-    SELECT id, round((rho*sin(theta) + 300000)/0.3048006096012192e0, 3) AS x, round((rho0 - rho*cos(theta))/0.3048006096012192e0, 3) AS y FROM r""")
+    SELECT id, round((rho*sin(theta) + 300000)/0.3048006096012192e0, 3) AS x, round((rho0 - rho*cos(theta))/0.3048006096012192e0, 3) AS y FROM r"""
+
+
+@query("p8_project_lcc", ORACLE_LCC)
 def _(t):
     lon = F.lit(-74.2) + (C("c_custkey") % 5000) / F.lit(10000.0)
     lat = F.lit(40.5) + (C("c_custkey") % 3700) / F.lit(10000.0)
