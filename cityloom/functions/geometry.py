@@ -108,50 +108,68 @@ def intersects(a: Column, b: Column) -> Column:
         | contains(b, a[0]["x1"], a[0]["y1"]) | contains(a, b[0]["x1"], b[0]["y1"]))
 
 
-def _strip(e: Column, f: Column, base: Column) -> Column:
-    """Signed area under both edges above ``base``: the integral of the lower one over the shared x-range."""
-    left = F.greatest(F.least(e["x1"], e["x2"]), F.least(f["x1"], f["x2"]))
-    right = F.least(F.greatest(e["x1"], e["x2"]), F.greatest(f["x1"], f["x2"]))
+def _strips(a_edge: Column, b: Column, base: Column) -> Column:
+    """Signed areas under one edge and each edge of ``b``, above ``base``, over the x-range they share.
+
+    Every step names its values once, because expressions inside array functions are evaluated as often as written.
+    """
+    e = a_edge
+    ranged = F.transform(b, lambda f: F.struct(
+        f.alias("f"), F.greatest(F.least(e["x1"], e["x2"]), F.least(f["x1"], f["x2"])).alias("l"),
+        F.least(F.greatest(e["x1"], e["x2"]), F.greatest(f["x1"], f["x2"])).alias("r")))
+    meeting = F.filter(ranged, lambda p: p["l"] < p["r"])
 
     def at(g, x):
         return g["y1"] + (g["y2"] - g["y1"]) * ((x - g["x1"]) / (g["x2"] - g["x1"])) - base
 
-    e_l, e_r, f_l, f_r = at(e, left), at(e, right), at(f, left), at(f, right)
-    d_l, d_r = e_l - f_l, e_r - f_r
-    low_l, low_r = F.least(e_l, f_l), F.least(e_r, f_r)
-    t = d_l / F.when(d_l * d_r < 0, d_l - d_r).otherwise(1.0)
-    mid = e_l + (e_r - e_l) * t
-    integral = F.when(d_l * d_r < 0, t * (low_l + mid) + (F.lit(1.0) - t) * (mid + low_r)).otherwise(low_l + low_r)
-    sign = F.signum(e["x1"] - e["x2"]) * F.signum(f["x1"] - f["x2"])
-    return F.when(left < right, sign * (right - left) * integral / 2).otherwise(0.0)
+    ends = F.transform(meeting, lambda p: F.struct(
+        at(e, p["l"]).alias("el"), at(e, p["r"]).alias("er"), at(p["f"], p["l"]).alias("fl"), at(p["f"], p["r"]).alias("fr"),
+        (F.signum(e["x1"] - e["x2"]) * F.signum(p["f"]["x1"] - p["f"]["x2"]) * (p["r"] - p["l"]) / 2).alias("w")))
+
+    def area_of(q: Column) -> Column:
+        d_l, d_r = q["el"] - q["fl"], q["er"] - q["fr"]
+        low_l, low_r = F.least(q["el"], q["fl"]), F.least(q["er"], q["fr"])
+        t = d_l / (d_l - d_r)
+        crossed = low_l * t + (q["el"] + (q["er"] - q["el"]) * t) + low_r * (F.lit(1.0) - t)
+        return q["w"] * F.when(d_l * d_r < 0, crossed).otherwise(low_l + low_r)
+
+    return F.transform(ends, area_of)
 
 
 def overlap_area(a: Column, b: Column) -> Column:
     """Exact area shared by two polygons: sum over edge pairs of signed strips, holes and concave rings included."""
-    base = F.least(F.array_min(F.transform(a, lambda e: F.least(e["y1"], e["y2"]))),
-                   F.array_min(F.transform(b, lambda e: F.least(e["y1"], e["y2"]))))
-    return F.aggregate(a, F.lit(0.0), lambda acc, e: acc + F.aggregate(b, F.lit(0.0), lambda s, f: s + _strip(e, f, base)))
+    base = F.array_min(F.transform(F.concat(a, b), lambda e: F.least(e["y1"], e["y2"])))
+    based = F.transform(F.array(base), lambda y: F.aggregate(
+        a, F.lit(0.0), lambda acc, e: F.aggregate(_strips(e, b, y), acc, lambda s, v: s + v)))
+    return based[0]
+
 
+def once(df, name: str, value: Column):
+    """``df`` with a column that is computed a single time, even when a later filter looks at it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-def crossing(e: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Struct ``(sign, at)``: whether a segment enters (+1) or leaves (-1) across an edge, and where (0 to 1, clamped)."""
+
+def crossings(edges: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Where a segment crosses the edges: structs of ``sign`` (+1 enters, -1 leaves) and ``at`` (0 to 1, clamped)."""
     dx, dy = x2 - x1, y2 - y1
-    a = dx * (e["y1"] - y1) - dy * (e["x1"] - x1)
-    b = dx * (e["y2"] - y1) - dy * (e["x2"] - x1)
-    sign = (a >= 0).cast("int") - (b >= 0).cast("int")
-    u = a / F.when(sign != 0, a - b).otherwise(1.0)
-    px, py = e["x1"] + (e["x2"] - e["x1"]) * u - x1, e["y1"] + (e["y2"] - e["y1"]) * u - y1
-    long2 = dx * dx + dy * dy
-    at = (px * dx + py * dy) / F.when(long2 > 0, long2).otherwise(1.0)
-    return F.struct(sign.alias("sign"), F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)).alias("at"))
+    sided = F.transform(edges, lambda e: F.struct(
+        e.alias("e"), (dx * (e["y1"] - y1) - dy * (e["x1"] - x1)).alias("a"), (dx * (e["y2"] - y1) - dy * (e["x2"] - x1)).alias("b")))
+    met = F.filter(sided, lambda s: (s["a"] >= 0) != (s["b"] >= 0))
+    cut_at = F.transform(met, lambda s: F.struct(
+        F.when(s["a"] >= 0, 1).otherwise(-1).alias("sign"), (s["a"] / (s["a"] - s["b"])).alias("u"), s["e"].alias("e")))
+
+    def place(c: Column) -> Column:
+        px = c["e"]["x1"] + (c["e"]["x2"] - c["e"]["x1"]) * c["u"] - x1
+        py = c["e"]["y1"] + (c["e"]["y2"] - c["e"]["y1"]) * c["u"] - y1
+        return F.struct(c["sign"].alias("sign"), F.least(F.greatest((px * dx + py * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)).alias("at"))
+
+    return F.transform(cut_at, place)
 
 
 def covered_share(edges: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Share of a segment that lies inside a polygon: entries and exits weighted by what is left of the segment."""
-    def term(e):
-        c = crossing(e, x1, y1, x2, y2)
-        return c["sign"] * (F.lit(1.0) - c["at"])
-    return F.when((x1 != x2) | (y1 != y2), _sum(edges, term)).otherwise(0.0)
+    marks = crossings(edges, x1, y1, x2, y2)
+    return F.aggregate(marks, F.lit(0.0), lambda acc, c: acc + c["sign"] * (F.lit(1.0) - c["at"]))
 
 
 def distance_to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -131,7 +131,7 @@ def tile_sources(tiles: DataFrame, sources: DataFrame, halo: float, size: float)
 
 def overlap_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """Pairs of polygons that share area, with the exact shared area."""
-    pairs = bbox_join(left, right, size).withColumn("overlap", g.overlap_area(F.col("a_edges"), F.col("b_edges")))
+    pairs = g.once(bbox_join(left, right, size), "overlap", g.overlap_area(F.col("a_edges"), F.col("b_edges")))
     return pairs.where(F.col("overlap") > 1e-9)
 
 
@@ -176,8 +176,8 @@ def line_support(segments: DataFrame, polygons: DataFrame, size: float, line: st
     key = [F.col(f"a_{line}").alias(line), F.col("a_pos").alias("pos"), F.col("a_piece").alias("piece")]
     events = pairs.select(
         *key, F.hypot(ends[2] - ends[0], ends[3] - ends[1]).alias("piece_length"),
-        F.explode(F.transform("b_edges", lambda e: g.crossing(e, *ends))).alias("c"),
-    ).where(F.col("c.sign") != 0).groupBy(line, "pos", "piece", "piece_length", F.col("c.at").alias("at")).agg(F.sum("c.sign").alias("sign"))
+        F.explode(g.crossings(F.col("b_edges"), *ends)).alias("c"),
+    ).groupBy(line, "pos", "piece", "piece_length", F.col("c.at").alias("at")).agg(F.sum("c.sign").alias("sign"))
     w = Window.partitionBy(line, "pos", "piece", "piece_length").orderBy("at")
     depth = F.sum("sign").over(w.rowsBetween(Window.unboundedPreceding, 0))
     reach = F.coalesce(F.lead("at").over(w), F.lit(1.0)) - F.col("at")
