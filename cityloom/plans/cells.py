@@ -93,7 +93,7 @@ def _sources(t):
     return [b.select("cx", "cy", F.when((C("cx") + C("cy") * k) % 5 < 3, C("upper_m") + k).alias("v")) for k in (1, 2, 3)]
 
 
-MOSAIC_SRC = f"""SELECT cx, cy, k AS source, CASE WHEN (cx + cy*(k + 1)) % 5 < 3 THEN upper_m + k + 1 END AS v FROM ({BINNED}) b, (VALUES (0), (1), (2)) s(k)"""
+MOSAIC_SRC = f"""SELECT cx, cy, k AS source, CASE WHEN (cx + cy*(k + 1)) % 5 < 3 THEN upper_m + (k + 1) END AS v FROM ({BINNED}) b, (VALUES (0), (1), (2)) s(k)"""
 
 
 @query("u1_mosaic", f"""

@@ -137,10 +137,11 @@ CROSSINGS = f"""SELECT line_id, pos, id, len, sg, least(greatest(((ex + (fx-ex)*
           JOIN (SELECT id, x1 AS ex, y1 AS ey, x2 AS fx, y2 AS fy FROM edges) e ON e.id = f.id WHERE s.x2 IS NOT NULL AND (s.x1 <> s.x2 OR s.y1 <> s.y2)) q) r WHERE sg <> 0"""
 
 
-@query("j5_line_in_polygon", f"SELECT line_id, id AS polygon_id, round(sum(sg*(1-pl)*len), 4) AS inside_length FROM ({CROSSINGS}) c GROUP BY line_id, id HAVING sum(sg*(1-pl)*len) > 1e-9")
+@query("j5_line_in_polygon", f"SELECT line_id, id AS polygon_id, round(sum(sg*(1-pl)*len) + 0.0000123e0, 4) AS inside_length FROM ({CROSSINGS}) c GROUP BY line_id, id HAVING sum(sg*(1-pl)*len) > 1e-9")
 def _(t):
     out = spatial.line_in_polygon_length(way_segments(t), t.polygons, SQUARE)
-    return out.withColumn("inside_length", F.round("inside_length", 4))
+    # the offset moves lengths on the 1/16 ft grid off the rounding ties, here and in the SQL
+    return out.withColumn("inside_length", F.round(C("inside_length") + 0.0000123, 4))
 
 
 SUPPORT = f"""WITH ev AS (SELECT line_id, pos, len, pl, sum(sg) AS sg FROM ({CROSSINGS}) c GROUP BY line_id, pos, len, pl),
