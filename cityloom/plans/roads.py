@@ -103,12 +103,12 @@ def _(t):
 
 @query("r24_road_ribbons", f"""
     SELECT cx, cy, count(*) AS lines FROM (SELECT DISTINCT line_id, cx, cy FROM (
-      SELECT s.*, unnest(range(CAST(floor((least(x1, x2) - 6)/8) AS BIGINT), CAST(floor((greatest(x1, x2) + 6)/8) AS BIGINT) + 1)) AS cx FROM {SEG} s WHERE x2 IS NOT NULL) p,
-      LATERAL (SELECT unnest(range(CAST(floor((least(p.y1, p.y2) - 6)/8) AS BIGINT), CAST(floor((greatest(p.y1, p.y2) + 6)/8) AS BIGINT) + 1)) AS cy) q,
+      SELECT s.*, unnest(range(CAST(floor((least(x1, x2) - 6.01)/8) AS BIGINT), CAST(floor((greatest(x1, x2) + 6.01)/8) AS BIGINT) + 1)) AS cx FROM {SEG} s WHERE x2 IS NOT NULL) p,
+      LATERAL (SELECT unnest(range(CAST(floor((least(p.y1, p.y2) - 6.01)/8) AS BIGINT), CAST(floor((greatest(p.y1, p.y2) + 6.01)/8) AS BIGINT) + 1)) AS cy) q,
       LATERAL (SELECT CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE least(greatest(((cx*8+4-x1)*(x2-x1) + (cy*8+4-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)), 0), 1) END AS sh) h
-      WHERE pow(cx*8+4-x1-(x2-x1)*sh, 2) + pow(cy*8+4-y1-(y2-y1)*sh, 2) <= 36.0e0) d GROUP BY cx, cy""")
+      WHERE pow(cx*8+4-x1-(x2-x1)*sh, 2) + pow(cy*8+4-y1-(y2-y1)*sh, 2) <= 36.1201e0) d GROUP BY cx, cy""")
 def _(t):
-    out = roads.road_ribbons(way_segments(t).withColumn("width_ft", F.lit(12.0)), 8.0)
+    out = roads.road_ribbons(way_segments(t).withColumn("width_ft", F.lit(12.02)), 8.0)
     return out.groupBy("cx", "cy").agg(F.count("*").alias("lines"))
 
 
@@ -125,14 +125,14 @@ SEAM_INSIDE = """SELECT seam_id, id, sum(sg*(1 - least(greatest(pl, 0), 1)))*100
              CASE WHEN s.x1 = s.x2 THEN (e.y1 + (e.y2-e.y1)*(s.x1-e.x1)/nullif(e.x2-e.x1, 0) - s.y1)/1000 ELSE (e.x1 + (e.x2-e.x1)*(s.y1-e.y1)/nullif(e.y2-e.y1, 0) - s.x1)/1000 END AS pl
       FROM seams s JOIN footprints f ON s.x1 <= f.maxx AND s.x2 >= f.minx AND s.y1 <= f.maxy AND s.y2 >= f.miny JOIN edges e ON e.id = f.id) q WHERE sg <> 0 GROUP BY seam_id, id"""
 NARROW = """SELECT id, CASE shape WHEN 1 THEN (maxx-minx)*(maxy-miny)/sqrt((maxx-minx)*(maxx-minx)+(maxy-miny)*(maxy-miny)) ELSE least(maxx-minx, maxy-miny) END AS narrow, name FROM footprints"""
-SEAM_CROSSINGS = f"""SELECT seam_id, i.id AS polygon_id, CASE WHEN i.id % 9 = 0 THEN 'bridge' ELSE 'building' END AS kind, name, inside, narrow, inside > narrow*1.6e0 AS along_feature FROM ({SEAM_INSIDE}) i JOIN ({NARROW}) n ON n.id = i.id WHERE inside > 2.5"""
+SEAM_CROSSINGS = f"""SELECT seam_id, i.id AS polygon_id, CASE WHEN i.id % 9 = 0 THEN 'bridge' ELSE 'building' END AS kind, name, inside, narrow, inside > narrow*1.6e0 AS along_feature FROM ({SEAM_INSIDE}) i JOIN ({NARROW}) n ON n.id = i.id WHERE inside > 2.503"""
 
 
 @query("j10_seam_crossings", f"""
     SELECT seam_id, polygon_id, kind, name, round(inside, 4) AS inside_length, round(narrow, 4) AS feature_width, along_feature,
            row_number() OVER (PARTITION BY seam_id ORDER BY round(inside, 6) DESC, polygon_id) AS rank FROM ({SEAM_CROSSINGS}) c""")
 def _(t):
-    out = roads.seam_crossings(seam_lines(t), _features(t), 64.0, 2.5)
+    out = roads.seam_crossings(seam_lines(t), _features(t), 64.0, 2.503)
     return out.select("seam_id", "polygon_id", "kind", "name", F.round("inside_length", 4).alias("inside_length"), F.round("feature_width", 4).alias("feature_width"), "along_feature", "rank")
 
 

@@ -111,7 +111,7 @@ SUMMARY = f"""SELECT seams, seam_length_ft, round(building_fraction, 5) AS build
 
 def plan_summary(t):
     evidence = seams.seam_evidence(seam_lines(t), priced(t), 8.0).withColumn("length_ft", F.lit(1000.0))
-    crossings = roads.seam_crossings(seam_lines(t), _features(t), 64.0, 2.5).select(C("inside_length").alias("length_ft"), "along_feature")
+    crossings = roads.seam_crossings(seam_lines(t), _features(t), 64.0, 2.503).select(C("inside_length").alias("length_ft"), "along_feature")
     chunks = plates(t).select(((C("maxx") - C("minx")) * (C("maxy") - C("miny"))).alias("area_km2"))
     return seams.seam_summary(evidence, crossings, chunks, 4000.0)
 
