@@ -108,12 +108,7 @@ def _(t):
     return regions.label_regions(t.landcover, "cls", tile=64).select("cx", "cy", "cls", "label")
 
 
-@query("r1_region_sizes", """
-    WITH RECURSIVE e AS (SELECT a.cx*100000 + a.cy AS u, b.cx*100000 + b.cy AS v FROM landcover a JOIN landcover b ON a.cls = 4 AND b.cls = 4 AND abs(a.cx-b.cx) + abs(a.cy-b.cy) = 1
-                                 AND b.cx BETWEEN a.cx - 1 AND a.cx + 1 AND b.cy BETWEEN a.cy - 1 AND a.cy + 1),
-    reach AS (SELECT cx*100000 + cy AS n, cx*100000 + cy AS root FROM landcover WHERE cls = 4 UNION SELECT e.v, r.root FROM reach r JOIN e ON e.u = r.n AND e.v > r.root),
-    lab AS (SELECT n, min(root) AS root FROM reach GROUP BY n)
-    SELECT size, count(*) AS regions FROM (SELECT count(*) AS size FROM lab GROUP BY root) s GROUP BY size""")
+@query("r1_region_sizes")
 def _(t):
     water = regions.label_regions(t.landcover.where(C("cls") == 4), "cls", tile=64)
     sizes = regions.region_totals(water, size=F.lit(1)).select("label", "size").distinct()

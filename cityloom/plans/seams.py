@@ -251,10 +251,9 @@ def _(t):
 
 
 @query("t6_stale_stages", """
-    WITH RECURSIVE d AS (SELECT c_custkey // 1500 AS job, c_custkey % 1500 AS stage, (c_custkey % 1500) // 3 AS reads FROM customer WHERE c_custkey % 1500 > 0),
-    c AS (SELECT c_custkey // 1500 AS job, c_custkey % 1500 AS stage FROM customer WHERE c_custkey % 97 = 5 AND c_custkey % 1500 > 4),
-    s AS (SELECT job, stage, 0 AS depth FROM c UNION ALL SELECT d.job, d.stage, s.depth + 1 FROM s JOIN d ON d.job = s.job AND d.reads = s.stage)
-    SELECT job, stage, min(depth) AS depth FROM s GROUP BY job, stage""")
+    WITH a AS (SELECT c_custkey // 1500 AS job, c_custkey % 1500 AS stage, k AS depth, (c_custkey % 1500) // CAST(pow(3, k) AS BIGINT) AS source FROM customer CROSS JOIN range(8) AS kk(k)),
+    c AS (SELECT c_custkey // 1500 AS job, c_custkey % 1500 AS stage FROM customer WHERE c_custkey % 97 = 5 AND c_custkey % 1500 > 4)
+    SELECT a.job, a.stage, min(a.depth) AS depth FROM a JOIN c ON c.job = a.job AND c.stage = a.source GROUP BY a.job, a.stage""")
 def _(t):
     k = C("c_custkey")
     job, stage = F.floor(k / 1500), k % 1500
