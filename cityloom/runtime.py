@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +30,9 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "c
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session that leaves the setting empty gets a folder of its own.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir`` where the session has it, else one below its warehouse."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    own = getattr(spark, "_cityloom_scratch", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark._cityloom_scratch = own
-    return own
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cityloom-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,3 +48,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of earlier rounds, in whatever file system holds them."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Rounds:
+    """Tables of a loop: each is written to the shared folder and read back; ``drop`` removes those no longer read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.live, self.made = spark, scratch_path(spark, name), {}, 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as the newest table of this name. The one before stays until ``drop``, as plans may still read it."""
+        self.made += 1
+        path = f"{self.base}/{name}-{self.made}"
+        df.write.mode("errorifexists").parquet(path)
+        self.live.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str, newest: int = 1) -> None:
+        """Delete all but the ``newest`` tables of this name."""
+        paths = self.live.get(name, [])
+        gone = paths[: len(paths) - newest]
+        discard(self.spark, *gone)
+        self.live[name] = paths[len(gone):]
