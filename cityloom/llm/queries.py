@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, substrings
+from . import bpe, packing, secrets, sharding, simhash, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_secrets", secrets.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op2_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = bpe.vocabulary(spark, vocabulary_path())
@@ -39,6 +44,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+@query("op3_sharding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op7_substrings")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
