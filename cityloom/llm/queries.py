@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, sharding, simhash, substrings
+from . import bpe, hamming, orderhash, packing, quality, secrets, sharding, simhash, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+HAMMING_SQL = f"""
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+packed AS (SELECT vec_id, CAST(array_to_string(bits[1:{hamming.WIDTH}], '') AS BIT) AS code FROM codes),
+pairs AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, n.code)) AS INTEGER) AS distance
+  FROM packed q, packed n WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= {hamming.TOP}"""
+
+
+@query("op4_hamming", HAMMING_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.search(codes, codes.where("id % 50 = 0"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade")))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "score", "expected_grade", "tail", (F.col("tail") >= quality.LEAST_TAIL).alias("selected"))
+
+
 @query("op7_substrings")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
@@ -65,3 +88,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = bpe.vocabulary(spark, vocabulary_path())
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocab))
+
+
+@query("op10_orderhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = orderhash.with_edits(table(spark, sf_dir, "documents"))
+    return pairs.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
