@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, orderhash, packing, quality, secrets, sharding, simhash, substrings
+from . import bpe, hamming, orderhash, packing, quality, secrets, sharding, simhash, substrings, transcripts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", "expected_grade", "tail", (F.col("tail") >= quality.LEAST_TAIL).alias("selected"))
 
 
+@query("op6_transcripts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    raw = turns.select("conv_id", "turn", "role", transcripts.transcript(F.col("role"), F.col("conv_id"), F.col("turn"), F.col("text")).alias("text"))
+    return transcripts.parse(raw.drop("role"), transcripts.fit(raw))
+
+
 @query("op7_substrings")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
