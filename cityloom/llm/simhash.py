@@ -24,17 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Rounds, cut
-from .common import components, shuffle_partitions, slices
+from .common import components, mix, shuffle_partitions, slices
 
 SEED = 42
 CROWD = 20_000
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Majority of each bit over the hashes of all word shingles, repeats included; set only if over half have it."""
+def fingerprint(text: str | None, width: int = 3, tables: int = 1) -> list[int]:
+    """Majority of each bit over the hashes of all word shingles, repeats included; set only if over half have it.
+
+    Further tables repeat this with the hashes mixed anew: independent fingerprints of the same shingles.
+    """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * tables
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -43,24 +46,26 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     else:
         begins = (ends - sizes)[: len(words) - width + 1].tolist()
         hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends[width - 1:].tolist())]
-    set_bits = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        block = np.array(hashes[i:i + (1 << 15)], "<u8")
-        set_bits += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+    set_bits = np.zeros((tables, 64), np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        block = np.array(hashes[i:i + (1 << 14)], "<u8")
+        for t in range(tables):
+            own = block if t == 0 else mix(block + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64))
+            set_bits[t] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` of every row; the fingerprint as a signed 64-bit integer."""
-    names, types = ["doc_id", "fingerprint"], [pa.int64(), pa.int64()]
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fp0, fp1, …`` of every row: a fingerprint for each table, as signed 64-bit integers."""
+    names = ["doc_id", *[f"fp{t}" for t in range(tables)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            prints = np.array([fingerprint(t, width) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, types[1])], names=names)
+            prints = np.array([fingerprint(t, width, tables) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(prints[:, t], pa.int64()) for t in range(tables)]], names=names)
 
     chosen = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    return chosen.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def signatures(prints: DataFrame) -> DataFrame:
@@ -186,12 +191,34 @@ def near_links(prints: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFr
     return links.unionByName(again).distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row: the smallest id that chains of near fingerprints reach."""
-    prints = cut(fingerprints(docs, width, id, text), "prints")
-    smallest = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "smallest")
-    labels = components(near_links(smallest, radius, crowd), docs.sparkSession, "simhash")
-    member = smallest.join(labels, smallest.fingerprint == labels.node, "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row: the smallest id that chains of near fingerprints, of any table, reach.
+
+    Rows with the same fingerprints form a class. A fingerprint stands for the smallest class that has it: classes that
+    share one link to that class, and near fingerprints link the classes they stand for.
+    """
+    prints = cut(fingerprints(docs, width, tables, id, text), "prints")
+    columns = [f"fp{t}" for t in range(tables)]
+    class_of = F.col("fp0") if tables == 1 else F.xxhash64(*columns)
+    classes = cut(prints.groupBy(class_of.alias("class"), *columns).agg(F.min("doc_id").alias("least_id")), "classes")
+    links = None
+    for column in columns:
+        stands = cut(classes.groupBy(F.col(column).alias("fingerprint")).agg(F.min("class").alias("stands")), "stands")
+        near = near_links(stands, radius, crowd)
+        ends = [stands.select(F.col("fingerprint").alias(x), F.col("stands").alias(f"of_{x}")) for x in ("a", "b")]
+        own = near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        shared = classes.join(stands, F.col(column) == F.col("fingerprint")).where("class <> stands").select(F.col("class").alias("a"), F.col("stands").alias("b"))
+        found = own if tables == 1 else own.unionByName(shared)
+        links = found if links is None else links.unionByName(found)
+    labels = components(links, docs.sparkSession, "simhash")
+    member = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = cut(member.join(least, "root").select(F.col("fingerprint").alias("fp"), "component_id"), "named")
-    return prints.join(named, prints.fingerprint == named.fp).select("doc_id", "fingerprint", "component_id")
+    named = cut(member.join(least, "root").select("class", "component_id"), "named")
+    return prints.withColumn("class", class_of).join(named, "class").select("doc_id", F.col("fp0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id. Rows without an id stay."""
+    kept = near_groups(docs.where(F.col(id).isNotNull()), width, radius, tables, id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col(id).isNotNull()).join(kept, F.col(id).cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates([id])
+    return named.unionByName(docs.where(F.col(id).isNull()))
