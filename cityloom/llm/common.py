@@ -59,13 +59,16 @@ def components(links: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     its label, so chains shorten by halves. Each round is written to the shared folder; the driver sees one count a round.
     """
     rounds = Rounds(spark, name)
-    both = rounds.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = rounds.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    once = rounds.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    ends = once.select(F.col("a").alias("node"), "a").union(once.select(F.col("b").alias("node"), "a"))
+    labels = rounds.keep(ends.groupBy("node").agg(F.min("a").alias("root")), "labels")
     while True:
-        offered = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
+        down = once.join(labels, once.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("offer"))
+        up = once.join(labels, once.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
+        offered = down.unionByName(up).groupBy("node").agg(F.min("offer").alias("offer"))
         hooked = labels.join(offered, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("offer", "root")).alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        jumped = hooked.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("higher", "root")).alias("root"))
+        above = labels.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        jumped = hooked.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("higher", "root")).alias("root"))
         step = rounds.keep(jumped, "labels")
         labels = step.select("node", "root")
         rounds.drop("labels", 1)

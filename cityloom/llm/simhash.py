@@ -87,11 +87,11 @@ def signatures(prints: DataFrame) -> DataFrame:
 
 def spanning(points: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Links that connect whatever fingerprints of a group chains of near ones connect: a forest, not all pairs."""
-    left, right, rest = [], [], points
+    left, right, rest = [], [], np.sort(points)  # smallest first: the same centres in every signature, hence the same links
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
-            node = frontier.pop()
+            node = frontier.pop(0)
             near = np.bitwise_count(rest ^ node) <= radius
             if near.any():
                 reached = rest[near]
