@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import slices
 
 BITS = 22
-SAMPLE = 16_000
+SAMPLE = 12_000
 LEAST_ROWS = 6
 ROUNDS = 120
 RIDGE = 1e-3
@@ -110,8 +110,9 @@ def fit_rows(indices: np.ndarray, sizes: np.ndarray, grades: np.ndarray, bits: i
     used = np.flatnonzero(seen >= least_rows)
     place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    row, column = np.repeat(np.arange(len(grades)), sizes), place[indices]
+    row, column = np.repeat(np.arange(len(grades), dtype=np.int32), sizes), place[indices]
     row, column = row[column >= 0], column[column >= 0]
+    del place, seen
     share = np.bincount(grades, minlength=levels) / len(grades)
     upto = np.clip(np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
     first = np.log(upto / (1 - upto))
@@ -144,10 +145,10 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).when((quality == 1) & (toxic == 0), 2).cast("int")
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, bits: int = BITS, id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, bits: int = BITS, id: str = "doc_id", text: str = "text") -> Model:
     """A model from the graded documents; of more than ``sample`` of them, those whose ids hash lowest."""
-    rated = grades.where(F.col("grade").isNotNull()).select(F.col(id).alias("_rated"), "grade")
-    lowest = rated.groupBy("_rated").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("_rated"), "_rated").limit(sample)
+    known = rated.where(F.col("grade").isNotNull()).select(F.col(id).alias("_rated"), "grade")
+    lowest = known.groupBy("_rated").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("_rated"), "_rated").limit(sample)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(lowest), F.col("_id") == F.col("_rated"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,9 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, bits: int = BI
     held = rows.select("grade", "text").mapInArrow(run, "grade int, features binary").toArrow()
     lists = [np.frombuffer(x, np.int32) for x in held.column("features").to_pylist()]
     indices = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-    return fit_rows(indices, np.fromiter(map(len, lists), np.int64, len(lists)), held.column("grade").to_numpy().astype(np.int64), bits)
+    sizes, grades = np.fromiter(map(len, lists), np.int64, len(lists)), held.column("grade").to_numpy().astype(np.int64)
+    del held, lists
+    return fit_rows(indices, sizes, grades, bits)
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS, text: str = "text") -> DataFrame:
