@@ -107,7 +107,7 @@ def opening_report(audited: DataFrame) -> DataFrame:
         *[F.count_if(F.col("problem") == p).alias(p.replace(" ", "_")) for p in ("span missing", "span invalid", "roof missing", "roof too thin", "span too long")])
 
 
-def stale_stages(deps: DataFrame, changed: DataFrame, most_rounds: int = 64) -> DataFrame:
+def stale_stages(deps: DataFrame, changed: DataFrame) -> DataFrame:
     """Stages that must run again: the changed ones and all that read them, directly or through others.
 
     ``deps`` are ``job, stage, reads``; ``changed`` ``job, stage``. The frontier moves one reader further per round and
@@ -115,10 +115,11 @@ def stale_stages(deps: DataFrame, changed: DataFrame, most_rounds: int = 64) ->
     """
     stale = cut(changed.select("job", "stage").distinct().withColumn("depth", F.lit(0)), "stale")
     frontier = stale
-    for depth in range(1, most_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         readers = deps.join(frontier.select("job", F.col("stage").alias("reads")), ["job", "reads"]).select("job", "stage").distinct()
         fresh = cut(readers.join(stale, ["job", "stage"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if not fresh.limit(1).count():
             return stale
         stale, frontier = cut(stale.unionByName(fresh), "stale"), fresh
-    raise ValueError(f"stages depend on each other through more than {most_rounds} steps")

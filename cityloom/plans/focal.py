@@ -10,11 +10,11 @@ from .cells import BINNED, binned
 from .registry import query
 
 C = F.col
-GROUND = f"SELECT cx, cy, ground_m FROM ({BINNED}) b WHERE ground_m IS NOT NULL AND ground_points > 1"
+GROUND = f"SELECT cx, cy, ground_m FROM ({BINNED}) b WHERE ground_m IS NOT NULL"
 
 
 def ground(t):
-    return binned(t).where(C("ground_m").isNotNull() & (C("ground_points") > 1)).select("cx", "cy", "ground_m")
+    return binned(t).where(C("ground_m").isNotNull()).select("cx", "cy", "ground_m")
 
 
 def offsets(reach, limit):

@@ -73,18 +73,21 @@ def ingest_lonlat_csv(spark: SparkSession, path: str, lon: str, lat: str) -> Dat
 
 
 FEATURES = """features array<struct<properties: map<string,string>,
-    geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"""
+    geometry: struct<type: string, coordinates: string>>>"""
 
 
 def features_of_pages(pages: DataFrame) -> DataFrame:
     """One row per feature of parsed GeoJSON pages; ``page_offset`` plus the place in the page is its source order."""
     rows = pages.select("page_offset", F.posexplode("features").alias("k", "f"))
-    rings = F.transform(F.col("f.geometry.coordinates"), lambda r: _ring(F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    text, one = F.col("f.geometry.coordinates"), "array<array<array<double>>>"
+    several = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(text, f"array<{one}>")).otherwise(F.array(F.from_json(text, one)))
+    polygons = F.filter(several, lambda p: F.size(p) > 0)
+    points = lambda ring: _ring(F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     props = F.col("f.properties")
-    edges = F.flatten(F.transform(F.transform(rings, g.ring_edges), lambda r, i: _turned(r, i == 0)))
+    edges = F.flatten(F.transform(polygons, lambda p: F.flatten(F.transform(p, lambda ring, i: _turned(g.ring_edges(points(ring)), i == 0)))))
     parsed = rows.select(
         (F.col("page_offset") + F.col("k")).cast("bigint").alias("source_order"), clean_id(props["doitt_id"]).alias("doitt_id"), clean_id(props["bin"]).alias("bin"),
-        to_number(props["height_roof"]).alias("height_roof"), F.when(F.size(rings) > 0, edges).alias("edges"))
+        to_number(props["height_roof"]).alias("height_roof"), F.when(F.size(polygons) > 0, edges).alias("edges"))
     return with_box(parsed.where(F.col("edges").isNotNull()))
 
 
