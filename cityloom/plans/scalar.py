@@ -140,7 +140,7 @@ def _(t):
 
 @query("f3_tagged_width", """
     SELECT way_id, CASE WHEN way_id % 6 = 0 THEN 9.0e0 WHEN way_id % 6 = 1 THEN round(9.144e0, 6) WHEN way_id % 5 = 0 THEN 6.4e0 WHEN way_id % 5 = 1 THEN 12.8e0 END AS width_m,
-           CASE WHEN way_id % 6 < 2 THEN 'OSM width tag' WHEN way_id % 5 < 2 THEN 'OSM lane-count fallback' END AS method FROM ways""")
+           CASE WHEN way_id % 6 < 2 THEN 'width_tag' WHEN way_id % 5 < 2 THEN 'lane_count' END AS method FROM ways""")
 def _(t):
     w = tags.tagged_width(C("tags"))
     return _tags(t).select("way_id", F.round(w["width_m"], 6).alias("width_m"), w["method"].alias("method"))
@@ -181,13 +181,13 @@ CLASS_SQL = """
         WHEN highway = 'service' THEN CASE WHEN way_id % 12 = 3 THEN 'other' WHEN evidence >= 1 AND (paved OR support >= 0.5) THEN 'carriageway'
                                            WHEN named AND support >= 0.7 THEN 'carriageway' ELSE 'other' END
         WHEN highway = 'road' AND support >= 0.7 THEN 'carriageway' ELSE 'other' END AS cls,
-      CASE WHEN highway IN ('footway', 'cycleway', 'steps') THEN concat('categorical trail class highway=', highway)
-        WHEN highway IN ('motorway', 'primary', 'residential', 'tertiary_link') THEN concat('established carriageway class highway=', highway)
-        WHEN highway = 'pedestrian' THEN CASE WHEN paved AND evidence >= 2 AND (named OR support >= 0.7) THEN 'pedestrian access with strong carriageway-form metadata'
-                                              ELSE 'pedestrian feature lacks strong carriageway-form metadata' END
-        WHEN highway = 'service' THEN CASE WHEN way_id % 12 = 3 THEN 'minor service=alley' WHEN evidence >= 1 AND (paved OR support >= 0.5) THEN 'service way with carriageway-form metadata'
-                                           WHEN named AND support >= 0.7 THEN 'named service way supported by measured roadbed' ELSE 'service way lacks sufficient carriageway evidence' END
-        WHEN support >= 0.7 THEN 'generic road supported by measured roadbed' ELSE 'unsupported highway=road' END AS reason FROM w)"""
+      CASE WHEN highway IN ('footway', 'cycleway', 'steps') THEN concat('by_class:', highway)
+        WHEN highway IN ('motorway', 'primary', 'residential', 'tertiary_link') THEN concat('by_class:', highway)
+        WHEN highway = 'pedestrian' THEN CASE WHEN paved AND evidence >= 2 AND (named OR support >= 0.7) THEN 'walk_tagged_as_road'
+                                              ELSE 'walk' END
+        WHEN highway = 'service' THEN CASE WHEN way_id % 12 = 3 THEN 'service_kind:alley' WHEN evidence >= 1 AND (paved OR support >= 0.5) THEN 'service_tagged'
+                                           WHEN named AND support >= 0.7 THEN 'service_on_roadbed' ELSE 'service_unproven' END
+        WHEN support >= 0.7 THEN 'road_on_roadbed' ELSE 'unknown:road' END AS reason FROM w)"""
 
 
 def _classified(t):
