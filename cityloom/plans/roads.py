@@ -34,7 +34,7 @@ def width_samples(t):
     WITH s AS (SELECT route_key, quantile_cont(width_m, 0.3) AS measured, count(*) AS samples FROM ({SAMPLES_SQL}) q GROUP BY 1),
     w AS (SELECT {KEY_SQL} AS route_key, median({WIDTH_SQL}) AS tagged, max({DEFAULT_SQL}) AS by_class, bool_or(highway IN ('motorway', 'primary')) AS major, count(*) AS ways FROM ways GROUP BY 1)
     SELECT route_key, ways, round(least(greatest(coalesce(measured, tagged, by_class), 2.5), 60), 6) AS width_m,
-           CASE WHEN measured IS NOT NULL THEN 'roadbed normal cross-sections, p30' WHEN tagged IS NOT NULL THEN 'OSM width/lane metadata fallback' ELSE 'road-class physical-width fallback' END AS method,
+           CASE WHEN measured IS NOT NULL THEN 'measured_p30' WHEN tagged IS NOT NULL THEN 'tags' ELSE 'class' END AS method,
            coalesce(samples, 0) AS samples, major, CASE WHEN major THEN 1.0e0 ELSE 0.875e0 END AS printed_mm FROM w LEFT JOIN s USING (route_key)""")
 def _(t):
     routes = _ways(t).withColumn("route_key", tg.route_key(C("tags"), C("way_id")))
