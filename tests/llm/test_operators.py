@@ -185,12 +185,14 @@ def test_sharding_law(spark, corpus):
     assert all(r["size"] == len((r.text or "").encode()) + 16 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in rows)
 
 
-def test_hamming_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("block,run", [(None, hamming.RUN), (16, 2)])
+def test_hamming_top_k_equals_brute_force(spark, block, run):
     rng = np.random.default_rng(4)
     codes = rng.integers(-(2**63), 2**63 - 1, 60).tolist()
     codes += [codes[0] ^ (1 << b) for b in range(12)] + [codes[0]] * 15 + [None]
     rows = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
-    got = {(r.query_id, r["rank"]): (r.neighbor_id, r.distance) for r in hamming.search(rows, rows.where("id % 20 = 0"), k=5).collect()}
+    found = hamming.search(rows, rows.where("id % 20 = 0"), k=5, block=block, run=run)
+    got = {(r.query_id, r["rank"]): (r.neighbor_id, r.distance) for r in found.collect()}
     want = {}
     for q, c in enumerate(codes):
         if q % 20 == 0 and c is not None:
@@ -199,6 +201,13 @@ def test_hamming_top_k_equals_brute_force(spark):
     assert got == want
 
 
+def test_hamming_without_rows(spark):
+    none = spark.createDataFrame([(None, 5), (7, None)], "id bigint, code bigint")
+    assert hamming.search(none, none).count() == 0
+    few = spark.createDataFrame([(1, 5), (None, 5), (2, 6)], "id bigint, code bigint")
+    assert sorted((r.query_id, r.neighbor_id, r.distance) for r in hamming.search(few, few.where("id = 1")).collect()) == [(1, 1, 0), (1, 2, 2)]
+
+
 def test_order_minhash(spark, corpus):
     got = orderhash.with_edits(documents(spark, corpus)).collect()
     assert len(got) == len(corpus)
