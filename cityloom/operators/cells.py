@@ -91,14 +91,14 @@ def terrain_relief(
     if requested is not None:
         if not 0.25 <= requested <= 10:
             raise ValueError("a requested terrain factor must lie between 0.25 and 10")
-        factor, mode = F.lit(float(requested)), F.lit("explicit terrain-only factor")
+        factor, mode = F.lit(float(requested)), F.lit("requested")
     else:
         wanted = F.least(F.greatest(F.lit(levels * layer_mm) / F.nullif(F.col("raw_mm"), F.lit(0.0)), F.lit(1.0)), F.lit(most))
         factor = F.when(flat, 1.0).otherwise(wanted)
         mode = (
-            F.when(flat, "auto; genuinely flat/insufficient source relief retained")
-            .when(F.col("factor") > 1, "auto; robust LiDAR relief expanded to printable level budget")
-            .otherwise("auto; source relief already printable"))
+            F.when(flat, "flat")
+            .when(F.col("factor") > 1, "raised")
+            .otherwise("enough"))
     return (
         spans.withColumn("span_m", span).withColumn("raw_mm", raw).withColumn("factor", factor).withColumn("mode", mode)
         .withColumn("adjusted_mm", F.col("raw_mm") * F.col("factor")))

@@ -16,12 +16,6 @@ from .focal import TILE, Patch, tile_map
 
 HALF = 1 << 31
 WIDE = 1 << 32
-PLATE_CELLS = 30_000_000
-
-
-def cell_id():
-    """One number per cell, in order of row, then column."""
-    return F.col("cy") * F.lit(WIDE) + (F.col("cx") + F.lit(HALF))
 
 
 def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,23 +35,23 @@ def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _label_patch(p: Patch, value: str, gap: float | None) -> np.ndarray:
-    """Local region label (smallest cell id) of every valued cell; ``gap`` joins unequal values nearer than it."""
+    """Local region label (smallest cell id) of every valued cell; ``gap`` joins unequal values nearer than it.
+
+    Cells joined along a row form a run; runs of neighbouring rows that touch are then joined.
+    """
     v = p[value]
     known = ~np.isnan(v)
-    node = np.cumsum(known.ravel()).reshape(known.shape) - 1
-    starts, ends = [], []
-    for axis in (0, 1):
-        near = np.take(v, np.arange(v.shape[axis] - 1), axis=axis)
-        far = np.take(v, np.arange(1, v.shape[axis]), axis=axis)
-        joined = near == far if gap is None else np.abs(near - far) < gap
-        starts.append(np.take(node, np.arange(v.shape[axis] - 1), axis=axis)[joined])
-        ends.append(np.take(node, np.arange(1, v.shape[axis]), axis=axis)[joined])
-    root = _union(int(known.sum()), np.concatenate(starts), np.concatenate(ends))
-    rows, cols = np.nonzero(known)
-    ids = (rows + p.y0) * WIDE + (cols + p.x0 + HALF)
-    out = np.zeros(v.shape, dtype=np.int64)
-    out[rows, cols] = ids[root]
-    return out
+    if not known.any():
+        return np.zeros(v.shape, dtype=np.int64)
+    alike = np.equal if gap is None else lambda one, other: np.abs(one - other) < gap
+    heads = known.copy()
+    heads[:, 1:] &= ~alike(v[:, 1:], v[:, :-1])
+    run = np.cumsum(heads).reshape(v.shape) - 1
+    touching = alike(v[1:], v[:-1])
+    above, below = np.unique(np.stack([run[:-1][touching], run[1:][touching]]), axis=1)
+    ys, xs = np.nonzero(heads)
+    first_cell = (ys + p.y0) * WIDE + (xs + p.x0 + HALF)
+    return np.where(known, first_cell[_union(len(ys), above, below)][np.maximum(run, 0)], 0)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -123,52 +117,67 @@ def vegetated_ground(cells: DataFrame, cls: str = "cls", tile: int = TILE) -> Da
     return keyed.join(share.select("local_label", "green", "size"), "local_label").where(green).select("cx", "cy", cls)
 
 
+def _zone_ranges(key: np.ndarray, z: np.ndarray, rise: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest value of each cell's zone; ``key`` is sorted and grows by one along a row, by ``WIDE`` per row.
+
+    Neighbours join by smallest difference, ties in order of place, unless their zones would then span ``rise``. A pair
+    that comes first among all pending pairs of both its zones can be settled at once, as no earlier pair touches
+    either; so every round settles all such pairs together and drops those that can never join. Cells of one value
+    form a zone before the first round.
+    """
+    pairs = []
+    for k, step in enumerate((1, WIDE)):
+        at = np.searchsorted(key, key + step)
+        has = np.flatnonzero(np.take(key, at, mode="clip") == key + step)
+        pairs.append((has, at[has], 2 * has + k))
+    one, other, place = (np.concatenate(c) for c in zip(*pairs))
+    weight = np.abs(z[one] - z[other])
+    level = weight == 0
+    zone = _union(len(z), one[level], other[level])
+    low, high = z.copy(), z.copy()
+    order = np.lexsort((place, weight))
+    order = order[weight[order] > 0]
+    one, other = one[order], other[order]
+    while True:
+        one, other = zone[one], zone[other]
+        span = np.maximum(high[one], high[other]) - np.minimum(low[one], low[other])
+        may = (one != other) & (span < rise)
+        one, other = one[may], other[may]
+        if not len(one):
+            return low[zone], high[zone]
+        turn, first = np.arange(len(one)), np.full(len(z), len(one))
+        np.minimum.at(first, one, turn)
+        np.minimum.at(first, other, turn)
+        now = (first[one] == turn) & (first[other] == turn)
+        kept, gone = one[now], other[now]
+        low[kept], high[kept] = np.minimum(low[kept], low[gone]), np.maximum(high[kept], high[gone])
+        zone[gone] = kept
+        zone = zone[zone]
+
+
 def flat_zones(cells: DataFrame, height: str, layer: float, first: float, tile: int = TILE, plate: str = "plate") -> DataFrame:
     """Heights settled on layer planes so that ground flatter than a layer prints at one level.
 
     Regions grow by smallest height difference while they rise less than a layer, which is an order over all pairs of a
     plate and so runs in one task per piece. Pairs a whole layer apart never join, so a plate first falls into the
-    pieces those steps leave; a piece is at most a plate, and a plate above the print limit of 30 million cells is
-    refused. No cell moves a whole layer.
+    pieces those steps leave; a piece is at most a plate. No cell moves a whole layer. Pieces that begin in one tile
+    share a group: they never join each other, so the answer is the same.
     """
-    crowded = cells.groupBy(plate).agg(F.count("*").alias("n")).where(F.col("n") > PLATE_CELLS)
-    if crowded.limit(1).count():
-        raise ValueError(f"a plate holds more than {PLATE_CELLS} cells")
     pieces = label_regions(cells.select("cx", "cy", height), height, gap=layer - 1e-9, tile=tile)
     rows = pieces.join(cells.select("cx", "cy", plate), ["cx", "cy"])
 
     def settle(pdf):
-        xs, ys, z = pdf["cx"].to_numpy(), pdf["cy"].to_numpy(), pdf[height].to_numpy(float)
-        order = np.lexsort((xs, ys))
-        xs, ys, z = xs[order], ys[order], z[order]
-        where = {(x, y): i for i, (x, y) in enumerate(zip(xs.tolist(), ys.tolist()))}
-        pairs = [(i, j) for i, (x, y) in enumerate(zip(xs.tolist(), ys.tolist())) for j in (where.get((x + 1, y)), where.get((x, y + 1))) if j is not None]
-        start, end = np.array([p[0] for p in pairs], dtype=int), np.array([p[1] for p in pairs], dtype=int)
-        parent, low, high = list(range(len(z))), z.tolist(), z.tolist()
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for k in np.argsort(np.abs(z[start] - z[end]), kind="stable"):
-            a, b = root(int(start[k])), root(int(end[k]))
-            if a != b and max(high[a], high[b]) - min(low[a], low[b]) < layer - 1e-9:
-                parent[b], low[a], high[a] = a, min(low[a], low[b]), max(high[a], high[b])
-        roots = np.array([root(i) for i in range(len(z))], dtype=int)
-        middle = (np.array(low)[roots] + np.array(high)[roots]) / 2
+        key = pdf["cy"].to_numpy() * WIDE + pdf["cx"].to_numpy()
+        order = np.argsort(key)
         out = pdf.iloc[order][["cx", "cy", plate, height]].copy()
-        out["settled_mm"] = first + np.rint((middle - first) / layer) * layer
+        low, high = _zone_ranges(key[order], out[height].to_numpy(float), layer - 1e-9)
+        out["settled_mm"] = first + np.rint(((low + high) / 2 - first) / layer) * layer
         return out
 
-    # small pieces share a group, a large one has its own: pieces never join each other, so the answer is the same
-    sizes = region_totals(pieces, size=F.lit(1)).select("local_label", "size")
-    group = F.when(F.col("size") > 50_000, F.col("label")).otherwise(-1 - F.pmod(F.xxhash64("label"), F.lit(64)))
     kind = dict(cells.dtypes)[plate]
-    keyed = rows.join(sizes, "local_label").withColumn("piece_group", group)
-    return keyed.select("cx", "cy", plate, height, "piece_group").groupBy(plate, "piece_group").applyInPandas(
-        settle, f"cx bigint, cy bigint, `{plate}` {kind}, `{height}` double, settled_mm double")
+    home_y, home_x = F.floor(F.col("label") / WIDE / tile), F.floor((F.pmod(F.col("label"), F.lit(WIDE)) - HALF) / tile)
+    keyed = rows.select("cx", "cy", plate, height, home_y.alias("home_y"), home_x.alias("home_x"))
+    return keyed.groupBy(plate, "home_y", "home_x").applyInPandas(settle, f"cx bigint, cy bigint, `{plate}` {kind}, `{height}` double, settled_mm double")
 
 
 def narrow_peaks(cells: DataFrame, *, step_mm: float, diameter_mm: float, band_mm: float, sweep_mm: float, by: str = "plate", tile: int = TILE) -> DataFrame:

@@ -206,7 +206,7 @@ def nearest_within(points: DataFrame, spots: DataFrame, k: int, radius: float, g
     found = best.groupBy("pid").agg(F.median("value").alias("found"), F.count("*").alias("spots"))
     return points.join(found, points.id == found.pid, "left").select(
         *[points[c] for c in points.columns], F.coalesce("found", "fallback").alias("value"), F.coalesce("spots", F.lit(0)).alias("spots"),
-        F.when(F.col("found").isNotNull(), "spot elevation checked against ground").otherwise("ground at the point").alias("method"))
+        F.when(F.col("found").isNotNull(), "spot").otherwise("ground").alias("method"))
 
 
 def rasterize(polygons: DataFrame, size: float, mode: str = "centre", value: str = "id", order: list[str] | None = None) -> DataFrame:

@@ -65,8 +65,8 @@ def _(t):
     s AS (SELECT *, greatest(0, high - low) AS span, greatest(0, high - low)*1000/4000.0e0*1.5e0 AS raw FROM p),
     f AS (SELECT *, CASE WHEN span < 0.5 OR raw <= 1e-9 THEN 1.0e0 ELSE least(greatest(6*0.2e0/raw, 1), 3) END AS factor FROM s)
     SELECT tile_x, tile_y, round(low, 6) AS low_m, round(high, 6) AS high_m, round(factor, 6) AS factor, round(raw*factor, 6) AS adjusted_mm,
-           CASE WHEN span < 0.5 OR raw <= 1e-9 THEN 'auto; genuinely flat/insufficient source relief retained'
-                WHEN factor > 1 THEN 'auto; robust LiDAR relief expanded to printable level budget' ELSE 'auto; source relief already printable' END AS mode FROM f""")
+           CASE WHEN span < 0.5 OR raw <= 1e-9 THEN 'flat'
+                WHEN factor > 1 THEN 'raised' ELSE 'enough' END AS mode FROM f""")
 def _(t):
     cells = ops.with_tile(binned(t), 64).withColumn("ground_m", C("ground_m") / 8)
     out = ops.terrain_relief(cells, "ground_m", ["tile_x", "tile_y"], scale=4000.0, layer_mm=0.2, vertical=1.5)

@@ -21,12 +21,15 @@ def priced(t):
     return cell_ops.cut_cost(layers(t))
 
 
-BAND = f"SELECT (cx // 125)*1000 + cy // 25 AS band_id, cx AS step, cy AS level, cost, (cx + cy) % 11 <> 0 AS inside, (cy // 25)*25 + 12 AS nominal FROM ({COST_SQL}) c"
+BAND = f"SELECT concat(cx // 125, ':', cy // 25) AS band_id, cx AS step, cy AS level, cost, (cx + cy) % 11 <> 0 AS inside, (cy // 25)*25 + 12 AS nominal FROM ({COST_SQL}) c"
+
+
+def band():
+    return F.concat_ws(":", F.floor(C("cx") / 125), F.floor(C("cy") / 25))
 
 
 def band_samples(t):
-    band = F.floor(C("cx") / 125) * 1000 + F.floor(C("cy") / 25)
-    return priced(t).select(band.alias("band_id"), C("cx").alias("step"), C("cy").alias("level"), "cost", ((C("cx") + C("cy")) % 11 != 0).alias("inside"),
+    return priced(t).select(band().alias("band_id"), C("cx").alias("step"), C("cy").alias("level"), "cost", ((C("cx") + C("cy")) % 11 != 0).alias("inside"),
                             (F.floor(C("cy") / 25) * 25 + 12).alias("nominal"))
 
 
@@ -131,12 +134,11 @@ def _(t):
     m AS (SELECT band_id, greatest(sum(fs)/nullif(sum(fn), 0), 1e-3) AS mean_cost FROM l GROUP BY 1), s AS (SELECT l.*, round(priced + coalesce(mean_cost, 1)*0.25e0*abs(level - nominal)*steps, 2) AS score FROM l JOIN m USING (band_id)),
     k AS (SELECT band_id, arg_min(level, (score, level)) AS level FROM s GROUP BY band_id),
     e AS (SELECT k.band_id, k.level, count(*) AS samples, round(avg(least(cost, 1e12)), 2) AS mean_cost, count(*) FILTER (WHERE building) AS building_cells, count(*) FILTER (WHERE cost >= 1e12) AS blocked_cells, round(avg(height_m), 5) AS mean_above_ground_m
-          FROM k JOIN ({COST_SQL}) c ON c.cy = k.level AND c.cx // 125 = k.band_id // 1000 GROUP BY 1, 2)
+          FROM k JOIN ({COST_SQL}) c ON c.cy = k.level AND c.cx // 125 = CAST(split_part(k.band_id, ':', 1) AS BIGINT) GROUP BY 1, 2)
     SELECT * FROM e""")
 def _(t):
     surface = cut(priced(t), "surface")
-    band = F.floor(C("cx") / 125) * 1000 + F.floor(C("cy") / 25)
-    cells = surface.withColumn("band_id", band)
+    cells = surface.withColumn("band_id", band())
     samples = cells.select("band_id", C("cx").alias("step"), C("cy").alias("level"), "cost", ((C("cx") + C("cy")) % 11 != 0).alias("inside"), (F.floor(C("cy") / 25) * 25 + 12).alias("nominal"))
     chosen = seams.best_straight_cut(samples).select("band_id", C("level").alias("cy"))
     return cells.join(chosen, ["band_id", "cy"]).groupBy("band_id", C("cy").alias("level")).agg(

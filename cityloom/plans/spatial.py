@@ -164,7 +164,7 @@ def _(t):
             AND (s.x-q.x)*(s.x-q.x)+(s.y-q.y)*(s.y-q.y) <= 1600 AND abs(s.elevation_ft - fallback) <= 3),
     m AS (SELECT id, median(elevation_ft) AS v, count(*) AS c FROM n WHERE rn <= 3 GROUP BY id)
     SELECT q.id, round(coalesce(v, fallback), 6) AS value, coalesce(c, 0) AS spots,
-           CASE WHEN v IS NULL THEN 'ground at the point' ELSE 'spot elevation checked against ground' END AS method FROM q LEFT JOIN m ON m.id = q.id""")
+           CASE WHEN v IS NULL THEN 'ground' ELSE 'spot' END AS method FROM q LEFT JOIN m ON m.id = q.id""")
 def _(t):
     asked = t.footprints.select("id", C("minx").alias("x"), C("miny").alias("y"), (F.lit(46.0) + C("id") % 5).alias("fallback"))
     out = spatial.nearest_within(asked, t.spots.withColumnRenamed("elevation_ft", "value"), 3, 40.0, 3.0)

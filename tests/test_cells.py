@@ -138,6 +138,22 @@ def test_flat_zones_settle_noise_and_never_move_a_layer(spark):
     assert np.allclose(got, whole)
 
 
+@pytest.mark.parametrize("seed,step", [(1, None), (2, 0.05), (3, 0.02)])
+def test_zones_join_by_smallest_difference(seed, step):
+    z = np.random.default_rng(seed).random((9, 11))
+    z = z if step is None else np.round(z / step) * step
+    zone = np.arange(z.size).reshape(z.shape)
+    near = [((y, x), (y + a, x + b)) for y in range(9) for x in range(11) for a, b in ((0, 1), (1, 0)) if y + a < 9 and x + b < 11]
+    for p, q in sorted(near, key=lambda e: abs(z[e[0]] - z[e[1]])):
+        both = (zone == zone[p]) | (zone == zone[q])
+        if np.ptp(z[both]) < 0.2:
+            zone[both] = zone[p]
+    key = (np.arange(9)[:, None] * regions.WIDE + np.arange(11)).ravel()
+    low, high = regions._zone_ranges(key, z.ravel(), 0.2)
+    for k, n in enumerate(zone.ravel()):
+        assert (low[k], high[k]) == (z[zone == n].min(), z[zone == n].max())
+
+
 def test_suppress_peaks_is_the_greedy_choice(spark):
     rng = np.random.default_rng(7)
     spots = [("p", float(x), float(y), float(h)) for x, y, h in zip(rng.random(120) * 50, rng.random(120) * 50, rng.permutation(120))]
