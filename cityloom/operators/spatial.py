@@ -15,7 +15,7 @@ from ..functions.lattice import cell_of
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 HOT_ROWS = 500_000
-HOT_SHARE = 1000
+HOT_SHARE = 100_000
 
 
 def cover(df: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
@@ -31,15 +31,17 @@ def cover(df: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
 def spread_hot(crowd: DataFrame, other: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Give both sides a ``salt`` so that a key with many rows of ``crowd`` is shared out over several tasks.
 
-    A key is hot above ``hot_rows`` rows and above one part in ``HOT_SHARE`` of all rows, so there are fewer than
-    ``HOT_SHARE`` hot keys at any scale and the list of them may be broadcast. Crowd rows of a hot key are dealt out by
-    hash; the other side's rows are repeated once per share. Rows of other keys stay as they are.
+    A key is hot above ``hot_rows`` rows and above one part in ``HOT_SHARE`` of all rows, far less than a task's share on
+    any cluster, so there are fewer than ``HOT_SHARE`` hot keys at any scale and the list of them may be broadcast. Crowd
+    rows of a hot key are dealt out by a hash of all their other columns; the other side's rows are repeated once per
+    share. Rows of other keys stay as they are.
     """
     counts = crowd.groupBy(*keys).agg(F.count("*").alias("_n"))
     limit = F.greatest(F.lit(hot_rows), counts.agg(F.ceil(F.sum("_n") / HOT_SHARE).alias("n")).scalar())
     hot = F.broadcast(counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = crowd.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in crowd.columns if c not in keys][:4]), parts).cast("int")).drop("_parts")
+    hashed = [c for c, kind in crowd.dtypes if c not in keys and "map<" not in kind]
+    dealt = crowd.join(hot, keys, "left").withColumn("salt", F.when(parts > 1, F.pmod(F.xxhash64(*hashed), parts)).otherwise(0).cast("int")).drop("_parts")
     repeated = other.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return dealt, repeated
 

@@ -134,15 +134,15 @@ def _files(t, df, name, key):
     return path
 
 
-@query("t1_stream_pages", "SELECT (id // 100)*1000000 + id % 100 AS source_order, id FROM footprints")
+@query("t1_stream_pages", "SELECT id // 100 AS page, id % 100 AS position, id FROM footprints")
 def _(t):
     pages = t.footprints.select("id", F.floor(C("id") / 100).alias("page"), (C("id") % 100).alias("position"))
     source, path = scratch_path(t.spark, "landing"), scratch_path(t.spark, "pages")
     for half in (0, 1):
-        first = pages.where((C("id") < 700) if half == 0 else (C("id") >= 700))
+        first = pages.where((C("id") < 700) if half == 0 else (C("id") >= 700) | (C("page") == 1))  # page 1 lands twice
         first.repartition(4, "page").write.mode("append").parquet(source)
         ingest.stream_pages(t.spark, source, "id bigint, page bigint, position bigint", path, "pages of 100")
-    return t.spark.read.parquet(f"{path}/rows").select("source_order", "id")
+    return ingest.landed_pages(t.spark, path).select("page", "position", "id")
 
 
 @query("t2_stream_bin_points", f"SELECT cx, cy, round(ground_m, 6) AS ground_m, ground_points, upper_m, upper_points FROM ({BINNED}) b")

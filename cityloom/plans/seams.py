@@ -96,8 +96,19 @@ def district_squares(t):
 
 
 @query("u3_validate_partition", f"""
-    WITH p AS ({PLATE_SQL}), k AS (SELECT district AS target_id, count(*) AS plates, sum((maxx-minx)*(maxy-miny)) AS own FROM p WHERE id % 25 <> 18 GROUP BY 1)
-    SELECT target_id, plates, 1e6 - (own - 1000) AS missing_ft2, 0.0e0 AS excess_ft2, 1000.0e0 AS overlap_ft2, 'misses area; plates overlap' AS problems FROM k""")
+    WITH p AS (SELECT *, district AS target_id FROM ({PLATE_SQL}) q WHERE id % 25 <> 18), t AS (SELECT DISTINCT target_id, (target_id % 32)*1000.0e0 AS x0, (target_id // 32)*1000.0e0 AS y0 FROM p),
+    xs AS (SELECT target_id, x, lead(x) OVER (PARTITION BY target_id ORDER BY x) AS x2 FROM (SELECT target_id, minx AS x FROM p UNION SELECT target_id, maxx FROM p UNION SELECT target_id, x0 FROM t UNION SELECT target_id, x0 + 1000 FROM t) u),
+    ys AS (SELECT target_id, y, lead(y) OVER (PARTITION BY target_id ORDER BY y) AS y2 FROM (SELECT target_id, miny AS y FROM p UNION SELECT target_id, maxy FROM p UNION SELECT target_id, y0 FROM t UNION SELECT target_id, y0 + 1000 FROM t) u),
+    c AS (SELECT target_id, x, x2, y, y2, x >= x0 AND x2 <= x0 + 1000 AND y >= y0 AND y2 <= y0 + 1000 AS wanted FROM xs JOIN ys USING (target_id) JOIN t USING (target_id) WHERE x2 IS NOT NULL AND y2 IS NOT NULL),
+    h AS (SELECT c.target_id, c.x, c.y, count(*) AS held FROM c JOIN p ON p.target_id = c.target_id AND p.minx <= c.x AND p.maxx >= c.x2 AND p.miny <= c.y AND p.maxy >= c.y2 GROUP BY 1, 2, 3),
+    a AS (SELECT c.target_id, coalesce(sum((x2-c.x)*(y2-c.y)) FILTER (WHERE wanted AND held IS NULL), 0) AS missing, coalesce(sum((x2-c.x)*(y2-c.y)) FILTER (WHERE NOT wanted AND held > 0), 0) AS excess
+      FROM c LEFT JOIN h ON h.target_id = c.target_id AND h.x = c.x AND h.y = c.y GROUP BY 1),
+    o AS (SELECT p.target_id, max((least(p.maxx, q.maxx) - greatest(p.minx, q.minx))*(least(p.maxy, q.maxy) - greatest(p.miny, q.miny))) AS overlap FROM p JOIN p q ON p.target_id = q.target_id AND p.id < q.id
+      AND p.maxx > q.minx AND q.maxx > p.minx AND p.maxy > q.miny AND q.maxy > p.miny GROUP BY 1),
+    k AS (SELECT target_id, count(*) AS plates FROM p GROUP BY 1)
+    SELECT target_id, plates, round(missing, 4) AS missing_ft2, round(excess, 4) AS excess_ft2, round(coalesce(overlap, 0), 4) AS overlap_ft2,
+      concat_ws('; ', CASE WHEN missing > 1 THEN 'misses area' END, CASE WHEN excess > 1 THEN 'covers area outside' END, CASE WHEN coalesce(overlap, 0) > 1 THEN 'plates overlap' END) AS problems
+    FROM k JOIN a USING (target_id) LEFT JOIN o USING (target_id)""")
 def _(t):
     p = plates(t).where(C("id") % 25 != 18).withColumnRenamed("district", "target_id")
     out = seams.validate_partition(district_squares(t), p, 256.0, 1.0)

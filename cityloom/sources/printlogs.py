@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_duration
-from ..operators.ordered import carry_forward
+from ..operators.ordered import carry_forward, dedupe_first
 
 # Settings kept from a log and their names here.
 SETTINGS = {
@@ -136,9 +136,12 @@ def drop_shadowed_models(models: DataFrame, suffix: str = ".gcode.3mf") -> DataF
 
 
 def reuse_totals(models: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Embedded totals for models whose source digest matches; ``reused`` is false where a model needs slicing."""
-    return models.join(embedded.withColumnRenamed("source_sha256", "sha256").withColumn("reused", F.lit(True)), "sha256", "left").withColumn(
-        "reused", F.coalesce("reused", F.lit(False)))
+    """Embedded totals for models whose source digest matches; ``reused`` is false where a model needs slicing.
+
+    Projects of one source carry the same totals, so of several the first by its columns is taken.
+    """
+    totals = dedupe_first(embedded.withColumnRenamed("source_sha256", "sha256"), ["sha256"], [c for c in embedded.columns if c != "source_sha256"])
+    return models.join(totals.withColumn("reused", F.lit(True)), "sha256", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
 
 
 def tool_starts(lines: DataFrame) -> DataFrame:

@@ -33,29 +33,37 @@ def check_config(spark: SparkSession, path: str, config: str) -> None:
 
 
 def stream_pages(spark: SparkSession, source: str, schema: str, path: str, config: str, per_trigger: int = 64) -> None:
-    """Load page files that have landed, each exactly once, and stop; a restart goes on after the last finished batch.
+    """Load page files that have landed and stop; a restart goes on after the last finished batch.
 
-    A batch is written to a folder of its own number, so a batch that runs twice replaces itself. Pages must land
-    without holes: a batch whose page numbers do not continue the table is refused before it is written.
-    ``schema`` needs ``page`` (0, 1, 2, …) and ``position``; rows get a stable ``source_order``.
+    A batch is written to a folder of its own number, so a batch that runs twice replaces itself. ``schema`` needs
+    ``page`` (0, 1, 2, …) and ``position``, which together order and identify the rows: a page that lands again, in the
+    same batch or later, adds nothing. Files may come in any order; ``landed_pages`` reads what has no hole before it.
     """
     check_config(spark, path, config)
+    place = ["page", "position"]
 
     def land(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        known = _fold_into(session, f"{path}/rows")
-        have = 0 if known is None else known.where(F.col("batch") != number).agg(F.coalesce(F.max("page") + 1, F.lit(0)).alias("n")).first()["n"]
-        pages = batch.agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.countDistinct("page").alias("n")).first()
-        if pages["n"] and (pages["lo"] > have or pages["hi"] - pages["lo"] + 1 != pages["n"]):
-            raise ValueError(f"pages {pages['lo']} to {pages['hi']} do not continue {have} loaded pages")
-        ordered = batch.withColumn("source_order", F.col("page") * 1_000_000 + F.col("position"))
-        ordered.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        fresh = batch.dropDuplicates(place)
+        known = _fold_into(batch.sparkSession, f"{path}/rows")
+        if known is not None:
+            same_pages = known.where(F.col("batch") != number).select(*place).join(batch.select("page").distinct(), "page", "left_semi")
+            fresh = fresh.join(same_pages, place, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all pages before the first one that has not landed; later pages wait until it has."""
+    rows = spark.read.parquet(f"{path}/rows")
+    pages = rows.select("page").distinct()
+    wanted = pages.select((F.col("page") + 1).alias("page")).union(spark.range(1).select(F.col("id").alias("page")))
+    first_hole = wanted.join(pages, "page", "left_anti").agg(F.min("page").alias("page"))
+    return rows.where(F.col("page") < first_hole.scalar())
+
+
 def stream_bin_points(spark: SparkSession, source: str, schema: str, path: str, size: float, per_trigger: int = 4) -> DataFrame:
     """Elevation cells kept current as point files land: sums, counts and maxima are streaming state.
 

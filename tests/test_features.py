@@ -297,22 +297,46 @@ def test_shells_are_split_and_judged(spark):
     assert kinds == [(1, "cavity"), (1, "crumb"), (1, "printable"), (2, "printable")]
 
 
-def test_pages_load_once_and_refuse_holes_and_other_settings(spark, folder):
+def test_pages_load_once_wait_for_holes_and_refuse_other_settings(spark, folder):
     source, path, schema = folder + "/in", folder + "/out", "page long, position long"
+
     def add(*pages):
         for p in pages:
             spark.createDataFrame([(p, k) for k in range(3)], schema).coalesce(1).write.mode("append").parquet(source)
-    add(0, 1)
-    ingest.stream_pages(spark, source, schema, path, "a")
-    ingest.stream_pages(spark, source, schema, path, "a")
-    add(2)
-    ingest.stream_pages(spark, source, schema, path, "a")
-    assert sorted(r.source_order for r in spark.read.parquet(path + "/rows").collect()) == [p * 1_000_000 + k for p in range(3) for k in range(3)]
+        ingest.stream_pages(spark, source, schema, path, "a", per_trigger=2)
+        return sorted((r.page, r.position) for r in ingest.landed_pages(spark, path).collect())
+
+    rows = lambda n: [(p, k) for p in range(n) for k in range(3)]
+    assert add(0, 1) == rows(2) and add() == rows(2)
+    assert add(1, 2, 2) == rows(3)
+    assert add(5, 4) == rows(3)
+    assert add(3) == rows(6)
     with pytest.raises(ValueError):
         ingest.stream_pages(spark, source, schema, path, "b")
-    add(5)
-    with pytest.raises(Exception, match="do not continue"):
-        ingest.stream_pages(spark, source, schema, path, "a")
+
+
+def test_partition_of_overlapping_plates(spark):
+    outline = lambda points: ring(points)
+    whole = outline([(0, 0), (10, 0), (10, 10), (0, 10)])
+    shapes = {
+        1: [whole, whole, whole],
+        2: [outline([(0, 0), (6, 0), (6, 10), (0, 10)]), outline([(4, 0), (10, 0), (10, 10), (4, 10)]), outline([(2, 2), (8, 2), (5, 9)])],
+        3: [outline([(-2, 0), (10, 0), (10, 10)]), outline([(0, 0), (12, 0), (0, 12)])],
+        4: [whole, []],
+    }
+    plates = [(10 * t + k, t, min([e["x1"] for e in edges], default=None), min([e["y1"] for e in edges], default=None), max([e["x1"] for e in edges], default=None),
+               max([e["y1"] for e in edges], default=None), edges) for t, all_ in shapes.items() for k, edges in enumerate(all_)]
+    box = "minx double, miny double, maxx double, maxy double"
+    targets = spark.createDataFrame([(t, 0.0, 0.0, 10.0, 10.0, whole) for t in [*shapes, 5]], f"id long, {box}, edges {EDGES}")
+    out = {r.target_id: r for r in seams.validate_partition(targets, spark.createDataFrame(plates, f"id long, target_id long, {box}, edges {EDGES}"), 3.0, 0.01).collect()}
+    x, y = np.meshgrid((np.arange(2800) + 0.5) / 200 - 2, (np.arange(2800) + 0.5) / 200 - 2)
+    held = ((y >= 0) & (x <= 10) & (y <= (x + 2) * 10 / 12)) | ((x >= 0) & (y >= 0) & (x + y <= 12))
+    wanted = (x >= 0) & (x <= 10) & (y >= 0) & (y <= 10)
+    for t in (1, 2, 4):
+        assert out[t].missing_ft2 == pytest.approx(0, abs=1e-9) and out[t].excess_ft2 == pytest.approx(0, abs=1e-9)
+    assert out[1].problems == out[2].problems == "plates overlap" and out[4].problems == "plates without area"
+    assert out[3].missing_ft2 == pytest.approx((wanted & ~held).sum() / 200**2, abs=0.05) and out[3].excess_ft2 == pytest.approx((held & ~wanted).sum() / 200**2, abs=0.05)
+    assert out[5].missing_ft2 == 100 and out[5].plates == 0
 
 
 def test_silent_stage_becomes_overdue(spark, folder):
