@@ -168,18 +168,44 @@ def _(t):
     return out.select("sides", "corners", *rounded(["corners_per_metre", "shortest_side_mm", "shortest_joint_mm"], 6), "worst_joint")
 
 
-@query("w3_turning_points")
+@query("w3_turning_points", """
+    WITH RECURSIVE v AS (SELECT way_id AS line_id, x, y, row_number() OVER (PARTITION BY way_id ORDER BY pos) AS n, count(*) OVER (PARTITION BY way_id) AS total FROM vertices),
+    f AS (SELECT a.line_id, b.n, b.total, a.x AS kx, a.y AS ky, b.x AS mx, b.y AS my, CAST(NULL AS DOUBLE) AS side FROM v a JOIN v b ON b.line_id = a.line_id AND a.n = 1 AND b.n = 2
+      UNION ALL SELECT line_id, n, total, CASE WHEN turned THEN mx ELSE kx END, CASE WHEN turned THEN my ELSE ky END, x, y, CASE WHEN turned THEN sqrt((mx-kx)*(mx-kx) + (my-ky)*(my-ky)) END
+      FROM (SELECT f.line_id, v.n, f.total, kx, ky, mx, my, v.x, v.y, (mx <> kx OR my <> ky) AND (v.x <> mx OR v.y <> my)
+              AND abs(degrees(atan2((mx-kx)*(v.y-my) - (my-ky)*(v.x-mx), (mx-kx)*(v.x-mx) + (my-ky)*(v.y-my)))) > 0.5 AS turned FROM f JOIN v ON v.line_id = f.line_id AND v.n = f.n + 1) q),
+    s AS (SELECT line_id, side FROM f WHERE side IS NOT NULL UNION ALL SELECT line_id, sqrt((mx-kx)*(mx-kx) + (my-ky)*(my-ky)) FROM f WHERE n = total)
+    SELECT line_id, count(*) AS sides, count(*) - 1 AS corners, round(min(side), 4) AS shortest_side_ft FROM s GROUP BY line_id""")
 def _(t):
-    return seams.joint_shape(seams.turning_points(t.vertices.withColumnRenamed("way_id", "line_id")))
+    shape = seams.joint_shape(seams.turning_points(t.vertices.withColumnRenamed("way_id", "line_id")))
+    return shape.withColumn("shortest_side_ft", F.round("shortest_side_ft", 4))
 
 
-@query("w5_reopened_fraction")
+@query("w5_reopened_fraction", """
+    WITH RECURSIVE o AS (SELECT *, CAST(repeat('0', CAST(s AS INTEGER)) || repeat('1', CAST(len AS INTEGER)) || repeat('0', CAST(10100 - s - len AS INTEGER)) AS BIT) AS mask, row_number() OVER (PARTITION BY route ORDER BY candidate) AS n
+      FROM (SELECT o_custkey % 20 AS route, o_orderkey AS candidate, o_orderkey*37 % 9973 AS s, (o_orderkey % 7 + 1)*10 AS len FROM orders) q),
+    f AS (SELECT route, n, candidate, 0.0e0 AS fraction, false AS repeated, mask AS held FROM o WHERE n = 1
+      UNION ALL SELECT o.route, o.n, o.candidate, bit_count(f.held & o.mask)/(1.0e0*len), bit_count(f.held & o.mask) > 0.5*len, CASE WHEN bit_count(f.held & o.mask) > 0.5*len THEN f.held ELSE f.held | o.mask END
+      FROM f JOIN o ON o.route = f.route AND o.n = f.n + 1)
+    SELECT route, candidate, round(fraction, 6) AS fraction, repeated FROM f""")
 def _(t):
-    start = C("o_orderkey") * 37 % 9973 / F.lit(10.0)
-    return seams.reopened_fraction(t.orders.select((C("o_custkey") % 20).alias("route"), C("o_orderkey").alias("candidate"), start.alias("span_start"), (start + C("o_orderkey") % 7 + 1).alias("span_end")))
+    start = (C("o_orderkey") * 37 % 9973).cast("double")
+    spans = t.orders.select((C("o_custkey") % 20).alias("route"), C("o_orderkey").alias("candidate"), start.alias("span_start"), (start + (C("o_orderkey") % 7 + 1) * 10).alias("span_end"))
+    return seams.reopened_fraction(spans).withColumn("fraction", F.round("fraction", 6))
 
 
-@query("w8_grid_labels")
+def bands_sql(name, low, high, sign):
+    """Recursive SQL for the bands of the plates along one axis."""
+    return f"""{name}_in AS (SELECT district, id, {low} AS lo, {high} AS hi, row_number() OVER (PARTITION BY district ORDER BY {sign}({low} + {high})/2, id) AS n FROM p),
+    {name} AS (SELECT district, id, n, 0 AS band, lo AS a, hi AS b FROM {name}_in WHERE n = 1
+      UNION ALL SELECT district, id, n, band + CASE WHEN apart THEN 1 ELSE 0 END, CASE WHEN apart THEN lo ELSE greatest(a, lo) END, CASE WHEN apart THEN hi ELSE least(b, hi) END
+      FROM (SELECT i.*, f.band, f.a, f.b, least(f.b, i.hi) - greatest(f.a, i.lo) < 0.5*greatest(least(f.b - f.a, i.hi - i.lo), 1e-9) AS apart FROM {name} f JOIN {name}_in i ON i.district = f.district AND i.n = f.n + 1) q)"""
+
+
+@query("w8_grid_labels", f"""
+    WITH RECURSIVE p AS ({PLATE_SQL}), {bands_sql('across', 'minx', 'maxx', '')}, {bands_sql('down', 'miny', 'maxy', '-')},
+    l AS (SELECT district AS plan_id, id, chr(65 + CAST(across.band AS INTEGER)) || (down.band + 1) AS base, row_number() OVER (PARTITION BY district, across.band, down.band ORDER BY id) AS n FROM across JOIN down USING (district, id))
+    SELECT plan_id, id, CASE WHEN n = 1 THEN base ELSE base || '.' || n END AS label FROM l""")
 def _(t):
     return seams.grid_labels(plates(t).withColumnRenamed("district", "plan_id"))
 
