@@ -37,7 +37,10 @@ def _(t):
     return out.withColumn("upper_m", F.round("upper_m", 6))
 
 
-@query("r6_median3")
+@query("r6_median3", f"""
+    WITH g AS (SELECT cx, cy, upper_m FROM ({BINNED}) b WHERE upper_m IS NOT NULL), o AS (SELECT a.i AS dx, b.i AS dy FROM range(-1, 2) a(i), range(-1, 2) b(i))
+    SELECT g.cx, g.cy, list_sort(list(coalesce(d.upper_m, v.upper_m, h.upper_m, g.upper_m)))[5] AS upper_m FROM g CROSS JOIN o
+      LEFT JOIN g d ON d.cx = g.cx + dx AND d.cy = g.cy + dy LEFT JOIN g v ON v.cx = g.cx AND v.cy = g.cy + dy LEFT JOIN g h ON h.cx = g.cx + dx AND h.cy = g.cy GROUP BY g.cx, g.cy""")
 def _(t):
     return focal.median3(binned(t).select("cx", "cy", "upper_m"), "upper_m")
 
@@ -103,19 +106,34 @@ def _(t):
     return focal.diagonal_contacts(m, rounds=3).select("cx", "cy", "material", "moved")
 
 
-@query("r1_label_regions")
+def labels_sql(cells):
+    """CTEs ``labelled (cx, cy, value, label)``: runs along rows, then every run a smaller one reaches through larger ones."""
+    return f"""rows_ AS (SELECT l.cx, l.cy, l.value, l.cy*4294967296 + l.cx + 2147483648 AS id, CASE WHEN p.value = l.value THEN 0 ELSE 1 END AS opens FROM ({cells}) l LEFT JOIN ({cells}) p ON p.cx = l.cx - 1 AND p.cy = l.cy),
+    runs_ AS (SELECT cx, cy, value, max(CASE WHEN opens = 1 THEN id END) OVER (ORDER BY id) AS run FROM rows_),
+    touch AS (SELECT DISTINCT a.run AS u, b.run AS v FROM runs_ a JOIN runs_ b ON b.cx = a.cx AND b.cy = a.cy + 1 AND b.value = a.value),
+    ways_ AS (SELECT u, v FROM touch UNION SELECT v, u FROM touch),
+    reach AS (SELECT DISTINCT run AS root, run AS node FROM runs_ UNION SELECT root, v FROM reach JOIN ways_ ON u = node WHERE v > root),
+    labelled AS (SELECT cx, cy, value, label FROM runs_ JOIN (SELECT node, min(root) AS label FROM reach GROUP BY node) m ON node = run)"""
+
+
+@query("r1_label_regions", f"WITH RECURSIVE {labels_sql('SELECT cx, cy, cls AS value FROM landcover')} SELECT cx, cy, CAST(value AS DOUBLE) AS cls, label FROM labelled")
 def _(t):
     return regions.label_regions(t.landcover, "cls", tile=64).select("cx", "cy", "cls", "label")
 
 
-@query("r1_region_sizes")
+@query("r1_region_sizes", f"""
+    WITH RECURSIVE {labels_sql('SELECT cx, cy, cls AS value FROM landcover WHERE cls = 4')}
+    SELECT size, count(*) AS regions FROM (SELECT count(*) AS size FROM labelled GROUP BY label) s GROUP BY size""")
 def _(t):
     water = regions.label_regions(t.landcover.where(C("cls") == 4), "cls", tile=64)
     sizes = regions.region_totals(water, size=F.lit(1)).select("label", "size").distinct()
     return sizes.groupBy("size").agg(F.count("*").alias("regions"))
 
 
-@query("r3_vegetated_ground")
+@query("r3_vegetated_ground", f"""
+    WITH RECURSIVE {labels_sql('SELECT cx, cy, 1 AS value FROM landcover WHERE cls IN (1, 2, 3)')},
+    k AS (SELECT l.cx, l.cy, c.cls, avg(CASE WHEN c.cls IN (1, 2) THEN 1.0e0 ELSE 0 END) OVER (PARTITION BY label) AS green FROM labelled l JOIN landcover c ON c.cx = l.cx AND c.cy = l.cy)
+    SELECT cx, cy, cls FROM k WHERE cls IN (1, 2) OR green > 0.5""")
 def _(t):
     return regions.vegetated_ground(t.landcover, tile=64)
 
@@ -138,7 +156,13 @@ def _(t):
     return regions.narrow_peaks(buildings(t), step_mm=0.5, diameter_mm=2.0, band_mm=6.0, sweep_mm=2.0)
 
 
-@query("o4_suppress_peaks")
+@query("o4_suppress_peaks", """
+    WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY plate ORDER BY peak_mm DESC, x, y) AS n
+      FROM (SELECT x, y, elevation_ft AS peak_mm, CAST(floor(x/1000) AS BIGINT) || '_' || CAST(floor(y/1000) AS BIGINT) AS plate FROM spots) q),
+    f AS (SELECT x, y, peak_mm, plate, n, true AS kept, [{'px': x, 'py': y}] AS held FROM c WHERE n = 1
+      UNION ALL SELECT x, y, peak_mm, plate, n, free, CASE WHEN free THEN list_append(held, {'px': x, 'py': y}) ELSE held END
+      FROM (SELECT c.*, f.held, len(list_filter(f.held, lambda h: sqrt((h.px - c.x)*(h.px - c.x) + (h.py - c.y)*(h.py - c.y)) < 30)) = 0 AS free FROM f JOIN c ON c.plate = f.plate AND c.n = f.n + 1) w)
+    SELECT x, y, peak_mm, plate FROM f WHERE kept""")
 def _(t):
     spots = t.spots.select("x", "y", C("elevation_ft").alias("peak_mm"), F.concat_ws("_", F.floor(C("x") / 1000), F.floor(C("y") / 1000)).alias("plate"))
     return regions.suppress_peaks(spots, 30.0)
