@@ -85,7 +85,7 @@ def materials(t):
 @query("r10_absorb_thin")
 def _(t):
     m = materials(t).withColumn("protected", C("protected").cast("int"))
-    return focal.absorb_thin(m, nozzle_mm=1.0, step_mm=0.5, passes=3)
+    return focal.absorb_thin(m, nozzle_mm=1.0, step_mm=0.5)
 
 
 def contacts_sql(rounds):
@@ -96,14 +96,14 @@ def contacts_sql(rounds):
       FROM {src} m LEFT JOIN {src} u ON u.cx = m.cx AND u.cy = m.cy + 1 LEFT JOIN {src} l1 ON l1.cx = m.cx - 1 AND l1.cy = m.cy + 1 LEFT JOIN {src} l0 ON l0.cx = m.cx - 1 AND l0.cy = m.cy
       LEFT JOIN {src} r1 ON r1.cx = m.cx + 1 AND r1.cy = m.cy + 1 LEFT JOIN {src} r0 ON r0.cx = m.cx + 1 AND r0.cy = m.cy) m"""
     ctes = ["s0 AS (SELECT cx, cy, cls % 4 AS material, (cx*3 + cy) % 29 = 0 AS protected, false AS moved FROM landcover)"]
-    ctes += [f"s{k + 1} AS ({step.format(src=f's{k}')})" for k in range(rounds)]
+    ctes += [f"s{k + 1} AS MATERIALIZED ({step.format(src=f's{k}')})" for k in range(rounds)]
     return f"WITH {', '.join(ctes)} SELECT cx, cy, CAST(material AS INT) AS material, moved FROM s{rounds}"
 
 
-@query("r11_diagonal_contacts", contacts_sql(3))
+@query("r11_diagonal_contacts", contacts_sql(12))
 def _(t):
     m = materials(t).withColumn("protected", C("protected").cast("int"))
-    return focal.diagonal_contacts(m, rounds=3).select("cx", "cy", "material", "moved")
+    return focal.diagonal_contacts(m).select("cx", "cy", "material", "moved")
 
 
 def labels_sql(cells):
