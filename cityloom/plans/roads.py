@@ -9,7 +9,7 @@ from ..functions.lattice import FT
 from ..operators import ordered, roads, spatial, stats
 from ..runtime import cut
 from .registry import query
-from .spatial import CROSSINGS, SEG, SUPPORT, way_segments
+from .spatial import CROSSINGS, SEG, SUPPORT, raster_sql, way_segments
 
 C = F.col
 MM_PER_FT = FT * 1000 / 4000.0
@@ -96,9 +96,23 @@ def _measured(t):
     return s.join(s.groupBy("line_id").agg(F.sum("length").alias("line_length")), "line_id")
 
 
-@query("r23_road_width_samples")
+FOOT = "0.3048006096012192e0"
+FIRST = "CAST(ceil((({at} - which*reach)/total - 0.1e0)/0.8e0*(n - 1) - 1e-9) AS BIGINT)"
+
+
+@query("r23_road_width_samples", f"""
+    WITH s AS (SELECT *, sum(len) OVER (PARTITION BY line_id ORDER BY pos) - len AS st, sum(len) OVER (PARTITION BY line_id) AS total FROM (SELECT *, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS len FROM {SEG} q WHERE x2 IS NOT NULL) l),
+    u AS (SELECT *, least(greatest(ceil(total/(15/{FOOT})), 3), 30) AS n, least(5/{FOOT}, greatest(total*0.05e0, 0.2e0/{FOOT})) AS reach FROM s CROSS JOIN range(-1, 2) AS w(which) WHERE total > 0),
+    a AS (SELECT *, unnest(range(greatest({FIRST.format(at='st')}, 0), CAST(least({FIRST.format(at='(st + len)')} - 1, n - 1) AS BIGINT) + 1)) AS i FROM u),
+    p AS (SELECT line_id, i, which, x1 + (x2-x1)*al AS x, y1 + (y2-y1)*al AS y FROM (SELECT *, ((0.1e0 + i*0.8e0/(n - 1))*total + which*reach - st)/len AS al FROM a) b),
+    m AS (SELECT line_id, i, max(x) FILTER (WHERE which = 0) AS px, max(y) FILTER (WHERE which = 0) AS py, max(x) FILTER (WHERE which = 1) - max(x) FILTER (WHERE which = -1) AS dx,
+            max(y) FILTER (WHERE which = 1) - max(y) FILTER (WHERE which = -1) AS dy FROM p GROUP BY line_id, i),
+    k AS (SELECT line_id, i, k, CAST(floor((px - dy/sqrt(dx*dx + dy*dy)*k*4)/4) AS BIGINT) AS cx, CAST(floor((py + dx/sqrt(dx*dx + dy*dy)*k*4)/4) AS BIGINT) AS cy FROM m CROSS JOIN range(-49, 50) AS kk(k) WHERE px IS NOT NULL AND dx*dx + dy*dy > 0),
+    h AS (SELECT k.*, k - row_number() OVER (PARTITION BY line_id, i ORDER BY k) AS run FROM k JOIN (SELECT DISTINCT cx, cy FROM ({raster_sql(4)}) r) r USING (cx, cy)),
+    w AS (SELECT line_id, i, run, min(abs(k)) AS nearest, count(*) AS cells FROM h GROUP BY 1, 2, 3)
+    SELECT line_id, i AS place, round(max(cells)*4*{FOOT}, 6) AS width_m FROM w WHERE nearest*4 <= 1.5e0/{FOOT} GROUP BY 1, 2 HAVING max(cells)*4*{FOOT} BETWEEN 2.5 AND 60""")
 def _(t):
-    return roads.road_width_samples(_measured(t), spatial.rasterize(t.polygons, 4.0), 4.0)
+    return roads.road_width_samples(_measured(t), spatial.rasterize(t.polygons, 4.0), 4.0).withColumn("width_m", F.round("width_m", 6))
 
 
 @query("r24_road_ribbons", f"""

@@ -211,9 +211,13 @@ def _(t):
     return spatial.too_close_pairs(t.footprints.select("id", *BOX), 3.0, SQUARE).withColumn("gap", F.round("gap", 6))
 
 
-RASTER = f"""SELECT p.id, cx, cy FROM (SELECT id, minx, miny, maxx, maxy, unnest(range(CAST(floor(minx/2) AS BIGINT), CAST(floor(maxx/2) AS BIGINT) + 1)) AS cx FROM footprints) p,
-      LATERAL (SELECT unnest(range(CAST(floor(p.miny/2) AS BIGINT), CAST(floor(p.maxy/2) AS BIGINT) + 1)) AS cy) q,
-      LATERAL (SELECT cx*2 + 1.0e0 AS px, cy*2 + 1.0e0 AS py) c JOIN edges e ON e.id = p.id GROUP BY p.id, cx, cy, px, py HAVING {CROSSED}"""
+def raster_sql(size):
+    return f"""SELECT p.id, cx, cy FROM (SELECT id, minx, miny, maxx, maxy, unnest(range(CAST(floor(minx/{size}) AS BIGINT), CAST(floor(maxx/{size}) AS BIGINT) + 1)) AS cx FROM footprints) p,
+      LATERAL (SELECT unnest(range(CAST(floor(p.miny/{size}) AS BIGINT), CAST(floor(p.maxy/{size}) AS BIGINT) + 1)) AS cy) q,
+      LATERAL (SELECT cx*{size} + {size / 2}e0 AS px, cy*{size} + {size / 2}e0 AS py) c JOIN edges e ON e.id = p.id GROUP BY p.id, cx, cy, px, py HAVING {CROSSED}"""
+
+
+RASTER = raster_sql(2)
 
 
 @query("r2_rasterize", f"SELECT cx, cy, max(id) AS id FROM ({RASTER}) r GROUP BY cx, cy")
