@@ -2,8 +2,9 @@
 
 A configuration is a multiset of lengths that fits one sequence. The linear program "fewest configurations that cover
 every length as often as it occurs" is solved by multiplicative weights: each round prices every length by its weight,
-a knapsack over capacities finds the configuration worth most, and lengths it covers lose weight. The fractional
-solution is rounded down to whole copies; what is left over goes best-fit-decreasing, by length and count, not by item.
+a knapsack over capacities finds the configuration worth most with each length, and lengths they cover lose weight,
+until every length is covered. The fractional solution is rounded to whole copies; what is left over goes
+best-fit-decreasing, by length and count, not by item.
 
 The program sees only the histogram: at most ``capacity`` numbers, whatever the data. Items are numbered within their
 length in parallel: by part of the table first, then by the count of earlier parts.
@@ -31,7 +32,11 @@ from .bpe import SLICE, WordBpe
 from .common import slices
 
 CAPACITY = 2048
-ROUNDS = 150
+#: A length counts as covered when this share of its items, at most, is open; rounding and best fit place those.
+TOLERANCE = 0.02
+#: A round covers at most this share of a length, and a step ahead lowers its price by about this part.
+STEP, SHARPNESS = 0.5, 0.2
+SMALL = 1e-9
 
 
 def pieces(docs: DataFrame, vocab: Broadcast, capacity: int = CAPACITY, closing: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,65 +60,104 @@ def pieces(docs: DataFrame, vocab: Broadcast, capacity: int = CAPACITY, closing:
     return chosen.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_configuration(prices: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """How often to take each length (``prices`` and ``limits`` by length) so that a sequence is worth most."""
-    lengths = np.flatnonzero((prices > 0) & (limits > 0))
+def worth_of_rooms(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The worth of the best configuration for every room up to ``capacity`` and the length taken last for it, 0 for none."""
     value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     worth = prices[lengths]
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
         n = fits[room]
-        value[room], last[room] = value[room - 1], 0
+        value[room] = value[room - 1]
         if n:
             offer = value[room - lengths[:n]] + worth[:n]
             best = int(offer.argmax())
             if offer[best] > value[room]:
                 value[room], last[room] = offer[best], lengths[best]
-    taken, room = np.zeros(len(prices), np.int64), capacity
-    while room > 0:
-        if last[room]:
-            taken[last[room]] += 1
-            room -= last[room]
-        else:
-            room -= 1
-    return np.minimum(taken, limits)
+    return value, last
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Configurations with whole numbers of copies that cover no length more often than ``counts`` says.
+def program(counts: np.ndarray, capacity: int, rounds: int | None = None) -> dict[tuple, float]:
+    """Copies, in fractions, of configurations ``((length, many), ...)`` that cover every length up to the tolerance, none twice.
 
-    Covering by multiplicative weights: a length's weight falls by the share of its demand that the chosen
-    configuration covers. Every round uses its configuration as often as no length is covered by more than a step.
+    Covering by multiplicative weights: a length's price is its size, lowered by the share of its demand that is covered
+    and nothing once that is within ``TOLERANCE`` of all. One knapsack a round prices every room, so it gives
+    the best configuration with each length; they are used from the most worth down, as often as no length is covered by
+    more than a step. A round brings the dearest length a step forward, so the rounds end and grow with the lengths at most.
     """
     demand = counts.astype(float)
-    wanted = np.flatnonzero(counts)
-    if not len(wanted):
-        return []
-    step = 0.05
     covered, used = np.zeros(len(counts)), {}
-    for _ in range(rounds):
-        weight = np.zeros(len(counts))
-        share = covered[wanted] / demand[wanted]
-        weight[wanted] = np.exp(-(share - share.min()) / step * np.log(len(wanted) + 1)) / demand[wanted]
-        chosen = best_configuration(weight, counts, capacity)
-        lengths = np.flatnonzero(chosen)
-        if not len(lengths):
+    most = counts.tolist()
+    done = 0
+    while rounds is None or done < rounds:
+        wanted = np.flatnonzero(demand - covered > TOLERANCE * demand)
+        if not len(wanted):
             break
-        copies = float((step * demand[lengths] / chosen[lengths]).min())
-        key = tuple(chosen[lengths].tolist()), tuple(lengths.tolist())
-        used[key] = used.get(key, 0.0) + copies
-        covered[lengths] += copies * chosen[lengths]
-    scale = float((covered[wanted] / demand[wanted]).min())
-    left, plan = counts.copy(), []
-    scale = scale if scale > 0 else 1.0
-    for (many, lengths), copies in sorted(used.items(), key=lambda x: (-np.dot(*x[0]), x[0])):
-        many, lengths = np.array(many), np.array(lengths)
-        whole = min(int(copies / scale), int((left[lengths] // many).min()))
+        done += 1
+        share = covered[wanted] / demand[wanted]
+        prices = np.zeros(len(counts))
+        prices[wanted] = wanted * np.exp(-(share - share.min()) / STEP * SHARPNESS)
+        value, last = worth_of_rooms(prices, wanted, capacity)
+        filled = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0)).tolist()
+        last = last.tolist()
+        free = np.minimum(STEP * demand, demand - covered).tolist()
+        for length in wanted[np.argsort(-(prices[wanted] + value[capacity - wanted]), kind="stable")].tolist():
+            if free[length] <= SMALL:
+                continue
+            taken, room = {length: 1}, filled[capacity - length]
+            while room:
+                taken[last[room]] = taken.get(last[room], 0) + 1
+                room = filled[room - last[room]]
+            key = tuple(sorted(((x, min(many, most[x])) for x, many in taken.items()), reverse=True))
+            copies = min(free[x] / many for x, many in key)
+            if copies > SMALL:
+                used[key] = used.get(key, 0.0) + copies
+                for x, many in key:
+                    free[x] -= copies * many
+                    covered[x] += copies * many
+    return used
+
+
+def rounded(counts: np.ndarray, used: dict[tuple, float]) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Whole copies, then one more for a fraction where all its items are still there; and the items left over."""
+    left, copies = counts.tolist(), {}
+
+    def take(key: tuple, wished: int) -> None:
+        whole = min(wished, min(left[length] // many for length, many in key))
         if whole > 0:
-            left[lengths] -= whole * many
-            plan.append((np.column_stack([lengths, many]), whole))
-    rounded, plain = plan + best_fit(left, capacity), best_fit(counts, capacity)
-    return min(rounded, plain, key=lambda chosen: sum(copies for _, copies in chosen))  # a program over few items rounds badly
+            copies[key] = copies.get(key, 0) + whole
+            for length, many in key:
+                left[length] -= whole * many
+
+    for key, x in sorted(used.items(), key=lambda u: (-filling(u[0]), u[0])):
+        take(key, int(x + SMALL))
+    for key, x in sorted(used.items(), key=lambda u: (-(u[1] % 1), u[0])):
+        if SMALL < x % 1 < 1 - SMALL:
+            take(key, 1)
+    return [(np.array(key), n) for key, n in copies.items()], np.array(left, np.int64)
+
+
+def filling(key: tuple) -> int:
+    return sum(length * many for length, many in key)
+
+
+def configurations(counts: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[np.ndarray, int]]:
+    """Configurations with whole numbers of copies that hold every length as often as ``counts`` says.
+
+    The program's solution is rounded several times, with configurations that leave ever more room unused; the fewest
+    sequences win, then the fewest items left to best fit. Best fit alone is taken only where it needs fewer sequences.
+    """
+    if not counts.any():
+        return []
+    used = program(counts, capacity, rounds)
+    best, fewest = None, None
+    for waste in sorted({0, *(1 << i for i in range(capacity.bit_length())), capacity}):
+        whole, left = rounded(counts, {key: x for key, x in used.items() if capacity - filling(key) <= waste})
+        chosen = whole + best_fit(left, capacity)
+        rank = sum(copies for _, copies in chosen), int(left.sum())
+        if fewest is None or rank < fewest:
+            best, fewest = chosen, rank
+    plain = best_fit(counts, capacity)
+    return plain if sum(copies for _, copies in plain) < fewest[0] else best
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -164,7 +208,7 @@ class Plan:
         return self.sequence[run] + copy, self.offset[run] + inside * length
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> Plan:
     """The packing of ``counts[length]`` items of each length. Full-length items need no program."""
     inner = counts.copy()
     inner[capacity] = 0
@@ -182,7 +226,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     return Plan(*np.array(sorted(runs), np.int64).reshape(-1, 5).T)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
     """``items`` (with a ``length`` up to ``capacity``) with ``sequence_id`` and ``offset``, gapless in each sequence."""
     kept = cut(items.withColumn("_part", F.spark_partition_id()), "pieces")
     tally = cut(kept.groupBy("_part", "length").agg(F.count("*").alias("rows")), "lengths")

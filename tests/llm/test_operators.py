@@ -94,6 +94,30 @@ def test_packing_plan_beats_or_equals_best_fit():
             assert len(set(sequences.tolist())) <= sum(c for _, c in packing.best_fit(counts, 100))
 
 
+def test_packing_program_places_most_items_of_many_lengths(monkeypatch):
+    rng = np.random.default_rng(8)
+    lengths = np.minimum(1 + rng.exponential(500, 9000).astype(int), 2047)
+    counts = np.bincount(lengths, minlength=2049)
+    assert (counts > 0).sum() > 1000 and (counts[1025:] > 0).sum() > 300
+    plain, best_fit, handed = packing.best_fit(counts, 2048), packing.best_fit, []
+
+    def watched(left, capacity):
+        handed.append((int(left.sum()), best_fit(left, capacity)))
+        return handed[-1][1]
+
+    monkeypatch.setattr(packing, "best_fit", watched)
+    chosen = packing.configurations(counts, 2048)
+    places = lambda held: {(tuple(map(tuple, parts.tolist())), copies) for parts, copies in held}
+    used = [left for left, tail in handed if left < len(lengths) and places(tail) <= places(chosen)]
+    assert used and min(used) < len(lengths) / 4  # the rest stands in configurations of the program
+    assert sum(copies for _, copies in chosen) <= sum(copies for _, copies in plain)
+    held = np.zeros_like(counts)
+    for parts, copies in chosen:
+        assert (parts[:, 0] * parts[:, 1]).sum() <= 2048
+        np.add.at(held, parts[:, 0], parts[:, 1] * copies)
+    assert (held == counts).all()
+
+
 def test_simhash_groups_equal_brute_force(spark, corpus):
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_groups(documents(spark, corpus), crowd=3).collect())
 
