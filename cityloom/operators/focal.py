@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lattice import floor_div
@@ -163,6 +163,62 @@ def fill_nearest(cells: DataFrame, value: str, reach: int, only_rows: bool = Fal
     return tile_map(cells, [value, *extra], reach, kernel, types, tile)
 
 
+def fill_nearest_any(cells: DataFrame, value: str, keep: list[str] | None = None, near: int = 8, tile: int = TILE) -> DataFrame:
+    """``cx, cy, value, filled`` and ``keep`` of the table's rows, missing values from the nearest observed one at any distance.
+
+    Most rows find it within ``near`` cells, on tiles. For the rows of the lattice that hold others, each column with a
+    source gives its nearest one, from running rows along the column; then a row of the lattice is searched from each of
+    its open cells outwards until no column can be nearer. Ties go to the smaller row, then column, as in ``fill_nearest``.
+    Values stay missing only where the table has none. Work is that of the open rows times the columns with a source.
+    """
+    extra = keep or []
+    names = [value, *extra]
+    table = cut(cells.select("cx", "cy", *[F.col(n).cast("double").alias(n) for n in names]), "fill")
+    local = cut(fill_nearest(table, value, near, only_rows=True, keep=extra, tile=tile).select("cx", "cy", "filled", *names), "near")
+    far = local.where(F.col(value).isNull()).select("cx", "cy")
+    if not far.limit(1).count():
+        return local
+    known = table.where(F.col(value).isNotNull()).select("cx", "cy")
+    asked = known.select("cx").distinct().crossJoin(far.select("cy").distinct())
+    both = known.select("cx", "cy", F.col("cy").alias("at")).unionByName(asked.select("cx", "cy", F.lit(None).cast("bigint").alias("at")))
+    run = Window.partitionBy("cx").rowsBetween(Window.unboundedPreceding, 0)
+    below, above = (F.last("at", ignorenulls=True).over(run.orderBy(o)) for o in (F.col("cy"), F.col("cy").desc()))
+    sources = both.withColumn("_below", below).withColumn("_above", above).where("at IS NULL")
+    nearer = F.col("_above").isNull() | (F.col("cy") - F.col("_below") <= F.col("_above") - F.col("cy"))
+    columns = sources.select("cx", "cy", F.when(F.col("_below").isNotNull() & nearer, F.col("_below")).otherwise(F.col("_above")).alias("sy"))
+
+    def search(open_cells: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        sides = sides.sort_values("cx")
+        col, sy = sides["cx"].to_numpy(), sides["sy"].to_numpy()
+        x = open_cells["cx"].to_numpy()
+        if not len(x) or not len(col):
+            return pd.DataFrame({"cx": [], "cy": [], "sx": [], "sy": []}, dtype="int64")
+        y = int(open_cells["cy"].iloc[0])
+        gap2 = (sy - y) ** 2
+        best = np.full(len(x), np.iinfo(np.int64).max)
+        best_y, best_x = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for step in (-1, 1):
+            at = np.searchsorted(col, x, side="left") - (step < 0)
+            live = np.flatnonzero((at >= 0) & (at < len(col)))
+            while len(live):
+                i = at[live]
+                dx2 = (col[i] - x[live]) ** 2
+                d2 = dx2 + gap2[i]
+                tie = (d2 == best[live]) & ((sy[i] < best_y[live]) | ((sy[i] == best_y[live]) & (col[i] < best_x[live])))
+                won = (d2 < best[live]) | tie
+                best[live[won]], best_y[live[won]], best_x[live[won]] = d2[won], sy[i][won], col[i][won]
+                at[live] += step
+                live = live[(dx2 <= best[live]) & (at[live] >= 0) & (at[live] < len(col))]
+        return pd.DataFrame({"cx": x, "cy": y, "sx": best_x, "sy": best_y})
+
+    found = far.groupBy("cy").cogroup(columns.groupBy("cy")).applyInPandas(search, "cx bigint, cy bigint, sx bigint, sy bigint")
+    given = table.where(F.col(value).isNotNull()).select(F.col("cx").alias("sx"), F.col("cy").alias("sy"), *[F.col(n).alias(f"_{n}") for n in names])
+    taken = found.join(given, ["sx", "sy"]).drop("sx", "sy").withColumn("_far", F.lit(True))
+    whole = local.join(taken, ["cx", "cy"], "left")
+    reached = F.coalesce("_far", F.lit(False))
+    return cut(whole.select("cx", "cy", (F.col("filled") | reached).alias("filled"), *[F.when(reached, F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in names]), "far")
+
+
 def distance_to(cells: DataFrame, target: str, reach: int, tile: int = TILE) -> DataFrame:
     """Distance in cells from each row to the nearest row whose ``target`` flag is set; NULL beyond ``reach``."""
     def kernel(p: Patch):
@@ -237,30 +293,32 @@ def morphology(cells: DataFrame, mask: str, op: str, radius: float, tile: int =
 
 def canopy_relief(
     cells: DataFrame, *, step_mm: float, scale: float, smoothing_m: float, gap_mm: float, edge_mm: float,
-    low_m: float = 1.0, high_m: float = 36.0, reach: int = 64, tile: int = TILE,
+    low_m: float = 1.0, high_m: float = 36.0, reach: int | None = None, tile: int = TILE,
 ) -> DataFrame:
     """Printed canopy height per cell from ``height_m``, ``vegetation`` and ``eligible``.
 
     Measured heights in range fill the gaps, are de-spiked and smoothed; the vegetated footprint is closed over narrow
-    gaps; near the footprint's edge the height rolls off smoothly. Footprint cells further than ``reach`` from any
-    measured height stay without relief.
+    gaps; near the footprint's edge the height rolls off smoothly. The nearest measured height fills at any distance, or
+    only up to ``reach`` cells where that is given.
     """
     gap = disk(max(1, int(np.ceil(gap_mm / (2 * step_mm)))))
     span = gap.shape[0] // 2
     sigma = smoothing_m / (step_mm * scale / 1000.0)
     weights = gauss_kernel(sigma) if sigma > 0 else np.ones(1)
     roll = max(1, int(np.ceil(edge_mm / step_mm)))
-    halo = max(2 * span + roll, reach + 1 + len(weights) // 2 + 2 * span)
+    halo = max(2 * span + roll, 1 + len(weights) // 2 + 2 * span)
+    usual = (F.col("vegetation") != 0) & ~F.isnan("height_m") & (F.col("height_m") > low_m) & (F.col("height_m") <= high_m)
+    cells = cut(cells.select("cx", "cy", F.col("height_m").cast("double").alias("height_m"), "vegetation", "eligible"), "canopy")
+    known = cells.select("cx", "cy", F.when(usual, F.col("height_m")).alias("filled_m"))
+    carried = fill_nearest_any(known, "filled_m", tile=tile) if reach is None else fill_nearest(known, "filled_m", reach, only_rows=True, tile=tile)
+    cells = cells.join(carried.select("cx", "cy", "filled_m"), ["cx", "cy"], "left")
 
     def kernel(p: Patch):
         vegetation = p.flag("vegetation")
         closed = erode(dilate(vegetation, gap) & p.present, gap) & p.present
         h = p["height_m"]
         good = vegetation & ~np.isnan(h) & (h > low_m) & (h <= high_m)
-        d2, sy, sx = nearest_known(good, reach)
-        found = d2 < FAR
-        filled = np.where(found & p.present, h[np.where(found, sy, 0), np.where(found, sx, 0)], np.nan)
-        calm = median_of_nine(filled)
+        calm = median_of_nine(p["filled_m"])
         usable = closed & ~np.isnan(calm)
         smooth = blur(np.where(usable, calm, 0.0), weights) / np.maximum(blur(usable.astype(float), weights), 0.01)
         footprint = closed & p.flag("eligible")
@@ -271,7 +329,7 @@ def canopy_relief(
             "relief_m": np.where(footprint, relief, 0.0), "footprint": footprint, "measured": good,
             "closed_gap": closed & ~vegetation & p.flag("eligible")}
 
-    return tile_map(cells, ["height_m", "vegetation", "eligible"], halo, kernel,
+    return tile_map(cells, ["height_m", "vegetation", "eligible", "filled_m"], halo, kernel,
                     {"relief_m": "double", "footprint": "boolean", "measured": "boolean", "closed_gap": "boolean"}, tile)
 
 

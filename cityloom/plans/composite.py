@@ -64,7 +64,7 @@ def material_fields(t):
     green = regions.vegetated_ground(t.landcover, tile=64)
     seen = binned(t).select("cx", "cy", ((C("upper_m") - F.coalesce("ground_m", F.lit(0.0))) / 2).alias("height_m"))
     canopy_in = ground.join(seen, ["cx", "cy"], "left").select("cx", "cy", "height_m", C("cls").isin(1, 2).cast("int").alias("vegetation"), (~C("cls").isin(4, 5)).cast("int").alias("eligible"))
-    canopy = focal.canopy_relief(canopy_in, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5, reach=16).where("footprint and relief_m > 0")
+    canopy = focal.canopy_relief(canopy_in, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5).where("footprint and relief_m > 0")
     layers = {
         "fallback_green": lifted(ground.where(C("cls") == 8), 1, 0.0), "green": lifted(green, 1, 0.0), "water": lifted(ground.where(C("cls") == 4), 2, -0.5),
         "pads": lifted(ground.where(C("cls") == 7), 3, 0.16), "trails": lifted(trail, 3, 0.48), "roads": lifted(ribbon, 0, 0.48), "trail_decks": lifted(deck_trails, 3, 5.0), "road_decks": lifted(deck_roads, 0, 5.0),

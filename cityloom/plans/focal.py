@@ -73,7 +73,7 @@ def _(t):
     cells = t.landcover.join(binned(t), ["cx", "cy"], "left").select(
         "cx", "cy", ((C("upper_m") - C("ground_m")) / 2).alias("height_m"), C("cls").isin(1, 2).cast("int").alias("vegetation"),
         (C("cls") != 5).cast("int").alias("eligible"))
-    return focal.canopy_relief(cells, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5, reach=16)
+    return focal.canopy_relief(cells, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5)
 
 
 def materials(t):

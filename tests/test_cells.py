@@ -106,6 +106,31 @@ def test_canopy_relief_rolls_off_and_does_not_depend_on_tiles(spark):
     assert report.closed_gap_cells > 0 and report.highest_m <= 36
 
 
+@pytest.mark.parametrize("tile", [7, 64])
+def test_fill_nearest_any_is_exact_at_any_distance(spark, tile):
+    rng = np.random.default_rng(6)
+    grid = np.where(rng.random((40, 30)) < 0.004, rng.random((40, 30)), np.nan)
+    grid[30:, 20:] = np.nan
+    t = table(spark, grid)
+    got = dense(focal.fill_nearest_any(t, "v", near=3, tile=tile), "v", grid.shape)
+    known = np.argwhere(~np.isnan(grid))
+    for y in range(40):
+        for x in range(30):
+            _, a, b = min(((y - a) ** 2 + (x - b) ** 2, a, b) for a, b in known)
+            assert got[y, x] == grid[a, b]
+    none = focal.fill_nearest_any(t.withColumn("v", F.lit(None).cast("double")), "v", tile=tile)
+    assert none.count() == grid.size and none.where("v IS NOT NULL OR filled").count() == 0
+
+
+def test_canopy_far_from_any_measured_height_gets_relief(spark):
+    height = np.full((12, 120), np.nan)
+    height[6, 4] = 10.0
+    green = np.ones(height.shape, dtype=int)
+    t = table(spark, height, "height_m", vegetation=green, eligible=green)
+    relief = dense(focal.canopy_relief(t, step_mm=0.5, scale=4000.0, smoothing_m=2.0, gap_mm=1.0, edge_mm=1.0, tile=16), "relief_m", height.shape)
+    assert np.allclose(relief[5:7, 100], relief[5:7, 40]) and (relief[5:7, 40:100] > 9).all()
+
+
 def test_absorb_thin_removes_slivers_and_keeps_protected_cells(spark):
     m = np.zeros((20, 20))
     m[:, 9] = 1
