@@ -88,15 +88,16 @@ def roof_surface(surfaces: DataFrame, size: float) -> DataFrame:
         F.max("roof_m").alias("roof_m"), F.max_by("owner_id", F.struct(F.col("roof_m"), -F.coalesce("owner_id", F.lit(0)))).alias("roof_owner"))
 
 
-def building_heights(cells: DataFrame, footprints: DataFrame, roofs: DataFrame, parts: DataFrame, slack_reach: int = 8) -> DataFrame:
+def building_heights(cells: DataFrame, footprints: DataFrame, roofs: DataFrame, parts: DataFrame, slack_reach: int | None = None) -> DataFrame:
     """Top of every building cell in metres, with the evidence used.
 
     ``cells`` are ``cx, cy, ground_m, fid`` (NULL outside buildings); ``footprints`` ``fid, recorded_m``; ``roofs``
     ``cx, cy, roof_m, roof_owner``; ``parts`` ``cx, cy, part_m, part_owner``. In order: a roof of the cell's own building
-    where the survey still describes it, mapped parts capped by the recorded height (slack cells take the nearest own
-    part), else ground plus recorded height. Cells beside a footprint keep a kept roof.
+    where the survey still describes it, mapped parts capped by the recorded height (slack cells take the nearest
+    part, if it is their own, at any distance or up to ``slack_reach`` cells where that is given), else ground plus
+    recorded height. Cells beside a footprint keep a kept roof.
     """
-    from .focal import fill_nearest, morphology
+    from .focal import fill_nearest, fill_nearest_any, morphology
 
     recorded = F.when(F.col("recorded_m") > 0, F.col("recorded_m")).otherwise(DEFAULT_HEIGHT_M)
     base = cells.join(roofs, ["cx", "cy"], "left").join(parts, ["cx", "cy"], "left")
@@ -109,9 +110,11 @@ def building_heights(cells: DataFrame, footprints: DataFrame, roofs: DataFrame,
     kept = judged.where("described").select(F.col("fid").alias("roof_owner"), F.lit(True).alias("_kept"))
     wide = base.join(judged, "fid", "left").join(kept, "roof_owner", "left")
     on_part = F.col("massed") & (F.col("part_owner") == F.col("fid"))
-    near = fill_nearest(
-        wide.where(F.col("fid").isNotNull()).select("cx", "cy", F.when(on_part, F.col("part_m")).alias("near_m"), F.col("part_owner").alias("near_owner")),
-        "near_m", slack_reach, only_rows=True, keep=["near_owner"]).select("cx", "cy", "near_m", "near_owner")
+    mapped = wide.where("massed").select("cx", "cy", F.when(on_part, F.col("part_m")).alias("near_m"), F.col("part_owner").alias("near_owner"))
+    carried = (
+        fill_nearest_any(mapped, "near_m", keep=["near_owner"]) if slack_reach is None
+        else fill_nearest(mapped, "near_m", slack_reach, only_rows=True, keep=["near_owner"]))
+    near = carried.select("cx", "cy", "near_m", "near_owner")
     ring = morphology(cells.select("cx", "cy", F.col("fid").isNotNull().cast("int").alias("beside")), "beside", "dilate", 1)
     rows = wide.join(near, ["cx", "cy"], "left").join(ring, ["cx", "cy"], "left")
     inside = F.col("fid").isNotNull()

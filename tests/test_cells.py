@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cityloom.operators import focal, regions
+from cityloom.operators import buildings, focal, regions
 
 
 def table(spark, grid, name="v", **more):
@@ -144,6 +144,15 @@ def test_absorb_thin_removes_slivers_and_keeps_protected_cells(spark):
     assert (height == got + 10).all()
 
 
+def test_slack_cells_take_their_own_part_at_any_distance(spark):
+    cells = spark.createDataFrame([(x, 0, 1.0, 7) for x in range(40)], "cx bigint, cy bigint, ground_m double, fid bigint")
+    prints = spark.createDataFrame([(7, 9.0)], "fid bigint, recorded_m double")
+    roofs = spark.createDataFrame([], "cx bigint, cy bigint, roof_m double, roof_owner bigint")
+    parts = spark.createDataFrame([(0, 0, 6.0, 7)], "cx bigint, cy bigint, part_m double, part_owner bigint")
+    got = buildings.building_heights(cells, prints, roofs, parts).collect()
+    assert len(got) == 40 and all((r.top_m, r.source) == (7.0, "parts") for r in got)
+
+
 def test_diagonal_contacts_are_gone(spark):
     m = np.random.default_rng(5).integers(0, 2, (16, 16)).astype(float)
     t = table(spark, m, "material", height_mm=m, protected=np.zeros((16, 16), dtype=int)).withColumn("material", F.col("material").cast("int"))
