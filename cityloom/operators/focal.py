@@ -344,7 +344,7 @@ def absorb_thin(cells: DataFrame, nozzle_mm: float, step_mm: float, passes: int
     """Redraw ``material`` so that every region is as wide as a bead; ``height_mm`` moves with the material.
 
     A cell no bead-sized disk of its own colour covers takes material and height from the nearest cell that passes,
-    unless ``protected``. Repeats until nothing is thin or the passes are spent. Returns the table with ``moved``.
+    at any distance, unless ``protected``. Repeats until nothing is thin or the passes are spent. Returns the table with ``moved``.
     """
     bead = disk(nozzle_mm / 2.0 / step_mm)
     span = bead.shape[0] // 2
@@ -365,18 +365,12 @@ def absorb_thin(cells: DataFrame, nozzle_mm: float, step_mm: float, passes: int
         marked = cut(tile_map(current, cols, 2 * span, find_thin, fields, tile), "thin")
         if not marked.where("thin").limit(1).count():
             break
-        reach, open_cells = 8, marked
-        while True:
-            sources = open_cells.withColumn("_known", F.when(~F.col("thin"), F.col("material")))
-            near = fill_nearest(sources, "_known", reach, only_rows=True, keep=["height_mm"], tile=max(tile, reach))
-            picked = near.where("filled").select("cx", "cy", F.col("_known").cast("int").alias("_m"), F.col("height_mm").alias("_h"))
-            settled = open_cells.join(picked, ["cx", "cy"], "left").select(
-                "cx", "cy", F.coalesce("_m", "material").alias("material"), F.coalesce("_h", "height_mm").alias("height_mm"), "protected",
-                (F.col("moved") | F.col("_m").isNotNull()).alias("moved"), (F.col("thin") & F.col("_m").isNull()).alias("far"), "thin")
-            settled = cut(settled, "absorb")
-            if reach >= 4096 or not settled.where("far").limit(1).count():
-                break
-            reach *= 8
+        sources = marked.select("cx", "cy", F.when(~F.col("thin"), F.col("material")).alias("_known"), "height_mm")
+        near = fill_nearest_any(sources, "_known", keep=["height_mm"], tile=tile)
+        picked = near.where("filled").select("cx", "cy", F.col("_known").cast("int").alias("_m"), F.col("height_mm").alias("_h"))
+        settled = cut(marked.join(picked, ["cx", "cy"], "left").select(
+            "cx", "cy", F.coalesce("_m", "material").alias("material"), F.coalesce("_h", "height_mm").alias("height_mm"), "protected",
+            (F.col("moved") | F.col("_m").isNotNull()).alias("moved")), "absorb")
         current = settled.select("cx", "cy", *cols)
     return current
 

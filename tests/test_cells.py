@@ -144,6 +144,13 @@ def test_absorb_thin_removes_slivers_and_keeps_protected_cells(spark):
     assert (height == got + 10).all()
 
 
+def test_absorb_thin_reaches_passing_cells_at_any_distance(spark):
+    cells = [(x, 0, 1, 11.0) for x in (5000, 9000, 10**6)] + [(x, y, 2, 12.0) for x in range(4) for y in range(4)]
+    t = spark.createDataFrame([(*c, 0) for c in cells], "cx bigint, cy bigint, material int, height_mm double, protected int")
+    done = {(r.cx, r.cy): (r.material, r.height_mm, r.moved) for r in focal.absorb_thin(t, nozzle_mm=1.0, step_mm=0.5, tile=8).collect()}
+    assert all(done[x, 0] == (2, 12.0, True) for x in (5000, 9000, 10**6)) and len(done) == len(cells)
+
+
 def test_slack_cells_take_their_own_part_at_any_distance(spark):
     cells = spark.createDataFrame([(x, 0, 1.0, 7) for x in range(40)], "cx bigint, cy bigint, ground_m double, fid bigint")
     prints = spark.createDataFrame([(7, 9.0)], "fid bigint, recorded_m double")
