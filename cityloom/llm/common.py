@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..runtime import Rounds
 
@@ -24,7 +25,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in runs of at most ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -39,6 +40,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def extended(docs: DataFrame, column: str, added: dict, make) -> DataFrame:
+    """``docs`` with more columns, worked out from ``column`` slice by slice; columns of the new names are replaced.
+
+    ``added`` gives the Spark and the Arrow type of each; ``make`` is called once a task and returns the function from a
+    list of values to one list for each new column. Other columns pass through as they are, whatever their names.
+    """
+    kept = docs.select(F.col(f"`{column}`"), *[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    schema = StructType([*kept.schema.fields[1:], *[StructField(name, of) for name, (of, _) in added.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for part in slices(batches, 0):
+            new = [pa.array(values, of) for values, (_, of) in zip(work(part.column(0).to_pylist()), added.values())]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 

@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, orderhash, packing, quality, secrets, sharding, simhash, substrings, transcripts
+from . import bpe, hamming, negatives, orderhash, packing, quality, secrets, sharding, simhash, substrings, tokencount, transcripts, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def vocabulary_path() -> str:
-    """Where the box keeps the public vocabulary; the operators take any path."""
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the box keeps the public vocabularies; the operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def query(name: str, sql: str | None = None):
@@ -101,3 +101,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = orderhash.with_edits(table(spark, sf_dir, "documents"))
     return pairs.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+@query("op11_tokencount")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = bpe.vocabulary(spark, vocabulary_path("byte_bpe_50k.json"))
+    counted = tokencount.counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op12_negatives", negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), negatives.quantized(F.col("embedding")).alias("x"))
+    return negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", negatives.quantized(F.col("embedding")).alias("x"))
+    return whitening.whiten(rows, id="vec_id", vector="x")
