@@ -76,21 +76,28 @@ class Best:
     """The best ``k`` rows for each of some places: pairs (score, number), higher scores first, then lower numbers."""
 
     def __init__(self, places: int, k: int):
-        self.k, self.bar = k, np.full(places, NONE)
-        self.place, self.score, self.row = (np.zeros(0, np.int64) for _ in range(3))
+        self.k, self.size = k, np.zeros(places, np.int64)
+        self.score, self.row = np.full((places, k), NONE), np.zeros((places, k), np.int64)
+
+    @property
+    def bar(self) -> np.ndarray:
+        """The score of each place's last row, which a later one must exceed."""
+        return self.score[:, -1]
 
     def offer(self, place: np.ndarray, score: np.ndarray, row: np.ndarray) -> None:
         """Rows must be offered in rising order of their numbers, so that one equal to the bar comes too late."""
-        new = score > self.bar[place]
-        place, score, row = (np.concatenate([a, b[new]]) for a, b in ((self.place, place), (self.score, score), (self.row, row)))
+        touched = np.unique(place)
+        there, slot = np.nonzero(np.arange(self.k) < self.size[touched, None])
+        place = np.concatenate([touched[there], place])
+        score, row = np.concatenate([self.score[touched[there], slot], score]), np.concatenate([self.row[touched[there], slot], row])
         order = np.lexsort((row, -score, place))
         place, score, row = place[order], score[order], row[order]
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
-        nth = np.arange(len(place)) - np.repeat(first, np.diff(np.append(first, len(place))))
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        sizes = np.diff(np.append(first, len(place)))
+        nth = np.arange(len(place)) - np.repeat(first, sizes)
         held = nth < self.k
-        self.place, self.score, self.row = place[held], score[held], row[held]
-        full = nth == self.k - 1
-        self.bar[place[full]] = score[full]
+        self.score[place[held], nth[held]], self.row[place[held], nth[held]] = score[held], row[held]
+        self.size[place[first]] = np.minimum(sizes, self.k)
 
 
 class Grove:
@@ -170,7 +177,8 @@ class Grove:
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window, score and row number of all that stand."""
-        return self.window[self.best.place], self.best.score, self.best.row
+        place, nth = np.nonzero(np.arange(self.k) < self.best.size[:, None])
+        return self.window[place], self.best.score[place, nth], self.best.row[place, nth]
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:

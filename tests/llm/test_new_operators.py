@@ -58,7 +58,7 @@ def test_long_texts_are_taken_in_runs(byte_tokenizer, counter, monkeypatch):
 
 
 def test_counted_rows(spark, byte_tokenizer):
-    texts = [None, "", "  ", "twice", "twice", "naïve café", "word " * 1025, "z" * (5 << 20)]
+    texts = [None, "", "  ", "twice", "twice", "naïve café", "word " * 1025, "zig zag " * 600_000, "z" * 200_000]
     rows = [(i, t, "mine", 7, "old") for i, t in enumerate(texts)] + [(None, "twice", "mine", 7, "old")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, column string, part int, n_tokens string")
     vocab = bpe.vocabulary(spark, vocabulary_path("byte_bpe_50k.json"))
