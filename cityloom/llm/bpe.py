@@ -2,7 +2,9 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never be merged over, so a word may be cut
 there for certain. The fragments of many words are encoded side by side, each on its own, and their ids concatenated.
-Words repeat far more often than texts, so each task keeps the ids of those it has met in a memo of bounded size.
+Words repeat far more often than texts, so each task keeps the ids of those it has met in a memo of bounded size. The memo
+is searched by a hash, and every word found there is compared letter by letter; one that only shares the hash is encoded
+by itself.
 
 Null texts count as empty. An empty text has no tokens and decodes to an empty text.
 """
@@ -24,11 +26,13 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .common import slices
 
-#: Words whose ids a task remembers, and slots of the pair table: both fixed, whatever the data.
-MEMO = 400_000
+#: Letters of the words whose ids a task remembers (ids are no more), and slots of the pair table: both fixed, whatever the data.
+MEMO = 6_000_000
 TABLE = 1 << 18
 TABLE_SHIFT, TABLE_MASK, SPREAD = np.uint32(14), np.uint32(TABLE - 1), np.uint32(0x9E3779B1)
 SLICE = 4 << 20
+#: Words compared with the memo at a time.
+AT_ONCE = 1 << 16
 NEVER = np.int32(2**31 - 1)
 #: Below this the characters are precomposed, and Python and the tokenizer agree on letters, digits and lower case.
 PLAIN_BELOW = 0x180
@@ -92,9 +96,36 @@ class WordBpe:
         self.kinds, self.lower, self.other = _plain_tables()
         spread = np.random.default_rng(7)
         self.letter_hash = spread.integers(0, 2**64, PLAIN_BELOW, np.uint64)
-        self.memo_hash, self.memo_start, self.memo_count, self.memo_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.forget()
         self.slow = None
 
+    def forget(self) -> None:
+        """An empty memo: of each word its hash, where its ids and letters lie, and how many they are."""
+        self.memo_hash, self.memo_ids, self.memo_letters = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.memo_start, self.memo_count, self.memo_at, self.memo_size = (np.zeros(0, np.int64) for _ in range(4))
+
+    def encode_points(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that begin at ``starts``, and how many each has; all letters are plain ones."""
+        chars = points[ragged(starts, sizes)]
+        wide = chars >= 0x80
+        ends = np.cumsum(1 + wide)
+        flat = np.zeros(ends[-1], np.uint8)
+        flat[ends - 1] = np.where(wide, 0x80 | chars & 0x3F, chars)
+        flat[ends[wide] - 2] = 0xC0 | chars[wide] >> np.uint32(6)
+        return self.encode_words(flat, ends[np.cumsum(sizes) - 1])
+
+    def others(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The words that are not those of the memo's ``rows``, though their hashes are."""
+        wrong = self.memo_size[rows] != sizes
+        for i in range(0, len(starts), AT_ONCE):
+            part = np.arange(i, min(i + AT_ONCE, len(starts)))
+            part = part[~wrong[part]]
+            if len(part):
+                apart = points[ragged(starts[part], sizes[part])] != self.memo_letters[ragged(self.memo_at[rows[part]], sizes[part])]
+                if apart.any():
+                    wrong[part[np.unique(np.searchsorted(np.cumsum(sizes[part]), np.flatnonzero(apart), side="right"))]] = True
+        return np.flatnonzero(wrong)
+
     def encode_words(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words whose bytes lie end to end, and how many each has: cut into fragments at word ends and forced pairs."""
         begins = np.zeros(len(flat), bool)
@@ -207,27 +238,29 @@ class WordBpe:
         known = at < len(self.memo_hash)
         known[known] = self.memo_hash[at[known]] == unique[known]
         if not known.all():
-            if len(self.memo_hash) > MEMO:
-                self.memo_hash, self.memo_start, self.memo_count, self.memo_ids = (x[:0] for x in (self.memo_hash, self.memo_start, self.memo_count, self.memo_ids))
+            if len(self.memo_letters) > MEMO:
+                self.forget()
                 known[:] = False
             new = first[~known]
-            chars = points[ragged(starts[new], sizes[new])]
-            wide = chars >= 0x80
-            ends = np.cumsum(1 + wide)
-            flat = np.zeros(ends[-1], np.uint8)
-            flat[ends - 1] = np.where(wide, 0x80 | chars & 0x3F, chars)
-            flat[ends[wide] - 2] = 0xC0 | chars[wide] >> np.uint32(6)
-            ids, counts = self.encode_words(flat, ends[np.cumsum(sizes[new]) - 1])
+            ids, counts = self.encode_points(points, starts[new], sizes[new])
             hashed = np.concatenate([self.memo_hash, unique[~known]])
             order = np.argsort(hashed)
             self.memo_start = np.concatenate([self.memo_start, len(self.memo_ids) + np.cumsum(counts) - counts])[order]
             self.memo_count = np.concatenate([self.memo_count, counts])[order]
+            self.memo_at = np.concatenate([self.memo_at, len(self.memo_letters) + np.cumsum(sizes[new]) - sizes[new]])[order]
+            self.memo_size = np.concatenate([self.memo_size, sizes[new]])[order]
             self.memo_ids = np.concatenate([self.memo_ids, ids])
+            self.memo_letters = np.concatenate([self.memo_letters, points[ragged(starts[new], sizes[new])].astype(np.uint16)])
             self.memo_hash = hashed[order]
             at = np.searchsorted(self.memo_hash, unique)
         rows = at[which]
-        counts = self.memo_count[rows]
-        raw = self.memo_ids[ragged(self.memo_start[rows], counts)].astype("<u4").tobytes()
+        begin, counts, held = self.memo_start[rows], self.memo_count[rows], self.memo_ids
+        alone = self.others(points, starts, sizes, rows)
+        if len(alone):
+            ids, own = self.encode_points(points, starts[alone], sizes[alone])
+            begin[alone], counts[alone] = len(held) + np.cumsum(own) - own, own
+            held = np.concatenate([held, ids])
+        raw = held[ragged(begin, counts)].astype("<u4").tobytes()
         upto = np.append(0, np.cumsum(counts))
         edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
         bound = (4 * upto[np.searchsorted(places, edges)]).tolist()

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -58,6 +58,24 @@ def extended(docs: DataFrame, column: str, added: dict, make) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, *apart: str, **columns) -> DataFrame:
+    """The columns of ``docs`` but ``apart`` in the one column ``row``, and ``columns`` beside it, whatever the names in ``docs``."""
+    held = [F.col(f"`{c}`") for c in docs.columns if c not in apart] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*held).alias("row"), *[value.alias(name) for name, value in columns.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **columns) -> DataFrame:
+    """The columns that ``docs`` had, out of ``row``; ``columns`` replace those of the same names or follow after them."""
+    old = [(columns[c] if c in columns else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*old, *[value.alias(c) for c, value in columns.items() if c not in docs.columns])
+
+
+def whole_row(docs: DataFrame, *first: str) -> Column:
+    """A 64-bit hash of a row: of the columns ``first`` and of all others, so that every attempt at a task gives it the same."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in first]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in first], *([F.to_json(F.struct(*rest))] if rest else []))
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 

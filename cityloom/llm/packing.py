@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..runtime import cut
 from .bpe import SLICE, WordBpe
-from .common import slices
+from .common import packed, slices, unpacked, whole_row
 
 CAPACITY = 2048
 #: A length counts as covered when this share of its items, at most, is open; rounding and best fit place those.
@@ -227,23 +226,29 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
-    """``items`` (with a ``length`` up to ``capacity``) with ``sequence_id`` and ``offset``, gapless in each sequence."""
-    kept = cut(items.withColumn("_part", F.spark_partition_id()), "pieces")
-    tally = cut(kept.groupBy("_part", "length").agg(F.count("*").alias("rows")), "lengths")
+    """``items`` (with a ``length`` up to ``capacity``) with ``sequence_id`` and ``offset``, gapless in each sequence.
+
+    Other columns pass through as they are. Columns named like the two new ones are replaced.
+    """
+    own = items.drop("sequence_id", "offset")
+    kept = cut(packed(own, length=F.col("length").cast("bigint"), part=F.spark_partition_id(), tie=whole_row(own)), "pieces")
+    tally = cut(kept.groupBy("part", "length").agg(F.count("*").alias("rows")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
     for length, rows in tally.groupBy("length").agg(F.sum("rows")).collect():  # one row per length: at most the capacity
         counts[length] = rows
     packing = plan(counts, capacity, rounds)
-    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tally.select("_part", "length", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_before"))
-    names = [f.name for f in items.schema]
-    schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        """Numbers of one part's items of one length: those of earlier parts, then by their own order."""
-        rows = rows.sort_values(names, kind="stable")
-        sequence, offset = packing.place(rows["length"].to_numpy(), rows["_before"].to_numpy() + rows.groupby("length").cumcount().to_numpy())
-        return rows[names].assign(sequence_id=sequence, offset=offset)
-
-    starts = kept.join(offsets, ["_part", "length"])
-    return starts.groupBy("_part").applyInPandas(place, schema)
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tally.select("part", "length", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    # the start of a part's items of one length comes first among them, so it needs no join
+    empty = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("row", "tie")}
+    both = kept.withColumns({"before": F.lit(None).cast("bigint"), "item": F.lit(True)}).unionByName(starts.withColumns({**empty, "item": F.lit(False)}))
+    order = Window.partitionBy("part", "length").orderBy("item", "tie")
+    number = F.max("before").over(order) + F.row_number().over(order) - 2
+
+    @F.pandas_udf("struct<sequence_id: bigint, offset: bigint>")
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        sequence, offset = packing.place(length.to_numpy(), number.to_numpy())
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    placed = both.withColumn("number", number).where("item").withColumn("place", place("length", "number"))
+    return unpacked(placed, own, sequence_id=F.col("place.sequence_id"), offset=F.col("place.offset"))

@@ -23,9 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
-from .common import slices
+from .common import extended, packed, slices, unpacked
 
 BITS = 22
 SAMPLE = 12_000
@@ -166,22 +166,26 @@ def fit(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, bits: int = BIT
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, ``expected_grade`` and ``tail``, the probability of the highest grade."""
-    added = ["score", "expected_grade", "tail"]
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    schema = StructType([*kept.schema.fields, *[StructField(c, DoubleType()) for c in added]])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights, whatever the data
+    """``docs`` with ``score``, ``expected_grade`` and ``tail``, the probability of the highest grade.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, own = Features(bits), shared.value
-        for part in slices(batches, text):
-            scores = np.array([own.weights[features(t)].sum(dtype=np.float64) for t in part.column(text).to_pylist()])
+    Columns of ``docs`` by these three names are replaced; ``select`` keeps them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # 2^bits weights, whatever the data
+
+    def make():
+        features, own = Features(bits), Model(*shared.value)
+
+        def work(texts: list[str | None]) -> list[np.ndarray]:
+            scores = np.array([own.weights[features(t)].sum(dtype=np.float64) for t in texts])
             tails = own.tails(scores)
-            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.float64()) for c in (scores, tails.sum(1), tails[:, -1])]], names=[*part.schema.names, *added])
+            return [scores, tails.sum(1), tails[:, -1]]
+
+        return work
 
-    return kept.mapInArrow(run, schema)
+    return extended(docs, text, {c: (DoubleType(), pa.float64()) for c in ("score", "expected_grade", "tail")}, make)
 
 
 def select(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL, text: str = "text") -> DataFrame:
     """The documents that deserve the highest grade with a probability of ``least_tail`` or more by the model."""
-    return score(docs, model, text=text).where(F.col("tail") >= least_tail).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rated = score(packed(docs, text, text=F.col(text)), model).where(F.col("tail") >= least_tail)
+    return unpacked(rated, docs, **{text: F.col("text")})

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: The base kinds, in their order.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
@@ -41,7 +43,7 @@ def _parts(text: Column, kind: str) -> Column:
 
 def row_key(id: str, text: str) -> Column:
     """Names a row by what it holds, so that every attempt at a task gives it the same name."""
-    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))), 256))
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))), 256))
 
 
 def find(docs: DataFrame, reach: int = REACH, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,18 +98,17 @@ def scan(docs: DataFrame, reach: int = REACH, id: str = "doc_id", text: str = "t
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark``; rows without spans stay as they are."""
-    key = "_row_key"
-    found = find(docs, reach, id, text).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias("_spans"))
+    """``docs`` with every reported span replaced by ``mark``; rows without spans, and all other columns, stay as they are."""
+    found = find(docs, reach, id, text).where(F.size("spans") > 0).select("key", "spans")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def replace(state: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= state["at"], F.concat(F.substring(F.col(text), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        gap = F.when(s["start"] >= state["at"], F.concat(F.substring("text", (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.concat(state["out"], gap).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("_spans", start, replace, lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    joined = docs.withColumn(key, row_key(id, text)).join(found, key, "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("spans", start, replace, lambda s: F.concat(s["out"], F.substring("text", (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    joined = packed(docs, text, text=F.col(text), key=row_key(id, text)).join(found, "key", "left")
+    return unpacked(joined, docs, **{text: F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)})
 
 
 def _sql() -> str:

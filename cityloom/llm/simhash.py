@@ -10,7 +10,8 @@ fingerprints is dealt out again over four further keys, one byte of the other ha
 share one; 25 bits are free then, which bounds a group for good.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Rows that repeat
-keep their rows. Rows of a null id are linked too, and a group of none but null ids has a null component.
+keep their rows. Rows of a null id are linked too, and a group of none but null ids has a null component. Columns beside
+id and text play no part and may be called anything.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Rounds, cut
-from .common import components, mix, shuffle_partitions, slices
+from .common import components, mix, packed, shuffle_partitions, slices, unpacked, whole_row
 
 SEED = 42
 CROWD = 20_000
@@ -55,16 +56,16 @@ def fingerprint(text: str | None, width: int = 3, tables: int = 1) -> list[int]:
     return np.packbits(2 * set_bits > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp0, fp1, …`` of every row: a fingerprint for each table, as signed 64-bit integers."""
-    names = ["doc_id", *[f"fp{t}" for t in range(tables)]]
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text", tie: Column | None = None) -> DataFrame:
+    """``doc_id, tie, fp0, fp1, …`` of every row: a fingerprint for each table, as signed 64-bit integers; ``tie`` is passed on."""
+    names = ["doc_id", "tie", *[f"fp{t}" for t in range(tables)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             prints = np.array([fingerprint(t, width, tables) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(prints[:, t], pa.int64()) for t in range(tables)]], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), *[pa.array(prints[:, t], pa.int64()) for t in range(tables)]], names=names)
 
-    chosen = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    chosen = docs.select(F.col(id).cast("bigint").alias("doc_id"), (F.lit(0).cast("bigint") if tie is None else tie).alias("tie"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
@@ -191,34 +192,50 @@ def near_links(prints: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFr
     return links.unionByName(again).distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row: the smallest id that chains of near fingerprints, of any table, reach.
+def _members(prints: DataFrame, columns: list[str], radius: int, crowd: int) -> DataFrame:
+    """``class, root`` for each class of rows with the same fingerprints: the first row that chains of near ones reach.
 
-    Rows with the same fingerprints form a class. A fingerprint stands for the smallest class that has it: classes that
-    share one link to that class, and near fingerprints link the classes they stand for.
+    A class is named by its own first row: the smallest id (null ids last), then tie, then the class itself. So the smallest
+    name that links reach is the answer, and nothing has to be looked up by root. A fingerprint stands for the first
+    class that has it: classes that share one link to that class, and near fingerprints link the classes they stand for.
     """
-    prints = cut(fingerprints(docs, width, tables, id, text), "prints")
-    columns = [f"fp{t}" for t in range(tables)]
-    class_of = F.col("fp0") if tables == 1 else F.xxhash64(*columns)
-    classes = cut(prints.groupBy(class_of.alias("class"), *columns).agg(F.min("doc_id").alias("least_id")), "classes")
+    name = F.struct(F.isnull("first.doc_id").alias("none"), F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"), F.col("class").alias("class"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tie")).alias("first")
+    classes = cut(prints.groupBy(_class(columns).alias("class"), *columns).agg(first).select("class", *columns, name.alias("name")), "classes")
     links = None
     for column in columns:
-        stands = cut(classes.groupBy(F.col(column).alias("fingerprint")).agg(F.min("class").alias("stands")), "stands")
+        stands = cut(classes.groupBy(F.col(column).alias("fingerprint")).agg(F.min("name").alias("stands")), "stands")
         near = near_links(stands, radius, crowd)
         ends = [stands.select(F.col("fingerprint").alias(x), F.col("stands").alias(f"of_{x}")) for x in ("a", "b")]
-        own = near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-        shared = classes.join(stands, F.col(column) == F.col("fingerprint")).where("class <> stands").select(F.col("class").alias("a"), F.col("stands").alias("b"))
-        found = own if tables == 1 else own.unionByName(shared)
+        found = near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        if len(columns) > 1:
+            shared = classes.join(stands, F.col(column) == F.col("fingerprint")).where("name <> stands")
+            found = found.unionByName(shared.select(F.col("name").alias("a"), F.col("stands").alias("b")))
         links = found if links is None else links.unionByName(found)
-    labels = components(links, docs.sparkSession, "simhash")
-    member = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = cut(member.join(least, "root").select("class", "component_id"), "named")
-    return prints.withColumn("class", class_of).join(named, "class").select("doc_id", F.col("fp0").alias("fingerprint"), "component_id")
+    labels = components(links, prints.sparkSession, "simhash")
+    return classes.join(labels, F.col("name") == F.col("node"), "left").select("class", F.coalesce("root", "name").alias("root"))
+
+
+def _class(columns: list[str]) -> Column:
+    return F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
+
+
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row: the smallest id that chains of near fingerprints, of any table, reach."""
+    prints, columns = cut(fingerprints(docs, width, tables, id, text), "prints"), [f"fp{t}" for t in range(tables)]
+    named = cut(_members(prints, columns, radius, crowd).select("class", F.col("root.doc_id").alias("component_id")), "named")
+    return prints.withColumn("class", _class(columns)).join(named, "class").select("doc_id", F.col("fp0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id. Rows without an id stay."""
-    kept = near_groups(docs.where(F.col(id).isNotNull()), width, radius, tables, id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id).isNotNull()).join(kept, F.col(id).cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates([id])
-    return named.unionByName(docs.where(F.col(id).isNull()))
+    """``docs`` with one row of each group: that of the smallest id, null ids last, and among equal ids the one whose hash is smallest.
+
+    A repeated id says nothing: rows of one id and different texts stay unless their texts are near. Rows equal in every
+    column leave one. All columns are kept, whatever their names.
+    """
+    tie = whole_row(docs, id, text)
+    prints = cut(fingerprints(docs, width, tables, id, text, tie), "prints")
+    roots = _members(prints, [f"fp{t}" for t in range(tables)], radius, CROWD).select(F.col("root.doc_id").alias("kept_id"), F.col("root.tie").alias("kept_tie")).distinct()
+    rows = packed(docs, doc_id=F.col(id).cast("bigint"), tie=tie)
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tie") == F.col("kept_tie"))
+    return unpacked(rows.join(roots, same, "left_semi").dropDuplicates(["doc_id", "tie"]), docs)
