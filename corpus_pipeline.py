@@ -18,19 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.llm import bpe, packing, quality, secrets, simhash, substrings
-from cityloom.llm.common import table
+from cityloom.llm.common import packed, table, unpacked
 from cityloom.llm.queries import vocabulary_path
 from cityloom.runtime import Rounds
 
-#: No SQL trains the classifier or runs the tokenizer; the tests hold each stage against a brute-force version.
+#: No SQL trains the classifier or runs the tokenizer; tests/llm holds the stages' rows against known ones on small tables.
 ORACLE_SQL = None
 
 
-def _counted(docs: DataFrame, changed, columns: list[str]) -> DataFrame:
-    """``docs`` with ``n_chars`` of the new text where it changed."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return docs.select(*columns)
+def _cleaned(rows: DataFrame, docs: DataFrame, text, changed) -> DataFrame:
+    """The columns of ``docs`` out of ``rows`` with the new ``text``, and ``n_chars`` of it where it changed."""
+    n_chars = {}
+    if "n_chars" in docs.columns:
+        n_chars["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return unpacked(rows, docs, text=text, **n_chars)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +45,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = substrings.remove_repeats(docs)
+    cleaned = substrings.remove_repeats(packed(docs, "text", text=F.col("text")))
     left = cleaned.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
     changed = F.col("n_removed") > 0
-    return _counted(left.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text"))), changed, docs.columns)
+    return _cleaned(left, docs, F.when(changed, F.col("kept")).otherwise(F.col("text")), changed)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    before = docs.withColumn("_before", F.xxhash64("text"))
-    return _counted(secrets.redact(before), F.col("_before") != F.xxhash64("text"), docs.columns)
+    cleaned = secrets.redact(packed(docs, "text", doc_id=F.col("doc_id"), text=F.col("text"), before=F.xxhash64("text")))
+    return _cleaned(cleaned, docs, F.col("text"), F.col("before") != F.xxhash64("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
