@@ -1,13 +1,14 @@
 """Near-duplicates by SimHash, linked through deletion-variant signatures.
 
-Two fingerprints with at most three differing bits, cut into two halves, have a half that differs in one bit at most.
-So every half is indexed once for each of its bits with that bit left out: near fingerprints then share a signature,
-which an equality join finds, and full comparison verifies. Only different fingerprints are indexed; copies share one.
+Two fingerprints with at most three differing bits, cut into two halves, have a half that differs in one bit at most; with
+up to five, one of three segments does. So every segment is indexed once for each of its bits with that bit left out: near
+fingerprints then share a signature, which an equality join finds, and full comparison verifies. Only different
+fingerprints are indexed; copies share one.
 
 A signature's fingerprints are searched like a graph: from one, all unvisited ones near it are reached and dropped from
 the search, so a dense group of n gives n - 1 links, never all its pairs. A signature with more than ``crowd``
-fingerprints is dealt out again over four further keys, one byte of the other half each, of which near fingerprints
-share one; 25 bits are free then, which bounds a group for good.
+fingerprints is dealt out again over further keys, one part each of the bits it leaves free; there is one part more than
+bits can differ, so near fingerprints share one.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Rows that repeat
 keep their rows. Rows of a null id are linked too, and a group of none but null ids has a null component. Columns beside
@@ -69,19 +70,35 @@ def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, id: str = "do
     return chosen.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def signatures(prints: DataFrame) -> DataFrame:
-    """``signature, fp``: 64 rows a fingerprint. A signature is half, bit left out, and the half without it, in one integer."""
-    names, types = ["signature", "fp"], [pa.int64(), pa.int64()]
+def segments(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of the segments, of which one differs in one bit at most between fingerprints within ``radius``."""
+    n = max(2, radius // 2 + 1)
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def free_parts(segment: int, radius: int) -> list[tuple[int, int]]:
+    """Bits outside of a segment in one part more than can differ: first bit and width of each, none across the segment."""
+    begin, width = segments(radius)[segment]
+    sides = [(0, begin), (begin + width, 64 - begin - width)]
+    many = [round((radius + 1) * size / (64 - width)) for _, size in sides]
+    return [(at + size * i // n, size * (i + 1) // n - size * i // n) for (at, size), n in zip(sides, many) for i in range(n)]
+
+
+def _bits(values: np.ndarray, at: int, width: int) -> np.ndarray:
+    return (values >> np.uint64(at)) & np.uint64((1 << width) - 1)
+
+
+def signatures(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``signature, fp``: 64 rows a fingerprint. A signature is segment, bit left out, and the segment without it, in one integer."""
+    names, types, cuts = ["signature", "fp"], [pa.int64(), pa.int64()], segments(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 13):
                 fp = batch.column("fp").slice(at, 1 << 13).to_numpy(zero_copy_only=False)
-                halves = np.stack([fp.view(np.uint64) & np.uint64(0xFFFFFFFF), fp.view(np.uint64) >> np.uint64(32)])
-                bits = np.arange(32, dtype=np.uint64)
-                slot = (np.arange(2, dtype=np.uint64)[:, None, None] * np.uint64(32) + bits[None, :, None]) << np.uint64(32)
-                keys = slot | (halves[:, None, :] & ~(np.uint64(1) << bits)[None, :, None])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64), types[0]), pa.array(np.tile(fp, 64), types[1])], names=names)
+                keys = [np.uint64((begin + bit) << 32) | (_bits(fp.view(np.uint64), begin, width) & ~np.uint64(1 << bit)) for begin, width in cuts for bit in range(width)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), types[0]), pa.array(np.tile(fp, 64), types[1])], names=names)
 
     return prints.select(F.col("fingerprint").alias("fp")).mapInArrow(run, "signature bigint, fp bigint")
 
@@ -165,30 +182,32 @@ def _grouped(keyed: DataFrame, radius: int, crowd: int | None) -> DataFrame:
     return keyed.repartition(n, "signature").sortWithinPartitions("signature").mapInArrow(run, "signature bigint, a bigint, b bigint")
 
 
-def _subkeys(crowded: DataFrame) -> DataFrame:
-    """Members of crowded signatures under four further keys each: signature and one byte of the half it leaves free."""
-    names, types = ["signature", "fp"], [pa.int64(), pa.int64()]
+def _subkeys(crowded: DataFrame, radius: int) -> DataFrame:
+    """Members of crowded signatures under further keys: the signature and one part of the bits it leaves free; near ones share a part."""
+    names, types, cuts = ["signature", "fp"], [pa.int64(), pa.int64()], segments(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("signature").to_numpy(zero_copy_only=False)
-            fp = batch.column("a").to_numpy(zero_copy_only=False)
-            own = key.view(np.uint64) >> np.uint64(37)
-            free = np.where(own == 0, fp.view(np.uint64) >> np.uint64(32), fp.view(np.uint64) & np.uint64(0xFFFFFFFF))
-            keys = [key.view(np.uint64) | np.uint64(1 << 62) | np.uint64(i << 38) | ((free >> np.uint64(8 * i)) & np.uint64(255)) << np.uint64(42) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), types[0]), pa.array(np.tile(fp, 4), types[1])], names=names)
+            every = batch.column("signature").to_numpy(zero_copy_only=False).view(np.uint64)
+            prints = batch.column("a").to_numpy(zero_copy_only=False)
+            out = np.searchsorted([begin for begin, _ in cuts], every >> np.uint64(32), side="right") - 1
+            for segment in np.unique(out).tolist():
+                key, fp = every[out == segment], prints[out == segment]
+                parts = free_parts(segment, radius)
+                keys = [key | np.uint64(1 << 62 | i << 38) | _bits(fp.view(np.uint64), at, width) << np.uint64(41) for i, (at, width) in enumerate(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), types[0]), pa.array(np.tile(fp, len(parts)), types[1])], names=names)
 
     return crowded.select("signature", "a").mapInArrow(run, "signature bigint, fp bigint")
 
 
 def near_links(prints: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
     """Links ``a, b`` between different fingerprints: enough to connect all that differ in at most ``radius`` bits."""
-    if radius > 3:
-        raise ValueError("two halves hold one differing bit at most only up to a radius of 3")
+    if radius > 5:
+        raise ValueError("two or three segments hold one differing bit at most only up to a radius of 5")
     rounds = Rounds(prints.sparkSession, "simhash")
-    found = rounds.keep(_grouped(signatures(prints.select("fingerprint").distinct()), radius, crowd), "links")
+    found = rounds.keep(_grouped(signatures(prints.select("fingerprint").distinct(), radius), radius, crowd), "links")
     links = found.where("b IS NOT NULL").select("a", "b")
-    again = _grouped(_subkeys(found.where("b IS NULL")), radius, None).select("a", "b")
+    again = _grouped(_subkeys(found.where("b IS NULL"), radius), radius, None).select("a", "b")
     return links.unionByName(again).distinct()
 
 

@@ -145,15 +145,20 @@ def test_simhash_groups_equal_brute_force(spark, corpus):
     assert got == want
 
 
-def test_near_fingerprints_link_in_crowded_signatures(spark):
+@pytest.mark.parametrize("radius", [1, 3, 5])
+def test_near_fingerprints_link_in_crowded_signatures(spark, radius):
+    for segment in range(len(simhash.segments(radius))):
+        begin, width = simhash.segments(radius)[segment]
+        parts = simhash.free_parts(segment, radius)
+        assert len(parts) > radius and sorted(b for at, n in parts for b in range(at, at + n)) == [b for b in range(64) if not begin <= b < begin + width]
     rng = np.random.default_rng(2)
     centre = int(rng.integers(0, 2**62))
-    near = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(300)}
+    near = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, radius + 1), replace=False)) for _ in range(300)} | {centre}
     signed = [p - (1 << 64) if p >> 63 else p for p in near]
     prints = spark.createDataFrame([(p,) for p in signed], "fingerprint bigint")
     for crowd in (10, 10_000):
-        links = simhash.near_links(prints, 3, crowd).collect()
-        assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 3 for a, b in links)
+        links = simhash.near_links(prints, radius, crowd).collect()
+        assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= radius for a, b in links)
         group, todo = {signed[0]}, [signed[0]]
         beside = {}
         for a, b in links:
@@ -163,7 +168,7 @@ def test_near_fingerprints_link_in_crowded_signatures(spark):
             for x in beside.get(todo.pop(), set()) - group:
                 group.add(x)
                 todo.append(x)
-        assert group == set(signed)  # all lie within three bits of the centre, which is there or reached in steps
+        assert group == set(signed)  # all lie within the radius of the centre, which is there
 
 
 def test_substrings_equal_brute_force(spark, corpus):

@@ -144,3 +144,23 @@ def test_workers_need_no_package(tmp_path):
     script.write_text(code)
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=600, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_edited_copies_are_caught(spark):
+    """Copies of which 2 % of the words are others share 0.8 of their five-word shingles; nine in ten must go, and nothing else."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3000)]
+    originals = [rng.choice(words, int(rng.integers(80, 600))).tolist() for _ in range(150)]
+    rows, alike = [(i, " ".join(w)) for i, w in enumerate(originals)], 0
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    for i, w in enumerate(originals):
+        copy = [str(rng.choice(words)) if rng.random() < 0.02 else x for x in w]
+        a, b = shingles(w), shingles(copy)
+        if len(a & b) / len(a | b) >= 0.8 and copy != w:
+            rows.append((1000 + i, " ".join(copy)))
+            alike += 1
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert alike > 50 and {i for i in kept if i < 1000} == set(range(150))
+    assert 1 - sum(i >= 1000 for i in kept) / alike >= 0.9
