@@ -163,55 +163,113 @@ def fill_nearest(cells: DataFrame, value: str, reach: int, only_rows: bool = Fal
     return tile_map(cells, [value, *extra], reach, kernel, types, tile)
 
 
+BOX = ["x0", "x1", "y0", "y1"]
+#: Edge of the tiles that the far search pairs, and how many of them make one of the next level.
+LEAF, BRANCH = 64, 4
+
+
+def _boxes(cells: DataFrame, x: str, y: str) -> DataFrame:
+    """Tiles ``x, y`` that hold cells, with the box of those cells."""
+    return cells.groupBy(floor_div(F.col("cx"), LEAF).alias(x), floor_div(F.col("cy"), LEAF).alias(y)).agg(
+        *[f(c).alias(f"{x}_{n}") for n, f, c in zip(BOX, (F.min, F.max) * 2, ("cx", "cx", "cy", "cy"))])
+
+
+def _coarser(leaves: DataFrame, x: str, y: str, level: int) -> DataFrame:
+    """The boxes of a level, each joined to its parent's place ``{x}_up, {y}_up``."""
+    side = BRANCH**level
+    nodes = leaves if not level else leaves.groupBy(floor_div(F.col(x), side).alias(x), floor_div(F.col(y), side).alias(y)).agg(
+        *[f(f"{x}_{n}").alias(f"{x}_{n}") for n, f in zip(BOX, (F.min, F.max) * 2)])
+    return nodes.withColumns({f"{c}_up": floor_div(F.col(c), BRANCH) for c in (x, y)})
+
+
+def _tile_extent(tiles: DataFrame, x: str, y: str) -> tuple | None:
+    """Least and greatest place of the tiles along both axes."""
+    found = tiles.agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
+    return None if found[0] is None else tuple(found)
+
+
+def _tile_pairs(open_tiles: DataFrame, known_tiles: DataFrame, q: tuple, s: tuple) -> DataFrame:
+    """``qx, qy, sx, sy``: for every tile with open cells the tiles that may hold the nearest source of one of them.
+
+    From the whole map down, level by level: a tile's open cells have a source no further than the furthest points of its
+    nearest box, so boxes that begin beyond that fall away with all they hold. Rounds grow with the log of the extent.
+    """
+    level = 0
+    while any((high // BRANCH**level) - (low // BRANCH**level) > 1 for low, high in (q[:2], q[2:], s[:2], s[2:])):
+        level += 1
+    across = [range(low // BRANCH**level, high // BRANCH**level + 1) for low, high in (q[:2], q[2:], s[:2], s[2:])]
+    top = [(a, b, c, d) for a in across[0] for b in across[1] for c in across[2] for d in across[3]]  # sixteen at most
+    pairs = open_tiles.sparkSession.createDataFrame(top, "qx_up bigint, qy_up bigint, sx_up bigint, sy_up bigint")
+    pairs = pairs.select(*[floor_div(F.col(c), BRANCH).alias(c) for c in pairs.columns]).distinct()
+    gap = lambda a: F.greatest(F.lit(0), F.col(f"sx_{a}0") - F.col(f"qx_{a}1"), F.col(f"qx_{a}0") - F.col(f"sx_{a}1"))
+    span = lambda a: F.greatest(F.col(f"sx_{a}1") - F.col(f"qx_{a}0"), F.col(f"qx_{a}1") - F.col(f"sx_{a}0"))
+    square = lambda f: f("x") * f("x") + f("y") * f("y")
+    while True:
+        both = pairs.join(_coarser(open_tiles, "qx", "qy", level), ["qx_up", "qy_up"]).join(_coarser(known_tiles, "sx", "sy", level), ["sx_up", "sy_up"])
+        sure = F.min(square(span)).over(Window.partitionBy("qx", "qy"))
+        pairs = both.withColumn("sure", sure).where(square(gap) <= F.col("sure")).select("qx", "qy", "sx", "sy")
+        if not level:
+            return pairs
+        if level % 3 == 0:
+            pairs = cut(pairs, "pairs")
+        level, pairs = level - 1, pairs.toDF("qx_up", "qy_up", "sx_up", "sy_up")
+
+
+def nearest_far(open_cells: DataFrame, known: DataFrame) -> DataFrame:
+    """``cx, cy, sx, sy``: the nearest known cell of each open one, at any distance; ties go to the smaller row, then column.
+
+    Both are written tables of ``cx, cy``. Tiles are paired first; a tile shows another only its border: the first known
+    cell of each row or column that faces it, so a pair is ``LEAF`` sources at most. A tile of open cells is paired with
+    those tiles alone that lie about as far as its nearest source. Without a known cell no row comes back.
+    """
+    open_tiles, known_tiles = cut(_boxes(open_cells, "qx", "qy"), "open-tiles"), cut(_boxes(known, "sx", "sy"), "known-tiles")
+    q, s = _tile_extent(open_tiles, "qx", "qy"), _tile_extent(known_tiles, "sx", "sy")
+    if q is None or s is None:
+        return open_cells.select("cx", "cy", F.lit(0).cast("bigint").alias("sx"), F.lit(0).cast("bigint").alias("sy")).limit(0)
+    pairs = cut(_tile_pairs(open_tiles, known_tiles, q, s), "tile-pairs")
+    placed = known.select(floor_div(F.col("cx"), LEAF).alias("sx"), floor_div(F.col("cy"), LEAF).alias("sy"), "cx", "cy")
+    rows = placed.groupBy("sx", "sy", "cy").agg(F.min("cx").alias("low"), F.max("cx").alias("high"))
+    columns = placed.groupBy("sx", "sy", "cx").agg(F.min("cy").alias("low"), F.max("cy").alias("high"))
+    tile = ["sx", "sy"]
+    beside = pairs.where("qx <> sx").join(rows, tile).select("qx", "qy", F.when(F.col("qx") < F.col("sx"), F.col("low")).otherwise(F.col("high")).alias("cx"), "cy")
+    above = pairs.where("qx = sx AND qy <> sy").join(columns, tile).select("qx", "qy", "cx", F.when(F.col("qy") < F.col("sy"), F.col("low")).otherwise(F.col("high")).alias("cy"))
+    own = pairs.where("qx = sx AND qy = sy").join(placed, tile).select("qx", "qy", "cx", "cy")
+    shown = beside.unionByName(above).unionByName(own)
+    asked = open_cells.select(floor_div(F.col("cx"), LEAF).alias("qx"), floor_div(F.col("cy"), LEAF).alias("qy"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+    def search(cells: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        x, y = cells["x"].to_numpy(), cells["y"].to_numpy()
+        sources = sources.sort_values(["cy", "cx"])  # the first of equals is the one that ties go to
+        sx, sy = sources["cx"].to_numpy(), sources["cy"].to_numpy()
+        best, at = np.full(len(x), np.iinfo(np.int64).max), np.zeros(len(x), np.int64)
+        step = max(1, (1 << 20) // max(1, len(x)))
+        for i in range(0, len(sx), step):
+            d2 = (sx[None, i:i + step] - x[:, None]) ** 2 + (sy[None, i:i + step] - y[:, None]) ** 2
+            first = d2.argmin(1)
+            near = d2[np.arange(len(x)), first]
+            won = near < best
+            best[won], at[won] = near[won], i + first[won]
+        if not len(sx):
+            x = y = at = at[:0]
+        return pd.DataFrame({"cx": x, "cy": y, "sx": sx[at], "sy": sy[at]})
+
+    return asked.groupBy("qx", "qy").cogroup(shown.groupBy("qx", "qy")).applyInPandas(search, "cx bigint, cy bigint, sx bigint, sy bigint")
+
+
 def fill_nearest_any(cells: DataFrame, value: str, keep: list[str] | None = None, near: int = 8, tile: int = TILE) -> DataFrame:
     """``cx, cy, value, filled`` and ``keep`` of the table's rows, missing values from the nearest observed one at any distance.
 
-    Most rows find it within ``near`` cells, on tiles. For the rows of the lattice that hold others, each column with a
-    source gives its nearest one, from running rows along the column; then a row of the lattice is searched from each of
-    its open cells outwards until no column can be nearer. Ties go to the smaller row, then column, as in ``fill_nearest``.
-    Values stay missing only where the table has none. Work is that of the open rows times the columns with a source.
+    Most rows find it within ``near`` cells, on tiles; ``nearest_far`` finds it for the others. Ties go to the smaller row,
+    then column, as in ``fill_nearest``. Values stay missing only where the table has none.
     """
     extra = keep or []
     names = [value, *extra]
     table = cut(cells.select("cx", "cy", *[F.col(n).cast("double").alias(n) for n in names]), "fill")
     local = cut(fill_nearest(table, value, near, only_rows=True, keep=extra, tile=tile).select("cx", "cy", "filled", *names), "near")
-    far = local.where(F.col(value).isNull()).select("cx", "cy")
-    if not far.limit(1).count():
+    open_cells = local.where(F.col(value).isNull()).select("cx", "cy")
+    if open_cells.isEmpty():
         return local
-    known = table.where(F.col(value).isNotNull()).select("cx", "cy")
-    asked = known.select("cx").distinct().crossJoin(far.select("cy").distinct())
-    both = known.select("cx", "cy", F.col("cy").alias("at")).unionByName(asked.select("cx", "cy", F.lit(None).cast("bigint").alias("at")))
-    run = Window.partitionBy("cx").rowsBetween(Window.unboundedPreceding, 0)
-    below, above = (F.last("at", ignorenulls=True).over(run.orderBy(o)) for o in (F.col("cy"), F.col("cy").desc()))
-    sources = both.withColumn("_below", below).withColumn("_above", above).where("at IS NULL")
-    nearer = F.col("_above").isNull() | (F.col("cy") - F.col("_below") <= F.col("_above") - F.col("cy"))
-    columns = sources.select("cx", "cy", F.when(F.col("_below").isNotNull() & nearer, F.col("_below")).otherwise(F.col("_above")).alias("sy"))
-
-    def search(open_cells: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
-        sides = sides.sort_values("cx")
-        col, sy = sides["cx"].to_numpy(), sides["sy"].to_numpy()
-        x = open_cells["cx"].to_numpy()
-        if not len(x) or not len(col):
-            return pd.DataFrame({"cx": [], "cy": [], "sx": [], "sy": []}, dtype="int64")
-        y = int(open_cells["cy"].iloc[0])
-        gap2 = (sy - y) ** 2
-        best = np.full(len(x), np.iinfo(np.int64).max)
-        best_y, best_x = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        for step in (-1, 1):
-            at = np.searchsorted(col, x, side="left") - (step < 0)
-            live = np.flatnonzero((at >= 0) & (at < len(col)))
-            while len(live):
-                i = at[live]
-                dx2 = (col[i] - x[live]) ** 2
-                d2 = dx2 + gap2[i]
-                tie = (d2 == best[live]) & ((sy[i] < best_y[live]) | ((sy[i] == best_y[live]) & (col[i] < best_x[live])))
-                won = (d2 < best[live]) | tie
-                best[live[won]], best_y[live[won]], best_x[live[won]] = d2[won], sy[i][won], col[i][won]
-                at[live] += step
-                live = live[(dx2 <= best[live]) & (at[live] >= 0) & (at[live] < len(col))]
-        return pd.DataFrame({"cx": x, "cy": y, "sx": best_x, "sy": best_y})
-
-    found = far.groupBy("cy").cogroup(columns.groupBy("cy")).applyInPandas(search, "cx bigint, cy bigint, sx bigint, sy bigint")
+    found = nearest_far(open_cells, table.where(F.col(value).isNotNull()).select("cx", "cy"))
     given = table.where(F.col(value).isNotNull()).select(F.col("cx").alias("sx"), F.col("cy").alias("sy"), *[F.col(n).alias(f"_{n}") for n in names])
     taken = found.join(given, ["sx", "sy"]).drop("sx", "sy").withColumn("_far", F.lit(True))
     whole = local.join(taken, ["cx", "cy"], "left")
@@ -340,38 +398,55 @@ def canopy_report(relief: DataFrame) -> DataFrame:
         F.count_if("footprint").alias("canopy_cells"), F.median(inside).alias("median_m"), F.max(inside).alias("highest_m"))
 
 
-def absorb_thin(cells: DataFrame, nozzle_mm: float, step_mm: float, passes: int = 6, tile: int = TILE) -> DataFrame:
+def absorb_thin(cells: DataFrame, nozzle_mm: float, step_mm: float, passes: int = 6, near: int = 8, tile: int = TILE) -> DataFrame:
     """Redraw ``material`` so that every region is as wide as a bead; ``height_mm`` moves with the material.
 
     A cell no bead-sized disk of its own colour covers takes material and height from the nearest cell that passes,
-    at any distance, unless ``protected``. Repeats until nothing is thin or the passes are spent. Returns the table with ``moved``.
+    at any distance, unless ``protected``. Repeats until nothing is thin, a pass changes nothing (so none would) or the
+    passes are spent. Returns the table with ``moved``.
+
+    A pass is one round over tiles whose halo holds what judges a cell and its sources up to ``near`` cells away; only
+    cells without such a source are searched for further off.
     """
     bead = disk(nozzle_mm / 2.0 / step_mm)
     span = bead.shape[0] // 2
 
-    def find_thin(p: Patch):
+    def redraw(p: Patch):
         inside = ~np.isnan(p["material"])
         thin = np.zeros_like(inside)
         for colour in np.unique(p["material"][inside]):
             same = inside & (p["material"] == colour)
             thin |= same & ~dilate(erode(same, bead), bead)
         thin &= ~p.flag("protected")
-        return p.present, {"material": p["material"], "height_mm": p["height_mm"], "protected": p.flag("protected"), "moved": p.flag("moved"), "thin": thin}
+        d2, y, x = nearest_known(inside & ~thin, near)
+        moves = thin & (d2 < FAR)
+        y, x = np.where(moves, y, 0), np.where(moves, x, 0)
+        drawn = {c: np.where(moves, p[c][y, x], p[c]) for c in ("material", "height_mm")}
+        other = np.logical_or.reduce([(drawn[c] != p[c]) & ~(np.isnan(drawn[c]) & np.isnan(p[c])) for c in drawn])
+        return p.present, {**drawn, "protected": p.flag("protected"), "moved": p.flag("moved") | moves, "thin": thin, "far": thin & ~moves, "other": other}
 
-    fields = {"material": "int", "height_mm": "double", "protected": "boolean", "moved": "boolean", "thin": "boolean"}
     cols = ["material", "height_mm", "protected", "moved"]
+    fields = {"material": "int", "height_mm": "double", "protected": "boolean", "moved": "boolean", "thin": "boolean", "far": "boolean", "other": "boolean"}
     current = cells.select("cx", "cy", "material", "height_mm", "protected", F.lit(False).alias("moved"))
     for _ in range(passes):
-        marked = cut(tile_map(current, cols, 2 * span, find_thin, fields, tile), "thin")
-        if not marked.where("thin").limit(1).count():
+        drawn = cut(tile_map(current, cols, 2 * span + near, redraw, fields, tile), "absorb")
+        current = drawn.select("cx", "cy", *cols)
+        thin, far, other = drawn.agg(F.max("thin"), F.max("far"), F.max("other")).first()
+        if not thin:
+            break
+        if far:
+            passing = drawn.where("NOT thin AND material IS NOT NULL")
+            found = nearest_far(drawn.where("far").select("cx", "cy"), passing.select("cx", "cy"))
+            taken = passing.select(F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("material").alias("_m"), F.col("height_mm").alias("_h"))
+            picked = found.join(taken, ["sx", "sy"]).select("cx", "cy", "_m", "_h", F.lit(True).alias("_far"))
+            reached = F.coalesce("_far", F.lit(False))
+            new = {c: F.when(reached, F.col(n)).otherwise(F.col(c)) for c, n in (("material", "_m"), ("height_mm", "_h"))}
+            differs = ~(new["material"].eqNullSafe(F.col("material")) & new["height_mm"].eqNullSafe(F.col("height_mm")))
+            settled = cut(current.join(picked, ["cx", "cy"], "left").select(
+                "cx", "cy", *[v.alias(c) for c, v in new.items()], "protected", (F.col("moved") | reached).alias("moved"), differs.alias("other")), "absorb")
+            current, other = settled.select("cx", "cy", *cols), other or settled.agg(F.max("other")).first()[0]
+        if not other:
             break
-        sources = marked.select("cx", "cy", F.when(~F.col("thin"), F.col("material")).alias("_known"), "height_mm")
-        near = fill_nearest_any(sources, "_known", keep=["height_mm"], tile=tile)
-        picked = near.where("filled").select("cx", "cy", F.col("_known").cast("int").alias("_m"), F.col("height_mm").alias("_h"))
-        settled = cut(marked.join(picked, ["cx", "cy"], "left").select(
-            "cx", "cy", F.coalesce("_m", "material").alias("material"), F.coalesce("_h", "height_mm").alias("height_mm"), "protected",
-            (F.col("moved") | F.col("_m").isNotNull()).alias("moved")), "absorb")
-        current = settled.select("cx", "cy", *cols)
     return current
 
 

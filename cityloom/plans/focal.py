@@ -68,12 +68,39 @@ def _(t):
     return out.withColumn("distance", F.round("distance", 6))
 
 
-@query("r9_canopy_relief")
+#: One number that orders sources by distance, row and column, and gives row and column back.
+NEAREST = "min(((g.cx - q.cx)*(g.cx - q.cx) + (g.cy - q.cy)*(g.cy - q.cy))*4294967296 + (g.cy + 32768)*65536 + g.cx + 32768)"
+
+
+def relief_sql():
+    """Every step as a table: known heights, the nearest of them anywhere, 3 x 3 median, Gaussian mean, closed footprint, roll-off."""
+    disk2, disk3 = offsets(2, 4), offsets(3, 9)
+    return f"""WITH l AS (SELECT l.cx, l.cy, (b.upper_m - b.ground_m)/2 AS h, l.cls IN (1, 2) AS veg, l.cls <> 5 AS ok FROM landcover l LEFT JOIN ({BINNED}) b ON b.cx = l.cx AND b.cy = l.cy),
+    g AS (SELECT cx, cy, h FROM l WHERE veg AND h > 1 AND h <= 36),
+    far AS (SELECT q.cx, q.cy, {NEAREST} AS k FROM l q, g WHERE NOT EXISTS (SELECT 1 FROM g x WHERE x.cx = q.cx AND x.cy = q.cy) GROUP BY q.cx, q.cy),
+    f AS MATERIALIZED (SELECT cx, cy, h AS v FROM g UNION ALL SELECT far.cx, far.cy, g.h FROM far JOIN g ON g.cx = k % 65536 - 32768 AND g.cy = k // 65536 % 65536 - 32768),
+    o AS (SELECT a.i AS dx, b.i AS dy FROM range(-1, 2) a(i), range(-1, 2) b(i)),
+    calm AS (SELECT g.cx, g.cy, list_sort(list(coalesce(d.v, v.v, h.v, g.v)))[5] AS v FROM f g CROSS JOIN o
+      LEFT JOIN f d ON d.cx = g.cx + dx AND d.cy = g.cy + dy LEFT JOIN f v ON v.cx = g.cx AND v.cy = g.cy + dy LEFT JOIN f h ON h.cx = g.cx + dx AND h.cy = g.cy GROUP BY g.cx, g.cy),
+    wide AS (SELECT l.cx, l.cy FROM l CROSS JOIN {disk2} o JOIN l h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy WHERE h.veg GROUP BY l.cx, l.cy),
+    closed AS MATERIALIZED (SELECT l.cx, l.cy FROM l CROSS JOIN {disk2} o JOIN wide h ON h.cx = l.cx + o.dx AND h.cy = l.cy + o.dy GROUP BY l.cx, l.cy HAVING count(*) = 13),
+    usable AS MATERIALIZED (SELECT cx, cy, v FROM calm JOIN closed USING (cx, cy)),
+    w AS (SELECT i, exp(-0.5*(i/1.5e0)*(i/1.5e0)) AS w FROM range(-6, 7) r(i)), n AS (SELECT i, w/(SELECT sum(w) FROM w) AS w FROM w),
+    soft AS (SELECT u.cx + a.i AS cx, u.cy + b.i AS cy, sum(a.w*b.w*v)/greatest(sum(a.w*b.w), 0.01) AS v FROM usable u, n a, n b GROUP BY 1, 2),
+    foot AS MATERIALIZED (SELECT l.cx, l.cy, l.veg FROM l JOIN closed USING (cx, cy) WHERE ok),
+    rim AS (SELECT cx, cy FROM l ANTI JOIN foot USING (cx, cy)),
+    edge AS (SELECT f.cx, f.cy, min(d2) AS d2 FROM foot f CROSS JOIN {disk3} o JOIN rim r ON r.cx = f.cx + o.dx AND r.cy = f.cy + o.dy GROUP BY f.cx, f.cy),
+    t AS (SELECT f.cx, f.cy, f.veg, least(1, sqrt(coalesce(d2, 16))*0.5/1.5) AS t FROM foot f LEFT JOIN edge USING (cx, cy))
+    SELECT l.cx, l.cy, round(CASE WHEN t IS NULL THEN 0 ELSE least(36, greatest(0, coalesce(soft.v, 0)))*t*t*(3 - 2*t) END, 6) AS relief_m, t IS NOT NULL AS footprint,
+      coalesce(l.veg AND h > 1 AND h <= 36, false) AS measured, coalesce(NOT t.veg, false) AS closed_gap FROM l LEFT JOIN t USING (cx, cy) LEFT JOIN soft USING (cx, cy)"""
+
+
+@query("r9_canopy_relief", relief_sql())
 def _(t):
     cells = t.landcover.join(binned(t), ["cx", "cy"], "left").select(
         "cx", "cy", ((C("upper_m") - C("ground_m")) / 2).alias("height_m"), C("cls").isin(1, 2).cast("int").alias("vegetation"),
         (C("cls") != 5).cast("int").alias("eligible"))
-    return focal.canopy_relief(cells, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5)
+    return focal.canopy_relief(cells, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5).withColumn("relief_m", F.round("relief_m", 6))
 
 
 def materials(t):
@@ -82,7 +109,21 @@ def materials(t):
         ((C("cx") * 3 + C("cy")) % 29 == 0).alias("protected"))
 
 
-@query("r10_absorb_thin")
+def thin_sql(passes):
+    """A pass as four tables: whole beads of one colour, what they cover, what they leave thin, and its nearest cell that passes."""
+    o = offsets(1, 1)
+    ctes = ["s0 AS (SELECT cx, cy, cls % 4 AS material, cls*1.0e0 + (cx + cy) % 3 AS height_mm, (cx*3 + cy) % 29 = 0 AS protected, false AS moved FROM landcover)"]
+    for k in range(passes):
+        ctes += [f"""e{k} AS (SELECT a.cx, a.cy, a.material FROM s{k} a CROSS JOIN {o} o JOIN s{k} b ON b.cx = a.cx + dx AND b.cy = a.cy + dy AND b.material = a.material GROUP BY 1, 2, 3 HAVING count(*) = 5)""",
+                 f"c{k} AS (SELECT DISTINCT cx + dx AS cx, cy + dy AS cy, true AS held FROM e{k} CROSS JOIN {o} o)",
+                 f"t{k} AS MATERIALIZED (SELECT s.*, NOT protected AND held IS NULL AS thin FROM s{k} s LEFT JOIN c{k} USING (cx, cy))",
+                 f"n{k} AS MATERIALIZED (SELECT q.cx, q.cy, {NEAREST} AS k FROM t{k} q, t{k} g WHERE q.thin AND NOT g.thin GROUP BY q.cx, q.cy)",
+                 f"""s{k + 1} AS MATERIALIZED (SELECT t.cx, t.cy, coalesce(g.material, t.material) AS material, coalesce(g.height_mm, t.height_mm) AS height_mm, t.protected, t.moved OR k IS NOT NULL AS moved
+                   FROM t{k} t LEFT JOIN n{k} n ON n.cx = t.cx AND n.cy = t.cy LEFT JOIN t{k} g ON g.cx = k % 65536 - 32768 AND g.cy = k // 65536 % 65536 - 32768)"""]
+    return f"WITH {', '.join(ctes)} SELECT cx, cy, CAST(material AS INT) AS material, height_mm, protected, moved FROM s{passes}"
+
+
+@query("r10_absorb_thin", thin_sql(6))
 def _(t):
     m = materials(t).withColumn("protected", C("protected").cast("int"))
     return focal.absorb_thin(m, nozzle_mm=1.0, step_mm=0.5)

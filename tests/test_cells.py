@@ -213,3 +213,25 @@ def test_narrow_peaks_finds_the_tank_on_a_broad_roof(spark):
     t = table(spark, h, "height_mm", material=np.zeros((30, 30), dtype=int), building=on).withColumn("plate", F.lit("a"))
     got = regions.narrow_peaks(t, step_mm=0.5, diameter_mm=1.0, band_mm=2.0, sweep_mm=0.5, tile=8).collect()
     assert [(r.x, r.y, r.peak_mm) for r in got] == [(7.5, 5.5, 23.0)]
+
+
+def test_nearest_far_over_scattered_districts(spark, monkeypatch):
+    """Forty districts far apart, sources in a few of them: exact, ties included, and pairs of tiles as many as tiles, not their square."""
+    rng = np.random.default_rng(4)
+    places = rng.integers(-40_000, 40_000, (40, 2))
+    sides = np.arange(0, 30, 3)
+    cells = [(int(x + i), int(y + j)) for x, y in places for i in sides for j in sides]
+    cells = sorted(set(cells) | {(0, 0), (10, 0), (0, 10), (10, 10), (5, 5)})
+    known = [c for n, c in enumerate(cells) if n % 157 == 0 and c != (5, 5)] + [(0, 0), (10, 0), (0, 10), (10, 10)]
+    open_cells = [c for c in cells if c not in set(known)]
+    table = lambda rows: spark.createDataFrame(rows, "cx bigint, cy bigint")
+    asked, given = table(open_cells), table(known)
+    for leaf in (64, 7):
+        monkeypatch.setattr(focal, "LEAF", leaf)
+        got = {(r.cx, r.cy): (r.sx, r.sy) for r in focal.nearest_far(asked, given).collect()}
+        assert len(got) == len(open_cells)
+        for x, y in open_cells:
+            assert got[x, y] == min(known, key=lambda s: ((s[0] - x) ** 2 + (s[1] - y) ** 2, s[1], s[0]))
+        tiles, sources = focal._boxes(asked, "qx", "qy"), focal._boxes(given, "sx", "sy")
+        assert focal._tile_pairs(tiles, sources, focal._tile_extent(tiles, "qx", "qy"), focal._tile_extent(sources, "sx", "sy")).count() < 6 * tiles.count()
+    assert focal.nearest_far(asked, given.limit(0)).count() == 0 and focal.nearest_far(asked.limit(0), given).count() == 0
