@@ -91,11 +91,11 @@ def roof_surface(surfaces: DataFrame, size: float) -> DataFrame:
 def building_heights(cells: DataFrame, footprints: DataFrame, roofs: DataFrame, parts: DataFrame, slack_reach: int | None = None) -> DataFrame:
     """Top of every building cell in metres, with the evidence used.
 
-    ``cells`` are ``cx, cy, ground_m, fid`` (NULL outside buildings); ``footprints`` ``fid, recorded_m``; ``roofs``
+    ``cells`` are ``cx, cy, ground_m, fid`` (NULL outside buildings) and, if some may hold no fringe, a flag ``barred``; ``footprints`` ``fid, recorded_m``; ``roofs``
     ``cx, cy, roof_m, roof_owner``; ``parts`` ``cx, cy, part_m, part_owner``. In order: a roof of the cell's own building
     where the survey still describes it, mapped parts capped by the recorded height (slack cells take the nearest
     part, if it is their own, at any distance or up to ``slack_reach`` cells where that is given), else ground plus
-    recorded height. Cells beside a footprint keep a kept roof.
+    recorded height. Cells beside a footprint keep a kept roof, but for barred ones (water and pads).
     """
     from .focal import fill_nearest, fill_nearest_any, morphology
 
@@ -120,7 +120,8 @@ def building_heights(cells: DataFrame, footprints: DataFrame, roofs: DataFrame,
     inside = F.col("fid").isNotNull()
     use_roof = inside & F.col("described") & (F.col("roof_owner") == F.col("fid"))
     use_part = inside & F.col("massed") & (F.col("near_owner") == F.col("fid"))
-    fringe = ~inside & F.col("beside") & F.coalesce("_kept", F.lit(False))
+    free = ~F.coalesce(F.col("barred"), F.lit(False)) if "barred" in cells.columns else F.lit(True)
+    fringe = ~inside & F.col("beside") & F.coalesce("_kept", F.lit(False)) & free
     lifted = F.greatest(F.col("roof_m"), F.col("ground_m") + 1)
     top = (
         F.when(use_roof | fringe, lifted).when(use_part, F.col("ground_m") + F.least("near_m", "recorded_m"))
@@ -153,8 +154,8 @@ def fixture_heights(fixtures: DataFrame, cells: DataFrame, size: float, min_widt
     rise = F.least(F.greatest(F.coalesce("seen_m", "roof_m") - F.col("roof_m"), F.lit(0.0)), F.lit(4.0))
     target = F.when(skipped, F.lit(None)).when(tank, F.col("measured_top_m")).otherwise(F.col("roof_m") + F.greatest(rise, F.lit(minimum_m)))
     method = (
-        F.when(skipped, "skipped: tank top below existing roof").when(tank, "measured top elevation")
-        .when(rise >= minimum_m, "height difference of points").otherwise("least printable height"))
+        F.when(skipped, "skipped").when(tank, "tank")
+        .when(rise >= minimum_m, "points").otherwise("least"))
     return level.select("id", "kind", "cells", "roof_m", target.alias("top_m"), method.alias("method"))
 
 

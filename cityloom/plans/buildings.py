@@ -103,8 +103,9 @@ PARTS = """SELECT cx, cy, max(h) AS part_m, arg_max(owner, (h, -owner)) AS part_
         LATERAL (SELECT unnest(range(CAST(ceil(p.miny/4 - 0.5) AS BIGINT), CAST(ceil(p.maxy/4 - 0.5) AS BIGINT))) AS cy) q) r GROUP BY cx, cy"""
 
 
-def parts(t):
-    raised = t.roof_polygons.where(C("id") % 3 == 1).select(C("true_owner").alias("owner"), (F.lit(5.0) + C("id") % 7).alias("h"), "edges")
+def parts(t, every: bool = False):
+    """Mapped parts: the roofs as boxes of their own height, a third of them unless ``every`` one is asked for."""
+    raised = t.roof_polygons.where(F.lit(every) | (C("id") % 3 == 1)).select(C("true_owner").alias("owner"), (F.lit(5.0) + C("id") % 7).alias("h"), "edges")
     return spatial.cells_of_polygons(raised, 4.0, ["owner", "h"]).groupBy("cx", "cy").agg(
         F.max("h").alias("part_m"), F.max_by("owner", F.struct(C("h"), -C("owner"))).alias("part_owner"))
 
@@ -155,7 +156,7 @@ def fixtures(t):
     l AS (SELECT id, kind, mt, quantile_cont(top_m, 0.3) AS roof, quantile_cont(upper_m, 0.7) AS seen, count(*) AS cells FROM p GROUP BY id, kind, mt),
     q AS (SELECT *, least(greatest(seen - roof, 0), 4) AS rise, kind = 'tank' AND mt < roof - 1 AS skip FROM l)
     SELECT id, kind, cells, round(roof, 5) AS roof_m, round(CASE WHEN skip THEN NULL WHEN kind = 'tank' THEN mt ELSE roof + greatest(rise, 0.8) END, 5) AS top_m,
-           CASE WHEN skip THEN 'skipped: tank top below existing roof' WHEN kind = 'tank' THEN 'measured top elevation' WHEN rise >= 0.8 THEN 'height difference of points' ELSE 'least printable height' END AS method FROM q""")
+           CASE WHEN skip THEN 'skipped' WHEN kind = 'tank' THEN 'tank' WHEN rise >= 0.8 THEN 'points' ELSE 'least' END AS method FROM q""")
 def _(t):
     cells = binned(t).where(C("ground_m").isNotNull()).select("cx", "cy", (C("ground_m") + 8).alias("top_m"), "upper_m")
     out = ops.fixture_heights(fixtures(t), cells, 8.0, 20.0, 0.8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import levels, tables
@@ -11,7 +13,7 @@ from ..operators import cells as cell_ops
 from ..runtime import cut, scratch_path
 from ..sources.derived import CELL_FT
 from ..streaming import ingest
-from .buildings import ground_of, parts, surfaces
+from .buildings import fixtures, ground_of, parts, stair_runs, surfaces
 from .cells import BINNED, binned
 from .focal import offsets
 from .registry import query
@@ -45,33 +47,70 @@ def _(t):
         F.round(F.avg("ground_m"), 5).alias("mean_ground_m"), F.max("upper_m").alias("top_m"), F.count("*").alias("cells"))
 
 
+#: Kinds of drawn route: which ways are drawn so, and how wide in feet.
+DRAWN = {
+    "roads": ((C("drawn") == "ribbon"), 12.0), "trails": ((C("cls") == "trail") & (C("drawn") != "deck"), 8.0),
+    "road_decks": ((C("drawn") == "deck") & (C("cls") == "carriageway"), 16.0), "trail_decks": ((C("drawn") == "deck") & (C("cls") == "trail"), 10.0),
+    "tunnels": ((C("drawn") == "none") & C("grade").startswith("tunnel:"), 12.0)}
+
+
 def material_fields(t):
-    """Material and printed heights per cell from all layers of the map."""
+    """Material and printed heights per cell from all layers of the map.
+
+    Routes are drawn in one pass that carries their kind. Decks run between the ends that their bridge's profile gives,
+    stairs in whole treads, fixtures stand on the roofs just computed; then the ground comes back over tunnels in parks.
+    """
     ground = cut(t.landcover.withColumn("ground_m", ground_of()), "ground")
     base = ground.select("cx", "cy", "ground_m")
     lifted = lambda cells, material, lift: cells.select("cx", "cy").join(base, ["cx", "cy"]).select("cx", "cy", F.lit(material).alias("material"), (C("ground_m") + lift).alias("top_m"))
-    routes = cut(road_symbols(t).select("way_id", "cls", "drawn"), "symbols")
-    lines = cut(way_segments(t).join(routes, C("line_id") == C("way_id")), "lines")
-    drawn = lambda cond, width: roads.road_ribbons(lines.where(cond).withColumn("width_ft", F.lit(width)), CELL_FT).select("cx", "cy").distinct()
-    ribbon, trail = drawn(C("drawn") == "ribbon", 12.0), drawn((C("cls") == "trail") & (C("drawn") != "deck"), 8.0)
-    deck_roads, deck_trails = drawn((C("drawn") == "deck") & (C("cls") == "carriageway"), 16.0), drawn((C("drawn") == "deck") & (C("cls") == "trail"), 10.0)
+    routes = road_symbols(t).select("way_id", "cls", "drawn", "grade")
+    kind = F.coalesce(*[F.when(cond, name) for name, (cond, _) in DRAWN.items()])
+    width = F.create_map(*[F.lit(x) for name, (_, feet) in DRAWN.items() for x in (name, feet)])[C("kind")]
+    lines = cut(way_segments(t).join(routes.withColumn("kind", kind).where("kind IS NOT NULL"), C("line_id") == C("way_id")).withColumn("width_ft", width), "lines")
+    ribbons = cut(roads.road_ribbons(lines, CELL_FT, ["kind"]), "ribbons")
+    drawn = lambda *names: ribbons.where(C("kind").isin(*names)).select("cx", "cy")
+    seen = cut(binned(t), "binned")
+
+    spanning = lines.where(C("kind").isin("road_decks", "trail_decks"))
+    spanning = cut(spanning.join(spanning.groupBy("way_id").agg(F.sum("length").alias("line_length")), "way_id").withColumn("carriageway", C("kind") == "road_decks"), "spanning")
+    spots = t.spots.select("x", "y", C("elevation_ft").alias("value"))
+    profiles = cut(paint.deck_profiles(spanning, surfaces(t).where(C("id") % 5 == 0), spots, base, size=CELL_FT, near_ft=6.56, spot_ft=3.0, ribbon_ft=20.0), "profiles")
+    planned = [paint.deck_cells(spanning.where(C("kind") == name), profiles, CELL_FT, DRAWN[name][1], 0.48).withColumn("kind", F.lit(name)) for name in ("road_decks", "trail_decks")]
+    spans = planned[0].unionByName(planned[1]).groupBy("kind", "cx", "cy").agg(F.max("top_m").alias("deck_m"))
+    decks = ribbons.where(C("kind").isin("road_decks", "trail_decks")).join(base, ["cx", "cy"]).join(spans, ["kind", "cx", "cy"], "left")
+    deck = lambda name, material: decks.where(C("kind") == name).select("cx", "cy", F.lit(material).alias("material"), F.coalesce("deck_m", C("ground_m") + 5.0).alias("top_m"))
+
     prints = cut(spatial.rasterize(t.polygons, CELL_FT).withColumnRenamed("id", "fid"), "prints")
     roofs = buildings.roof_surface(surfaces(t), CELL_FT).withColumn("roof_m", C("roof_m") - 20)
-    heights = buildings.building_heights(
-        base.join(prints, ["cx", "cy"], "left"), t.footprints.select(C("id").alias("fid"), (C("height_roof") / 6).alias("recorded_m")),
-        cut(roofs, "roofs"), cut(parts(t).select(F.floor(C("cx") / 2).alias("cx"), F.floor(C("cy") / 2).alias("cy"), "part_m", "part_owner").groupBy("cx", "cy").agg(
-            F.max("part_m").alias("part_m"), F.max_by("part_owner", F.struct("part_m", "part_owner")).alias("part_owner")), "parts"))
-    green = regions.vegetated_ground(t.landcover, tile=64)
-    seen = binned(t).select("cx", "cy", ((C("upper_m") - F.coalesce("ground_m", F.lit(0.0))) / 2).alias("height_m"))
-    canopy_in = ground.join(seen, ["cx", "cy"], "left").select("cx", "cy", "height_m", C("cls").isin(1, 2).cast("int").alias("vegetation"), (~C("cls").isin(4, 5)).cast("int").alias("eligible"))
+    massing = parts(t, every=True).select(F.floor(C("cx") / 2).alias("cx"), F.floor(C("cy") / 2).alias("cy"), "part_m", "part_owner").groupBy("cx", "cy").agg(
+        F.max("part_m").alias("part_m"), F.max_by("part_owner", F.struct("part_m", "part_owner")).alias("part_owner"))
+    heights = cut(buildings.building_heights(
+        ground.select("cx", "cy", "ground_m", C("cls").isin(4, 7).alias("barred")).join(prints, ["cx", "cy"], "left"),
+        t.footprints.select(C("id").alias("fid"), (C("height_roof") / 6).alias("recorded_m")), cut(roofs, "roofs"), cut(massing, "parts")), "heights")
+    upper = seen.select("cx", "cy", (C("upper_m") / 2).alias("upper_m"))
+    on_roofs = heights.join(upper, ["cx", "cy"], "left").select("cx", "cy", "top_m", "upper_m")
+    stand = fixtures(t)
+    tops = buildings.fixture_heights(stand, on_roofs, CELL_FT, 20.0, 0.8).where("top_m IS NOT NULL").select("id", C("top_m").alias("fixture_m"))
+    fixed = buildings.fixture_cells(stand, CELL_FT, 20.0).join(tops, "id").join(on_roofs.select("cx", "cy"), ["cx", "cy"]).groupBy("cx", "cy").agg(F.max("fixture_m").alias("top_m"))
+    treads, _ = paint.stair_treads(stair_runs(t), base, prints.select("cx", "cy"), ground.where(C("cls") == 4).select("cx", "cy"), drawn("roads", "road_decks", "trail_decks"),
+                                   size=CELL_FT, width_ft=12.0, mm_per_ft=0.0762, mm_per_m=0.375, relief_m=0.5)
+
+    green = cut(regions.vegetated_ground(t.landcover, tile=64), "green")
+    measured = seen.select("cx", "cy", ((C("upper_m") - F.coalesce("ground_m", F.lit(0.0))) / 2).alias("height_m"))
+    canopy_in = ground.join(measured, ["cx", "cy"], "left").select("cx", "cy", "height_m", C("cls").isin(1, 2).cast("int").alias("vegetation"), (~C("cls").isin(4, 5)).cast("int").alias("eligible"))
     canopy = focal.canopy_relief(canopy_in, step_mm=0.5, scale=4000.0, smoothing_m=3.0, gap_mm=1.5, edge_mm=1.5).where("footprint and relief_m > 0")
     layers = {
         "fallback_green": lifted(ground.where(C("cls") == 8), 1, 0.0), "green": lifted(green, 1, 0.0), "water": lifted(ground.where(C("cls") == 4), 2, -0.5),
-        "pads": lifted(ground.where(C("cls") == 7), 3, 0.16), "trails": lifted(trail, 3, 0.48), "roads": lifted(ribbon, 0, 0.48), "trail_decks": lifted(deck_trails, 3, 5.0), "road_decks": lifted(deck_roads, 0, 5.0),
+        "pads": lifted(ground.where(C("cls") == 7), 3, 0.16), "trails": lifted(drawn("trails"), 3, 0.48), "roads": lifted(drawn("roads"), 0, 0.48),
+        "trail_decks": deck("trail_decks", 3), "road_decks": deck("road_decks", 0),
         "buildings": heights.select("cx", "cy", F.lit(0).alias("material"), "top_m"),
-        "canopy": canopy.join(base, ["cx", "cy"]).select("cx", "cy", F.lit(1).alias("material"), (C("ground_m") + C("relief_m")).alias("top_m"))}
+        "canopy": canopy.join(base, ["cx", "cy"]).select("cx", "cy", F.lit(1).alias("material"), (C("ground_m") + C("relief_m")).alias("top_m")),
+        "fixtures": fixed.select("cx", "cy", F.lit(0).alias("material"), "top_m"), "stairs": treads.select("cx", "cy", "material", "top_m")}
     painted = paint.paint_priority(base, layers)
-    printed = painted.withColumnRenamed("top_m", "surface_m")
+    holds = lambda *names: reduce(lambda a, b: a | b, [paint.has_layer(n) for n in names])
+    flagged = painted.join(drawn("tunnels").distinct().withColumn("tunnel", F.lit(True)), ["cx", "cy"], "left").withColumns({
+        "tunnel": F.coalesce("tunnel", F.lit(False)), "park": holds("green", "fallback_green"), "bridge": holds("road_decks", "trail_decks"), "surface_route": holds("roads", "trails")})
+    printed = paint.restore_over_tunnels(flagged).withColumnRenamed("top_m", "surface_m")
     mm = cell_ops.relative_heights_mm(printed, 2.0, 4000.0, 1.5, 1.0, 0.8)
     return mm.withColumn("substrate_mm", levels.substrate_top(C("ground_mm"), C("surface_mm"), 0.0, levels.colour_depth(F.lit(0.2))))
 
@@ -79,9 +118,11 @@ def material_fields(t):
 @query("q4_material_fields")
 def _(t):
     cells = material_fields(t)
+    drawn = [F.count_if(paint.has_layer(n)).alias(f"{n}_cells") for n in ("road_decks", "trail_decks", "fixtures", "stairs")]
     return cells.groupBy("material").agg(
         F.count("*").alias("cells"), F.avg("surface_mm").alias("mean_surface_mm"), F.max("surface_mm").alias("top_mm"), F.min("substrate_mm").alias("lowest_substrate_mm"),
-        F.count_if(paint.has_layer("trails") & paint.has_layer("roads")).alias("trails_yielded"))
+        F.count_if(paint.has_layer("trails") & paint.has_layer("roads")).alias("trails_yielded"), *drawn,
+        F.count_if("tunnel").alias("tunnel_cells"), F.count_if("restored").alias("restored_cells"))
 
 
 @query("q7_crossing_validation", f"""

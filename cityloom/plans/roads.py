@@ -85,7 +85,7 @@ def _(t):
     q AS (SELECT line_id, CASE WHEN u THEN aa ELSE start END AS a, CASE WHEN u THEN bb ELSE slope END AS b, CASE WHEN u THEN klo ELSE lo END AS lo, CASE WHEN u THEN khi ELSE hi END AS hi, CASE WHEN u THEN kept ELSE n END AS samples, n
           FROM (SELECT *, kept >= 3 AND krng >= 0.2 AS u FROM f) f2)
     SELECT line_id, round(least(greatest(a, lo - mg), hi + mg), 4) AS start_z, round(least(greatest(a + b, lo - mg), hi + mg), 4) AS end_z, samples, n - samples AS rejected, 'fitted' AS method
-    FROM (SELECT *, greatest(0.5, (hi - lo)*0.25e0) AS mg FROM q) z UNION ALL SELECT line_id, round(med, 4), round(med, 4), n, 0, 'constant median' FROM b WHERE n < 3 OR rng < 0.2""")
+    FROM (SELECT *, greatest(0.5, (hi - lo)*0.25e0) AS mg FROM q) z UNION ALL SELECT line_id, round(med, 4), round(med, 4), n, 0, 'median' FROM b WHERE n < 3 OR rng < 0.2""")
 def _(t):
     out = stats.robust_line_fit(line_samples(t))
     return out.select("line_id", F.round("start_z", 4).alias("start_z"), F.round("end_z", 4).alias("end_z"), "samples", "rejected", "method")

@@ -17,7 +17,7 @@ from cityloom.runtime import session
 from cityloom.sources.derived import BASE_TABLES
 
 
-LIMIT_SECONDS = 60
+LIMIT_SECONDS = 240
 
 
 def connect(folder: str):
