@@ -15,7 +15,7 @@ from cityloom.runtime import session
 
 HEADLINE = [
     "a1_bin_points", "r4_fill_nearest", "q1_elevation_cache", "j1_points_in_polygons", "j4_overlap_join", "j5_line_support", "j6_roof_owner",
-    "r2_rasterize", "r1_label_regions", "r16_building_heights", "q2_vector_cache", "q3_road_symbols", "q4_material_fields",
+    "r2_rasterize", "r1_label_regions", "r9_canopy_relief", "r10_absorb_thin", "r16_building_heights", "q2_vector_cache", "q3_road_symbols", "q4_material_fields",
     "q5_cut_surface_and_seams", "q6_print_report", "q7_crossing_validation",
 ]
 

@@ -49,9 +49,8 @@ def _(t):
 
 #: Kinds of drawn route: which ways are drawn so, and how wide in feet.
 DRAWN = {
-    "roads": ((C("drawn") == "ribbon"), 12.0), "trails": ((C("cls") == "trail") & (C("drawn") != "deck"), 8.0),
-    "road_decks": ((C("drawn") == "deck") & (C("cls") == "carriageway"), 16.0), "trail_decks": ((C("drawn") == "deck") & (C("cls") == "trail"), 10.0),
-    "tunnels": ((C("drawn") == "none") & C("grade").startswith("tunnel:"), 12.0)}
+    "roads": ("drawn = 'ribbon'", 12.0), "trails": ("cls = 'trail' AND drawn <> 'deck'", 8.0), "road_decks": ("drawn = 'deck' AND cls = 'carriageway'", 16.0),
+    "trail_decks": ("drawn = 'deck' AND cls = 'trail'", 10.0), "tunnels": ("drawn = 'none' AND startswith(grade, 'tunnel:')", 12.0)}
 
 
 def material_fields(t):
@@ -64,7 +63,7 @@ def material_fields(t):
     base = ground.select("cx", "cy", "ground_m")
     lifted = lambda cells, material, lift: cells.select("cx", "cy").join(base, ["cx", "cy"]).select("cx", "cy", F.lit(material).alias("material"), (C("ground_m") + lift).alias("top_m"))
     routes = road_symbols(t).select("way_id", "cls", "drawn", "grade")
-    kind = F.coalesce(*[F.when(cond, name) for name, (cond, _) in DRAWN.items()])
+    kind = F.coalesce(*[F.when(F.expr(cond), name) for name, (cond, _) in DRAWN.items()])
     width = F.create_map(*[F.lit(x) for name, (_, feet) in DRAWN.items() for x in (name, feet)])[C("kind")]
     lines = cut(way_segments(t).join(routes.withColumn("kind", kind).where("kind IS NOT NULL"), C("line_id") == C("way_id")).withColumn("width_ft", width), "lines")
     ribbons = cut(roads.road_ribbons(lines, CELL_FT, ["kind"]), "ribbons")
