@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Rounds, cut
@@ -211,6 +211,18 @@ def near_links(prints: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFr
     return links.unionByName(again).distinct()
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links that connect the same: an end ``b`` goes to its smallest partner, and so do its other partners.
+
+    Every signature spans its own tree, so a member of a large group has another parent in each of them. The smallest
+    partners of all members are few, so most of these links become the same. An end is a child once a signature at most,
+    which bounds its partners ``a``.
+    """
+    led = links.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    ends = led.select(F.col("least").alias("a"), "b").unionByName(led.where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b")))
+    return ends.distinct()
+
+
 def _members(prints: DataFrame, columns: list[str], radius: int, crowd: int) -> DataFrame:
     """``class, root`` for each class of rows with the same fingerprints: the first row that chains of near ones reach.
 
@@ -229,8 +241,10 @@ def _members(prints: DataFrame, columns: list[str], radius: int, crowd: int) ->
         found = near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
         if len(columns) > 1:
             shared = classes.join(stands, F.col(column) == F.col("fingerprint")).where("name <> stands")
-            found = found.unionByName(shared.select(F.col("name").alias("a"), F.col("stands").alias("b")))
+            found = found.unionByName(shared.select(F.col("stands").alias("a"), F.col("name").alias("b")))
         links = found if links is None else links.unionByName(found)
+    for _ in range(2):  # the second round finds most links alike
+        links = contracted(cut(links.distinct(), "links"))
     labels = components(links, prints.sparkSession, "simhash")
     return classes.join(labels, F.col("name") == F.col("node"), "left").select("class", F.coalesce("root", "name").alias("root"))
 
