@@ -1,23 +1,28 @@
 """Repeated passages: windows of words that occur more than once, by level-wise doubling.
 
-Level one judges every window of ``window`` words. A window of twice the length can only repeat if both its halves do,
-so each further level extends the windows that repeated, and them alone, until no candidate survives; a document's
-``longest`` is the longest level at which it still shares a window.
+The first level judges every window of half the length (rounded up). A window of twice the length, or of ``window`` words
+where twice would be more, can only repeat if its two halves do, which then overlap; so each further level extends the
+windows that repeated, and them alone. The level of ``window`` words decides what is removed. The levels above it go on
+until no candidate survives; a document's ``longest`` is the longest of them at which it still shares a window.
 
-Documents are dealt into blocks of bounded text by a hash. A block announces the sorted, distinct 64-bit hashes of its
-windows, cut into ranges of the hash; a window that fills a third of the corpus is one number per block. Whoever gets a
-range knows which numbers several blocks have, or one block twice, and answers with one bit for each. So what travels
-is some 5 bytes a window, never positions or words, and no group depends on how often a passage repeats.
+Documents are dealt into blocks of bounded text by a hash. A block announces the sorted, distinct hashes of its candidates,
+cut into ranges of the hash; a window that fills a third of the corpus is one number per block. Whoever gets a range knows
+which numbers several blocks have, or one block twice, and answers with one bit for each. So what travels is some 5 bytes
+a window at the first level, never positions or words, and no group depends on how often a passage repeats. There are at
+most as many rows as windows, however many blocks and ranges there are.
 
 Words are runs of bytes other than space and \\x09-\\x0D. Null texts have none. Documents shorter than a window lose
-nothing. Rows that repeat are copies of each other: their windows repeat. Two different windows share a hash with
-probability 2^-64.
+nothing. Rows that repeat are copies of each other: their windows repeat. A text is held whole by its block, however long.
+Columns of the caller named like the new ones are replaced; the pipeline packs them away first. The level that decides
+compares 128 bits made of 64-bit hashes of the words, the others 64: a chance hit there makes one more candidate, or a
+``longest`` too long, never a word less.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +35,7 @@ WINDOW = 35
 BLOCK_BYTES = 6 << 20
 RANGE_BYTES = 12 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)  # sets the second stream of hashes apart
 
 
 def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -49,78 +55,117 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return part
 
 
-def _words(texts: list[str | None], window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, where each text's words begin, and the places at which a window lies within one text."""
+def _words(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, where each text's words begin among all, and the hashes of all words."""
     words = [(t or "").encode().split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.append(0, np.cumsum(sizes))
-    fits = np.maximum(sizes - window + 1, 0)
+    return words, starts, np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, int(starts[-1]))
+
+
+def _places(starts: np.ndarray, length: int) -> np.ndarray:
+    """Where a window of ``length`` words begins and lies within one text."""
+    fits = np.maximum(np.diff(starts) - length + 1, 0)
     ends = np.cumsum(fits)
-    places = np.repeat(starts[:-1] - (ends - fits), fits) + np.arange(ends[-1] if len(ends) else 0)
-    return words, starts, places
+    return np.repeat(starts[:-1] - (ends - fits), fits) + np.arange(ends[-1] if len(ends) else 0)
+
 
+def level_lengths(window: int, first: int | None = None) -> list[int]:
+    """Lengths of the levels up to the one that decides: ``first`` (half the window), doubled until it is reached."""
+    lengths = [min(window, first or (window + 1) // 2)]
+    while lengths[-1] < window:
+        lengths.append(min(2 * lengths[-1], window))
+    return lengths
 
-def _hashes(words: list[list[bytes]], places: np.ndarray, window: int) -> np.ndarray:
+
+def _hashes(flat: np.ndarray, places: np.ndarray, length: int, streams: int) -> np.ndarray:
+    """One row of window hashes for each stream."""
     if not len(places):
-        return np.zeros(0, np.uint64)
-    total = sum(map(len, words))
-    flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), np.uint64, total)
-    return window_hashes(flat, window)[places]
+        return np.zeros((streams, 0), np.uint64)
+    return np.stack([window_hashes(words, length)[places] for words in (flat, mix(flat ^ SECOND))[:streams]])
 
 
 ANNOUNCED = StructType([StructField("range", IntegerType()), StructField("block", LongType()), StructField("numbers", BinaryType()), StructField("twice", BinaryType())])
 ANSWERED = StructType([StructField("block", LongType()), StructField("range", IntegerType()), StructField("repeated", BinaryType())])
 
 
-def _range_edges(numbers: np.ndarray, ranges: int) -> np.ndarray:
-    return np.searchsorted(numbers, np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)).tolist() + [len(numbers)]
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different columns of ``hashes`` in order, how often each occurs, and which of them each column is."""
+    order = np.argsort(hashes[0]) if len(hashes) == 1 else np.lexsort(hashes[::-1])
+    ranked = hashes[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked[:, 1:] != ranked[:, :-1]).any(0)
+    which = np.cumsum(new) - 1
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = which
+    return ranked[:, new], np.bincount(which), inverse
+
+
+def _ranges(numbers: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """``range, from, to`` of the ranges in which sorted numbers lie."""
+    part = ((numbers >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(part[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(part)]))
 
 
 def announce(block: int, hashes: np.ndarray, ranges: int) -> pa.Table:
     """A row for each range in which the block has hashes: the bytes of the sorted hashes, plane by plane, which compresses well."""
-    numbers, counts = np.unique(hashes, return_counts=True)
-    edges = _range_edges(numbers, ranges)
-    rows = [(i, block, numbers[a:b].view(np.uint8).reshape(-1, 8).T.tobytes(), np.packbits(counts[a:b] > 1).tobytes())
-            for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    numbers, counts, _ = distinct(hashes)
+    rows = [(i, block, np.ascontiguousarray(numbers[:, a:b]).view(np.uint8).reshape(len(numbers), -1, 8).transpose(0, 2, 1).tobytes(), np.packbits(counts[a:b] > 1).tobytes())
+            for i, a, b in _ranges(numbers[0], ranges)]
     columns = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=ANNOUNCED.names)
 
 
-def answer(group: pa.Table) -> pa.Table:
+def answer(group: pa.Table, streams: int = 1) -> pa.Table:
     """For every block's hashes in one range: which of them occur more than once anywhere."""
-    lists = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for x in group.column("numbers").to_pylist()]
-    own = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(group.column("twice").to_pylist(), lists)]
-    every = np.sort(np.concatenate(lists))
-    several = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(n[t] for n, t in zip(lists, own))]))
-    bits = []
-    for numbers in lists:
-        at = np.searchsorted(several, numbers)
-        found = at < len(several)
-        found[found] = several[at[found]] == numbers[found]
-        bits.append(np.packbits(found).tobytes())
+    lists = [np.frombuffer(x, np.uint8).reshape(streams, 8, -1).transpose(0, 2, 1).copy().view(np.uint64)[:, :, 0] for x in group.column("numbers").to_pylist()]
+    sizes = [x.shape[1] for x in lists]
+    own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group.column("twice").to_pylist(), sizes)])
+    _, counts, which = distinct(np.concatenate(lists, 1))
+    several = counts > 1
+    several[which[own > 0]] = True
+    bits = [np.packbits(x).tobytes() for x in np.split(several[which], np.cumsum(sizes)[:-1])]
     return pa.table([group.column("block"), group.column("range"), pa.array(bits, pa.binary())], names=ANSWERED.names)
 
 
 def repeated(hashes: np.ndarray, answers: pa.Table, ranges: int) -> np.ndarray:
     """Whether each window of a block repeats, from the answers to what the block announced."""
-    numbers, which = np.unique(hashes, return_inverse=True)
-    edges = _range_edges(numbers, ranges)
-    flags = np.zeros(len(numbers), bool)
+    numbers, _, which = distinct(hashes)
+    edges = {i: (a, b) for i, a, b in _ranges(numbers[0], ranges)}
+    flags = np.zeros(numbers.shape[1], bool)
     for at, bits in zip(answers.column("range").to_pylist(), answers.column("repeated").to_pylist()):
-        a, b = edges[at], edges[at + 1]
+        a, b = edges[at]
         flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-    return flags[which] if len(hashes) else np.zeros(0, bool)
+    return flags[which]
+
+
+def _answers(announced: DataFrame, streams: int = 1) -> DataFrame:
+    return announced.groupBy("range").applyInArrow(lambda group: answer(group, streams), ANSWERED)
 
 
-def _answers(announced: DataFrame) -> DataFrame:
-    return announced.groupBy("range").applyInArrow(answer, ANSWERED)
+def candidates(flat: np.ndarray, starts: np.ndarray, lengths: list[int], answers: list[pa.Table], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of a block's windows: those that repeat at the last level answered, or the next level's candidates."""
+    for level, length in enumerate(lengths):
+        places = _places(starts, length)
+        if level:
+            live = np.zeros(len(flat), bool)
+            live[at] = True
+            places = places[live[places] & live[places + (length - lengths[level - 1])]]
+        hashes = _hashes(flat, places, length, 2 if length == lengths[-1] else 1)
+        if level == len(answers):
+            return places, hashes
+        hit = repeated(hashes, answers[level], ranges)
+        at, hashes = places[hit], hashes[:, hit]
+    return at, hashes
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", first: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``n_words, n_removed, kept`` and the windows that repeat.
 
     ``kept`` is the words left, joined by one space: those in no window that occurs elsewhere too. ``block`` and
-    ``ordinal`` name the row; ``starts`` and ``hashes`` hold its repeated windows, 4 and 8 bytes each.
+    ``ordinal`` name the row; ``starts`` and ``hashes`` hold its repeated windows, 4 and 8 bytes each. The text is shuffled
+    once, whatever the number of levels; each of them reads it again.
     """
     spark = docs.sparkSession
     added = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()),
@@ -129,18 +174,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     size = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = shuffle_partitions(spark)
     blocks, ranges = max(n, size // BLOCK_BYTES), max(n, size // RANGE_BYTES)
-    names = own.columns
+    names, lengths = own.columns, level_lengths(window, first)
     dealt = own.withColumn("block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(blocks))).repartition(n, "block")
 
-    def tell(block: pa.Table) -> pa.Table:
-        words, _, places = _words(block.column(text).to_pylist(), window)
-        return announce(block.column("block")[0].as_py(), _hashes(words, places, window), ranges)
+    def by_level(answers: pa.Table, levels: int) -> list[pa.Table]:
+        return [answers.filter(pc.equal(answers.column("level"), i)) for i in range(levels)]
+
+    def tell(block: pa.Table, answers: pa.Table | None, level: int) -> pa.Table:
+        _, starts, flat = _words(block.column(text).to_pylist())
+        return announce(block.column("block")[0].as_py(), candidates(flat, starts, lengths, by_level(answers, level), ranges)[1], ranges)
 
     def clean(block: pa.Table, answers: pa.Table) -> pa.Table:
-        words, starts, places = _words(block.column(text).to_pylist(), window)
-        hashes = _hashes(words, places, window)
-        hit = repeated(hashes, answers, ranges)
-        places, hashes = places[hit], hashes[hit]
+        words, starts, flat = _words(block.column(text).to_pylist())
+        places, hashes = candidates(flat, starts, lengths, by_level(answers, len(lengths)), ranges)
         change = np.zeros(starts[-1] + 1, np.int32)
         change[places] += 1
         change[places + window] -= 1
@@ -151,13 +197,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
             gone = covered[starts[i]:starts[i + 1]]
             at = slice(edges[i], edges[i + 1])
             left = own_words if not gone.any() else [w for w, g in zip(own_words, gone.tolist()) if not g]
-            rows.append((len(own_words), int(gone.sum()), b" ".join(left).decode(), block.column("block")[i].as_py(), i, (places[at] - starts[i]).astype("<i4").tobytes(), hashes[at].tobytes()))
+            rows.append((len(own_words), int(gone.sum()), b" ".join(left).decode(), block.column("block")[i].as_py(), i, (places[at] - starts[i]).astype("<i4").tobytes(), hashes[0, at].tobytes()))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         extra = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
         return pa.table([*(block.column(c) for c in names), *extra], names=[*names, *added.names])
 
-    answers = _answers(dealt.groupBy("block").applyInArrow(tell, ANNOUNCED))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(clean, StructType([*own.schema.fields, *added.fields]))
+    def teller(level: int):
+        return lambda block, answers: tell(block, answers, level)
+
+    by_block, answers = dealt.groupBy("block"), None
+    for level, length in enumerate(lengths):
+        told = by_block.applyInArrow(lambda block: tell(block, None, 0), ANNOUNCED) if answers is None else by_block.cogroup(answers.groupBy("block")).applyInArrow(teller(level), ANNOUNCED)
+        given = _answers(told, 2 if length == window else 1).repartition(n, "block").withColumn("level", F.lit(level))
+        answers = given if answers is None else answers.unionByName(given)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(clean, StructType([*own.schema.fields, *added.fields]))
 
 
 def longest_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -184,11 +237,11 @@ def longest_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
         """What a block announces and what survives when windows of ``length`` are extended."""
 
         def tell(block: pa.Table) -> pa.Table:
-            return announce(block.column("block")[0].as_py(), extend(block, length)[2], ranges)
+            return announce(block.column("block")[0].as_py(), extend(block, length)[2][None], ranges)
 
         def survive(block: pa.Table, answers: pa.Table) -> pa.Table:
             row, start, hashes = extend(block, length)
-            hit = repeated(hashes, answers, ranges)
+            hit = repeated(hashes[None], answers, ranges)
             row, start, hashes = row[hit], start[hit], hashes[hit]
             edges = np.searchsorted(row, np.arange(block.num_rows + 1))
             held = np.flatnonzero(np.diff(edges))

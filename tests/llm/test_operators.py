@@ -186,6 +186,40 @@ def test_substrings_equal_brute_force(spark, corpus):
     assert longest[900] == longest[901] == 80 and all((r.longest > 0) == (r.n_removed > 0) for r in got)
 
 
+@pytest.mark.parametrize("window, first", [(1, None), (2, None), (7, 1), (8, 3), (8, 8), (9, 2)])
+def test_levels_decide_as_brute_force(spark, window, first):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, window - 1, window, 40]))) for _ in range(60)] + [None, "b", "b"]
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[j:j + window]) for w in words for j in range(len(w) - window + 1))
+    want = Counter()
+    for i, w in enumerate(words):
+        gone = {j + k for j in range(len(w) - window + 1) if seen[tuple(w[j:j + window])] > 1 for k in range(window)}
+        want[i, len(w), len(gone), " ".join(x.decode() for n, x in enumerate(w) if n not in gone)] += 1
+    got = substrings.remove_repeats(documents(spark, list(enumerate(texts))), window=window, first=first).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
+
+
+def test_levels_double_up_to_the_window():
+    assert substrings.level_lengths(35) == [18, 35] and substrings.level_lengths(35, 9) == [9, 18, 35]
+    assert substrings.level_lengths(1) == [1] and substrings.level_lengths(8, 20) == [8]
+    # windows of which a half does not repeat are no candidates of the next level
+    starts, flat = np.array([0, 6, 12]), np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 8, 9], np.uint64) * np.uint64(12345677)
+    told = substrings.announce(0, substrings.candidates(flat, starts, [2, 4], [], 3)[1], 3)
+    assert sum(len(x) for x in told.column("numbers").to_pylist()) == 8 * 7
+    places, hashes = substrings.candidates(flat, starts, [2, 4], [substrings.answer(told)], 3)
+    assert places.tolist() == [0, 6] and hashes.shape == (2, 2)
+
+
+def test_one_equal_stream_is_no_repeat():
+    first = np.array([7, 7, 9, 9], np.uint64) << np.uint64(60)
+    both = np.stack([first, np.array([1, 2, 3, 3], np.uint64)])
+    told = substrings.announce(5, both, 4)
+    said = substrings.answer(told, 2)
+    assert substrings.repeated(both, said, 4).tolist() == [False, False, True, True]
+    assert substrings.repeated(first[None], substrings.answer(substrings.announce(5, first[None], 4)), 4).all()
+
+
 def test_secrets_link_weak_parts_only_where_they_meet(spark):
     token = "aB3" * 9
     near, far = f"user=alice then {token} end", f"user=alice\n\n{token}"
