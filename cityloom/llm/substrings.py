@@ -7,15 +7,15 @@ until no candidate survives; a document's ``longest`` is the longest of them at
 
 Documents are dealt into blocks of bounded text by a hash. A block announces the sorted, distinct hashes of its candidates,
 cut into ranges of the hash; a window that fills a third of the corpus is one number per block. Whoever gets a range knows
-which numbers several blocks have, or one block twice, and answers with one bit for each. So what travels is some 5 bytes
+which numbers several blocks have, or one block twice, and answers with one bit for each. So what travels is some 4 bytes
 a window at the first level, never positions or words, and no group depends on how often a passage repeats. There are at
 most as many rows as windows, however many blocks and ranges there are.
 
 Words are runs of bytes other than space and \\x09-\\x0D. Null texts have none. Documents shorter than a window lose
 nothing. Rows that repeat are copies of each other: their windows repeat. A text is held whole by its block, however long.
 Columns of the caller named like the new ones are replaced; the pipeline packs them away first. The level that decides
-compares 128 bits made of 64-bit hashes of the words, the others 64: a chance hit there makes one more candidate, or a
-``longest`` too long, never a word less.
+compares 96 bits made of 64-bit hashes of the words, the levels before it 48, those after it 64: a chance hit there makes
+one more candidate, or a ``longest`` too long, never a word less.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BLOCK_BYTES = 6 << 20
 RANGE_BYTES = 12 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)  # sets the second stream of hashes apart
+#: Bytes compared of each stream of hashes: before the level that decides, there, and after it.
+BEFORE, DECIDES, AFTER = (6,), (8, 4), (8,)
 
 
 def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -78,11 +80,12 @@ def level_lengths(window: int, first: int | None = None) -> list[int]:
     return lengths
 
 
-def _hashes(flat: np.ndarray, places: np.ndarray, length: int, streams: int) -> np.ndarray:
-    """One row of window hashes for each stream."""
+def _hashes(flat: np.ndarray, places: np.ndarray, length: int, widths: tuple[int, ...]) -> np.ndarray:
+    """One row of window hashes for each stream, of which the highest bytes, as many as ``widths`` says, are kept."""
     if not len(places):
-        return np.zeros((streams, 0), np.uint64)
-    return np.stack([window_hashes(words, length)[places] for words in (flat, mix(flat ^ SECOND))[:streams]])
+        return np.zeros((len(widths), 0), np.uint64)
+    streams = (flat, mix(flat ^ SECOND))
+    return np.stack([window_hashes(words, length)[places] >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width) for words, width in zip(streams, widths)])
 
 
 ANNOUNCED = StructType([StructField("range", IntegerType()), StructField("block", LongType()), StructField("numbers", BinaryType()), StructField("twice", BinaryType())])
@@ -108,18 +111,32 @@ def _ranges(numbers: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     return list(zip(part[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(part)]))
 
 
-def announce(block: int, hashes: np.ndarray, ranges: int) -> pa.Table:
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8)[:, 8 - width:].T.tobytes()
+
+
+def _numbers(planes: bytes, widths: tuple[int, ...]) -> np.ndarray:
+    size, at, out = len(planes) // sum(widths), 0, []
+    for width in widths:
+        own = np.zeros((size, 8), np.uint8)
+        own[:, 8 - width:] = np.frombuffer(planes, np.uint8, size * width, at).reshape(width, size).T
+        out.append(own.view(np.uint64)[:, 0])
+        at += size * width
+    return np.stack(out)
+
+
+def announce(block: int, hashes: np.ndarray, ranges: int, widths: tuple[int, ...] = AFTER) -> pa.Table:
     """A row for each range in which the block has hashes: the bytes of the sorted hashes, plane by plane, which compresses well."""
     numbers, counts, _ = distinct(hashes)
-    rows = [(i, block, np.ascontiguousarray(numbers[:, a:b]).view(np.uint8).reshape(len(numbers), -1, 8).transpose(0, 2, 1).tobytes(), np.packbits(counts[a:b] > 1).tobytes())
+    rows = [(i, block, b"".join(_planes(own[a:b], width) for own, width in zip(numbers, widths)), np.packbits(counts[a:b] > 1).tobytes())
             for i, a, b in _ranges(numbers[0], ranges)]
     columns = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=ANNOUNCED.names)
 
 
-def answer(group: pa.Table, streams: int = 1) -> pa.Table:
+def answer(group: pa.Table, widths: tuple[int, ...] = AFTER) -> pa.Table:
     """For every block's hashes in one range: which of them occur more than once anywhere."""
-    lists = [np.frombuffer(x, np.uint8).reshape(streams, 8, -1).transpose(0, 2, 1).copy().view(np.uint64)[:, :, 0] for x in group.column("numbers").to_pylist()]
+    lists = [_numbers(x, widths) for x in group.column("numbers").to_pylist()]
     sizes = [x.shape[1] for x in lists]
     own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group.column("twice").to_pylist(), sizes)])
     _, counts, which = distinct(np.concatenate(lists, 1))
@@ -140,8 +157,29 @@ def repeated(hashes: np.ndarray, answers: pa.Table, ranges: int) -> np.ndarray:
     return flags[which]
 
 
-def _answers(announced: DataFrame, streams: int = 1) -> DataFrame:
-    return announced.groupBy("range").applyInArrow(lambda group: answer(group, streams), ANSWERED)
+def _answers(announced: DataFrame, widths: tuple[int, ...] = AFTER) -> DataFrame:
+    return announced.groupBy("range").applyInArrow(lambda group: answer(group, widths), ANSWERED)
+
+
+def _halves(key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted window places: which have another ``length`` words on, and its position."""
+    at = np.searchsorted(key, key + length)
+    both = at < len(key)
+    both[both] = key[at[both]] == key[both] + length
+    return np.flatnonzero(both), at[both]
+
+
+def handed_on(key: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window is a half of one of twice the length; others are of no use to the next level."""
+    out = np.zeros(len(key), bool)
+    for half in _halves(key, length):
+        out[half] = True
+    return out
+
+
+def _steps(starts: np.ndarray) -> bytes:
+    """Rising starts as differences, which compress well."""
+    return np.diff(starts, prepend=0).astype("<i4").tobytes()
 
 
 def candidates(flat: np.ndarray, starts: np.ndarray, lengths: list[int], answers: list[pa.Table], ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +190,7 @@ def candidates(flat: np.ndarray, starts: np.ndarray, lengths: list[int], answers
             live = np.zeros(len(flat), bool)
             live[at] = True
             places = places[live[places] & live[places + (length - lengths[level - 1])]]
-        hashes = _hashes(flat, places, length, 2 if length == lengths[-1] else 1)
+        hashes = _hashes(flat, places, length, DECIDES if length == lengths[-1] else BEFORE)
         if level == len(answers):
             return places, hashes
         hit = repeated(hashes, answers[level], ranges)
@@ -164,8 +202,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", fi
     """Every row of ``docs`` with ``n_words, n_removed, kept`` and the windows that repeat.
 
     ``kept`` is the words left, joined by one space: those in no window that occurs elsewhere too. ``block`` and
-    ``ordinal`` name the row; ``starts`` and ``hashes`` hold its repeated windows, 4 and 8 bytes each. The text is shuffled
-    once, whatever the number of levels; each of them reads it again.
+    ``ordinal`` name the row; ``starts`` and ``hashes`` hold those of its repeated windows that may be part of longer ones, 4
+    and 8 bytes each. The text is shuffled once, whatever the number of levels; each of them reads it again.
     """
     spark = docs.sparkSession
     added = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()),
@@ -177,12 +215,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", fi
     names, lengths = own.columns, level_lengths(window, first)
     dealt = own.withColumn("block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(blocks))).repartition(n, "block")
 
+    def widths(level: int) -> tuple[int, ...]:
+        return DECIDES if lengths[level] == window else BEFORE
+
     def by_level(answers: pa.Table, levels: int) -> list[pa.Table]:
         return [answers.filter(pc.equal(answers.column("level"), i)) for i in range(levels)]
 
     def tell(block: pa.Table, answers: pa.Table | None, level: int) -> pa.Table:
         _, starts, flat = _words(block.column(text).to_pylist())
-        return announce(block.column("block")[0].as_py(), candidates(flat, starts, lengths, by_level(answers, level), ranges)[1], ranges)
+        return announce(block.column("block")[0].as_py(), candidates(flat, starts, lengths, by_level(answers, level), ranges)[1], ranges, widths(level))
 
     def clean(block: pa.Table, answers: pa.Table) -> pa.Table:
         words, starts, flat = _words(block.column(text).to_pylist())
@@ -191,13 +232,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", fi
         change[places] += 1
         change[places + window] -= 1
         covered = np.cumsum(change[:-1]) > 0
+        longer = handed_on(places + (np.searchsorted(starts, places, side="right") << 40), window)
+        places, hashes = places[longer], hashes[0, longer]
         edges = np.searchsorted(places, starts)
         rows = []
         for i, own_words in enumerate(words):
             gone = covered[starts[i]:starts[i + 1]]
             at = slice(edges[i], edges[i + 1])
             left = own_words if not gone.any() else [w for w, g in zip(own_words, gone.tolist()) if not g]
-            rows.append((len(own_words), int(gone.sum()), b" ".join(left).decode(), block.column("block")[i].as_py(), i, (places[at] - starts[i]).astype("<i4").tobytes(), hashes[0, at].tobytes()))
+            rows.append((len(own_words), int(gone.sum()), b" ".join(left).decode(), block.column("block")[i].as_py(), i, _steps(places[at] - starts[i]), hashes[at].tobytes()))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         extra = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
         return pa.table([*(block.column(c) for c in names), *extra], names=[*names, *added.names])
@@ -206,32 +249,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", fi
         return lambda block, answers: tell(block, answers, level)
 
     by_block, answers = dealt.groupBy("block"), None
-    for level, length in enumerate(lengths):
+    for level in range(len(lengths)):
         told = by_block.applyInArrow(lambda block: tell(block, None, 0), ANNOUNCED) if answers is None else by_block.cogroup(answers.groupBy("block")).applyInArrow(teller(level), ANNOUNCED)
-        given = _answers(told, 2 if length == window else 1).repartition(n, "block").withColumn("level", F.lit(level))
+        given = _answers(told, widths(level)).repartition(n, "block").withColumn("level", F.lit(level))
         answers = given if answers is None else answers.unionByName(given)
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(clean, StructType([*own.schema.fields, *added.fields]))
 
 
 def longest_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``block, ordinal, longest``: the longest level of each row with a repeated window. ``found`` must be a written table."""
+    """``block, ordinal, longest``: the longest level of each row whose windows were handed on. ``found`` must be a written table."""
     rounds = Rounds(found.sparkSession, "substrings")
     size = found.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     ranges = max(shuffle_partitions(found.sparkSession), size // RANGE_BYTES)
     schema = StructType([StructField("block", LongType()), StructField("ordinal", LongType()), StructField("starts", BinaryType()), StructField("hashes", BinaryType())])
-    state = found.where(F.octet_length("hashes") > 0).select(*schema.names)
+    state = found.select(*schema.names).where(F.octet_length("hashes") > 0)
     levels, length = state.select("block", "ordinal", F.lit(window).cast("bigint").alias("longest")), window
 
     def extend(block: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, starts and hashes of windows of twice the length of which both halves repeat."""
-        starts = [np.frombuffer(x, "<i4").astype(np.int64) for x in block.column("starts").to_pylist()]
+        starts = [np.cumsum(np.frombuffer(x, "<i4"), dtype=np.int64) for x in block.column("starts").to_pylist()]
         key = np.concatenate([s + (i << 40) for i, s in enumerate(starts)])
         order = np.argsort(key)
         key, hashes = key[order], np.frombuffer(b"".join(block.column("hashes").to_pylist()), np.uint64)[order]
-        at = np.searchsorted(key, key + length)
-        both = at < len(key)
-        both[both] = key[at[both]] == key[both] + length
-        return key[both] >> 40, key[both] & ((1 << 40) - 1), joined_hash(hashes[both], hashes[at[both]])
+        left, right = _halves(key, length)
+        return key[left] >> 40, key[left] & ((1 << 40) - 1), joined_hash(hashes[left], hashes[right])
 
     def level(length: int):
         """What a block announces and what survives when windows of ``length`` are extended."""
@@ -243,17 +284,19 @@ def longest_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
             row, start, hashes = extend(block, length)
             hit = repeated(hashes[None], answers, ranges)
             row, start, hashes = row[hit], start[hit], hashes[hit]
+            held = np.unique(row)
+            longer = handed_on((row << 40) + start, 2 * length)
+            row, start, hashes = row[longer], start[longer], hashes[longer]
             edges = np.searchsorted(row, np.arange(block.num_rows + 1))
-            held = np.flatnonzero(np.diff(edges))
             columns = [block.column("block").take(pa.array(held)), block.column("ordinal").take(pa.array(held))]
-            columns += [pa.array([start[edges[i]:edges[i + 1]].astype("<i4").tobytes() for i in held], pa.binary()), pa.array([hashes[edges[i]:edges[i + 1]].tobytes() for i in held], pa.binary())]
+            columns += [pa.array([_steps(start[edges[i]:edges[i + 1]]) for i in held], pa.binary()), pa.array([hashes[edges[i]:edges[i + 1]].tobytes() for i in held], pa.binary())]
             return pa.table(columns, names=schema.names)
 
         return tell, survive
 
     while True:
         tell, survive = level(length)
-        by_block = state.groupBy("block")
+        by_block = state.where(F.octet_length("hashes") > 0).groupBy("block")
         answers = _answers(by_block.applyInArrow(tell, ANNOUNCED))
         state = rounds.keep(by_block.cogroup(answers.groupBy("block")).applyInArrow(survive, schema), "level")
         length *= 2
@@ -269,4 +312,4 @@ def repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str
     cleaned = remove_repeats(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), window)
     found = rounds.keep(cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"), "block", "ordinal", "starts", "hashes"), "found")
     result = found.drop("starts", "hashes").join(longest_repeats(found, window), ["block", "ordinal"], "left")
-    return result.select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest", F.lit(0)).alias("longest"))
+    return result.select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest", F.when(F.col("n_removed") > 0, window).otherwise(0).cast("bigint")).alias("longest"))

@@ -183,6 +183,13 @@ def test_substrings_equal_brute_force(spark, corpus):
     got = substrings.repeats(documents(spark, rows), window=5).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     longest = {r.doc_id: r.longest for r in got}
+    for (i, _), w in zip(rows, words):  # every level by itself
+        level, most = 5, 0
+        while len(w) >= level:
+            ends = Counter(tuple(x[j:j + level]) for x in words for j in range(len(x) - level + 1))
+            most = level if any(ends[tuple(w[j:j + level])] > 1 for j in range(len(w) - level + 1)) else most
+            level *= 2
+        assert i is None or longest[i] == most
     assert longest[900] == longest[901] == 80 and all((r.longest > 0) == (r.n_removed > 0) for r in got)
 
 
@@ -205,17 +212,17 @@ def test_levels_double_up_to_the_window():
     assert substrings.level_lengths(1) == [1] and substrings.level_lengths(8, 20) == [8]
     # windows of which a half does not repeat are no candidates of the next level
     starts, flat = np.array([0, 6, 12]), np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 8, 9], np.uint64) * np.uint64(12345677)
-    told = substrings.announce(0, substrings.candidates(flat, starts, [2, 4], [], 3)[1], 3)
-    assert sum(len(x) for x in told.column("numbers").to_pylist()) == 8 * 7
-    places, hashes = substrings.candidates(flat, starts, [2, 4], [substrings.answer(told)], 3)
+    told = substrings.announce(0, substrings.candidates(flat, starts, [2, 4], [], 3)[1], 3, substrings.BEFORE)
+    assert sum(len(x) for x in told.column("numbers").to_pylist()) == 6 * 7
+    places, hashes = substrings.candidates(flat, starts, [2, 4], [substrings.answer(told, substrings.BEFORE)], 3)
     assert places.tolist() == [0, 6] and hashes.shape == (2, 2)
 
 
 def test_one_equal_stream_is_no_repeat():
     first = np.array([7, 7, 9, 9], np.uint64) << np.uint64(60)
-    both = np.stack([first, np.array([1, 2, 3, 3], np.uint64)])
-    told = substrings.announce(5, both, 4)
-    said = substrings.answer(told, 2)
+    both = np.stack([first, np.array([1, 2, 3, 3], np.uint64) << np.uint64(32)])
+    told = substrings.announce(5, both, 4, substrings.DECIDES)
+    said = substrings.answer(told, substrings.DECIDES)
     assert substrings.repeated(both, said, 4).tolist() == [False, False, True, True]
     assert substrings.repeated(first[None], substrings.answer(substrings.announce(5, first[None], 4)), 4).all()
 
