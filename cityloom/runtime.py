@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "cityloom", **conf) -> SparkSession:
@@ -40,13 +41,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cityloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write ``df`` and delete the shuffle files this took: once the table is there nothing reads them."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_CONF, None)
+    conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        conf.unset(CLEANUP_CONF) if before is None else conf.set(CLEANUP_CONF, before)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so loops never grow lineage.
 
     The written table survives lost executors, and its file sizes give later joins true statistics.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,7 +79,7 @@ class Rounds:
         """Write ``df`` as the newest table of this name. The one before stays until ``drop``, as plans may still read it."""
         self.made += 1
         path = f"{self.base}/{name}-{self.made}"
-        df.write.mode("errorifexists").parquet(path)
+        _write(df, path)
         self.live.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
