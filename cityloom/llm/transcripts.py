@@ -94,9 +94,11 @@ def fit(rows: DataFrame) -> Hmm:
     for s, o, n in known.select("role", "text").mapInArrow(run, "state bigint, shown bigint, times bigint").groupBy("state", "shown").agg(F.sum("times")).collect():
         show[s, o] += n  # a row for each state and symbol
     follow, begin = np.ones((len(ROLES), len(ROLES))), np.ones(len(ROLES))
-    after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
     turns = known.select("conv_id", "turn", "role")
-    for a, b, n in turns.join(after, ["conv_id", "turn"]).groupBy("role", "next_role").count().collect():
+    times = turns.groupBy("conv_id", "turn", "role").count()  # a turn that repeats is one row of the join
+    after = times.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"), F.col("count").alias("next_count"))
+    pairs = times.join(after, ["conv_id", "turn"]).groupBy("role", "next_role")
+    for a, b, n in pairs.agg(F.sum(F.col("count").cast("double") * F.col("next_count"))).collect():
         follow[a, b] += n
     for r, n in turns.where("turn = 0").groupBy("role").count().collect():
         begin[r] += n
