@@ -11,6 +11,7 @@ from ..functions import geometry as g
 from ..functions.lattice import FT, cell_of
 from ..functions.text import clean_id, identity_keys
 from .ordered import dedupe_first
+from .overlay import overlay
 from .spatial import BOX, bbox_join, points_in_polygons
 from .stats import survey_describes
 
@@ -25,7 +26,7 @@ def roof_owner(roofs: DataFrame, footprints: DataFrame, size: float) -> DataFram
     are looked up in a table of one row per key, so a key many rows carry never multiplies; only roofs that are still
     open go through the spatial join.
     """
-    roofs, footprints = identity_keys(roofs), identity_keys(footprints)
+    outlines, roofs, footprints = roofs.select("id", "edges"), identity_keys(roofs), identity_keys(footprints)
     for key in ("bin_key", "id_key"):
         seen = footprints.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"_{key}_n"), F.min("id").alias(f"_{key}_only"))
         roofs = roofs.join(seen, key, "left")
@@ -33,16 +34,16 @@ def roof_owner(roofs: DataFrame, footprints: DataFrame, size: float) -> DataFram
     rule = F.when(by_bin, "bin").when(by_id, "id").otherwise("place")
     n = F.when(by_bin, F.col("_bin_key_n")).when(by_id, F.col("_id_key_n"))
     only = F.when(by_bin, F.col("_bin_key_only")).when(by_id, F.col("_id_key_only"))
-    keyed = roofs.select("id", *BOX, "edges", "bin_key", "id_key", rule.alias("rule"), n.alias("_n"), only.alias("_only"))
+    keyed = roofs.select("id", *BOX, "bin_key", "id_key", rule.alias("rule"), n.alias("_n"), only.alias("_only"))
     single = keyed.where(F.col("_n") == 1).select(F.col("id").alias("roof_id"), F.col("_only").alias("owner_id"), "rule")
     still_open = keyed.where(F.col("_n").isNull() | (F.col("_n") > 1)).drop("_n", "_only")
-    pairs = bbox_join(still_open, footprints.select("id", *BOX, "edges", "bin_key", "id_key"), size)
-    same = (
+    keys = ["id", *BOX, "bin_key", "id_key"]
+    pairs = bbox_join(still_open.select(*keys, "rule"), footprints.select(*keys), size).where(
         F.when(F.col("a_rule") == "bin", F.col("a_bin_key") == F.col("b_bin_key"))
-        .when(F.col("a_rule") == "id", F.col("a_id_key") == F.col("b_id_key"))
-        .otherwise(g.intersects(F.col("a_edges"), F.col("b_edges"))))
-    shared = pairs.where(same).select(
-        F.col("a_id").alias("roof_id"), F.col("b_id").alias("fid"), F.col("a_rule").alias("rule"), g.overlap_area(F.col("a_edges"), F.col("b_edges")).alias("area"))
+        .when(F.col("a_rule") == "id", F.col("a_id_key") == F.col("b_id_key")).otherwise(True))
+    found = overlay(pairs.select("a_id", "b_id", *[f"{p}_{c}" for p in "ab" for c in BOX], "a_rule"), outlines, footprints, size)
+    shared = found.where((F.col("a_rule") != "place") | F.col("meets")).select(
+        F.col("a_id").alias("roof_id"), F.col("b_id").alias("fid"), F.col("a_rule").alias("rule"), F.col("overlap").alias("area"))
     best = shared.groupBy("roof_id", "rule").agg(F.count("*").alias("n"), F.max_by(F.struct("fid", "area"), F.struct(F.round("area", 9), -F.col("fid"))).alias("b"))
     alone = (F.col("rule") == "place") & (F.col("n") == 1)
     chosen = best.select("roof_id", F.when(alone | (F.col("b.area") > 1e-9), F.col("b.fid")).alias("owner_id"), "rule")

@@ -28,22 +28,33 @@ def cover(df: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
         .withColumn("bx", F.explode(span("minx", "maxx"))).withColumn("by", F.explode(span("miny", "maxy"))))
 
 
-def spread_hot(crowd: DataFrame, other: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Give both sides a ``salt`` so that a key with many rows of ``crowd`` is shared out over several tasks.
+def hot_keys(crowd: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with many rows and the number of parts, ``_parts``, that each is to be dealt out in.
 
     A key is hot above ``hot_rows`` rows and above one part in ``HOT_SHARE`` of all rows, far less than a task's share on
-    any cluster, so there are fewer than ``HOT_SHARE`` hot keys at any scale and the list of them may be broadcast. Crowd
-    rows of a hot key are dealt out by a hash of all their other columns; the other side's rows are repeated once per
-    share. Rows of other keys stay as they are.
+    any cluster, so there are fewer than ``HOT_SHARE`` hot keys at any scale and the list of them may be broadcast.
     """
     counts = crowd.groupBy(*keys).agg(F.count("*").alias("_n"))
     limit = F.greatest(F.lit(hot_rows), counts.agg(F.ceil(F.sum("_n") / HOT_SHARE).alias("n")).scalar())
-    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
+    return F.broadcast(counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")))
+
+
+def deal_out(crowd: DataFrame, hot: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """Rows of a hot key shared out over its parts by a hash of all other columns; other rows stay in part 0."""
     hashed = [c for c, kind in crowd.dtypes if c not in keys and "map<" not in kind]
-    dealt = crowd.join(hot, keys, "left").withColumn("salt", F.when(parts > 1, F.pmod(F.xxhash64(*hashed), parts)).otherwise(0).cast("int")).drop("_parts")
-    repeated = other.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt, repeated
+    parts = F.coalesce("_parts", F.lit(1))
+    return crowd.join(hot, keys, "left").withColumn(salt, F.when(parts > 1, F.pmod(F.xxhash64(*hashed), parts)).otherwise(0).cast("int")).drop("_parts")
+
+
+def repeat_for(other: DataFrame, hot: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """Rows that meet a hot key once for each of its parts."""
+    return other.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
+def spread_hot(crowd: DataFrame, other: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Give both sides a ``salt`` so that a key with many rows of ``crowd`` is shared out over several tasks."""
+    hot = hot_keys(crowd, keys, hot_rows)
+    return deal_out(crowd, hot, keys, "salt"), repeat_for(other, hot, keys, "salt")
 
 
 def _prune_edges(size: float) -> Column:
@@ -85,14 +96,18 @@ def bbox_join(
     """Pairs of rows with overlapping closed boxes, each once; columns come prefixed ``a_`` and ``b_``.
 
     ``grow`` widens the left boxes on every side. ``same`` joins a table with itself: each unordered pair once, by ``id``.
+    A square crowded on either side is shared out: over parts of its left rows, of its right rows, or of both.
     """
     a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], *[
         (F.col(c) + s * grow).alias(c) for c, s in zip(BOX, (-1, -1, 1, 1))])
     a = cover(a, size).withColumnsRenamed({c: f"_a_{c}" for c in BOX})
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], *BOX)
     b = cover(b, size).withColumnsRenamed({c: f"_b_{c}" for c in BOX})
-    a, b = spread_hot(a, b, ["bx", "by"], hot_rows)
-    pairs = a.join(b, ["bx", "by", "salt"]).where(
+    square = ["bx", "by"]
+    hot_a, hot_b = hot_keys(a, square, hot_rows), hot_keys(b, square, hot_rows)
+    a = repeat_for(deal_out(a, hot_a, square, "salt_a"), hot_b, square, "salt_b")
+    b = repeat_for(deal_out(b, hot_b, square, "salt_b"), hot_a, square, "salt_a")
+    pairs = a.join(b, [*square, "salt_a", "salt_b"]).where(
         (F.col("_a_minx") <= F.col("_b_maxx")) & (F.col("_b_minx") <= F.col("_a_maxx"))
         & (F.col("_a_miny") <= F.col("_b_maxy")) & (F.col("_b_miny") <= F.col("_a_maxy"))
         & (F.col("bx") == cell_of(F.greatest("_a_minx", "_b_minx"), size))
@@ -108,22 +123,6 @@ def clip_bbox(df: DataFrame, bounds: tuple[float, float, float, float]) -> DataF
     return df.where((F.col("maxx") >= minx) & (F.col("minx") <= maxx) & (F.col("maxy") >= miny) & (F.col("miny") <= maxy))
 
 
-def filter_polygon(features: DataFrame, areas: DataFrame, predicate: str, size: float) -> DataFrame:
-    """Features related to the areas' actual outlines, with the area's id: ``intersects``, ``within`` or ``covers``.
-
-    ``within`` and ``covers`` hold when all of the feature's area lies in the one area; a boundary may touch.
-    """
-    pairs = bbox_join(features, areas.select("id", "edges", *BOX), size)
-    if predicate == "intersects":
-        hit = g.intersects(F.col("a_edges"), F.col("b_edges"))
-    elif predicate in ("within", "covers"):
-        own = g.area(F.col("a_edges"))
-        hit = g.overlap_area(F.col("a_edges"), F.col("b_edges")) >= own - F.greatest(own, F.lit(1.0)) * 1e-9
-    else:
-        raise ValueError(f"unknown predicate {predicate}")
-    return pairs.where(hit).select(*[F.col(f"a_{c}").alias(c) for c in features.columns], F.col("b_id").alias("area_id"))
-
-
 def tile_sources(tiles: DataFrame, sources: DataFrame, halo: float, size: float) -> DataFrame:
     """For each output tile the ids of the sources its box, widened by the halo, touches; in id order."""
     pairs = bbox_join(tiles, sources.select("id", *BOX), size, grow=halo)
@@ -131,12 +130,6 @@ def tile_sources(tiles: DataFrame, sources: DataFrame, halo: float, size: float)
         F.count("*").alias("sources"), F.array_sort(F.collect_list("b_id")).alias("source_ids"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of polygons that share area, with the exact shared area."""
-    pairs = g.once(bbox_join(left, right, size), "overlap", g.overlap_area(F.col("a_edges"), F.col("b_edges")))
-    return pairs.where(F.col("overlap") > 1e-9)
-
-
 def split_segments(segments: DataFrame, longest: float) -> DataFrame:
     """Segments ``(x1, y1, x2, y2)`` cut into equal pieces no longer than ``longest``, so none spans many squares."""
     pieces = g.densify(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), longest)
@@ -242,7 +235,7 @@ def route_crossings(upper: DataFrame, lower: DataFrame, size: float, inset: floa
     """Points where an upper way crosses a lower way away from the lower way's ends.
 
     Segments carry ``way_id, pos, x1, y1, x2, y2``; lower ones also ``start_length`` and ``line_length``. Upper ways
-    that are tunnels, or not drawn at all, are left out by the caller's ``drawn`` column and counted by ``skipped_pairs``.
+    that are tunnels, or not drawn at all, are left out by the caller.
     """
     lower = lower.withColumn("ox", F.col("x1")).withColumn("oy", F.col("y1"))
     pairs = bbox_join(segment_box(split_segments(upper, size * 4)), segment_box(split_segments(lower, size * 4)), size)

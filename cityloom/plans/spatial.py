@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import ordered, spatial
+from ..operators import ordered, overlay, spatial
 from .registry import query
 
 C = F.col
@@ -86,7 +86,7 @@ ROOF_PAIRS = """SELECT r.id AS aid, f.id AS bid, r.miny AS amin, f.miny AS bmin
 
 @query("j4_overlap_join", f"SELECT aid AS roof_id, bid AS footprint_id, round(overlap, 4) AS overlap FROM ({shared_sql(ROOF_EDGES, 'edges', ROOF_PAIRS)}) o WHERE overlap > 1e-9")
 def _(t):
-    out = spatial.overlap_join(t.roof_polygons.select("id", "edges", *BOX), t.polygons.select("id", "edges", *BOX), SQUARE)
+    out = overlay.overlap_join(t.roof_polygons.select("id", "edges", *BOX), t.polygons.select("id", "edges", *BOX), SQUARE)
     return out.select(C("a_id").alias("roof_id"), C("b_id").alias("footprint_id"), F.round("overlap", 4).alias("overlap"))
 
 
@@ -110,7 +110,7 @@ def areas(t):
            ELSE greatest(abs((minx+maxx)/2 - qx) - (maxx-minx)/2, 0) + greatest(abs((miny+maxy)/2 - qy) - (maxy-miny)/2, 0) END) AS near FROM a GROUP BY a.id)
     SELECT id, true AS within_area FROM c WHERE far <= 400""")
 def _(t):
-    out = spatial.filter_polygon(t.polygons.select("id", "edges", *BOX), areas(t), "within", 128.0)
+    out = overlay.filter_polygon(t.polygons.select("id", "edges", *BOX), areas(t), "within", 128.0)
     return out.select("id", F.lit(True).alias("within_area"))
 
 
@@ -121,7 +121,7 @@ def _(t):
     x0, y0, x1, y1 = (C(c) for c in BOX)
     corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
     boxes = t.footprints.select("id", F.array(*[g.edge(a[0], a[1], b[0], b[1]) for a, b in zip(corners, corners[1:] + corners[:1])]).alias("edges"), *BOX)
-    return spatial.filter_polygon(boxes, areas(t), "intersects", 128.0).select("id", "area_id")
+    return overlay.filter_polygon(boxes, areas(t), "intersects", 128.0).select("id", "area_id")
 
 
 def way_segments(t):
