@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cityloom.operators import spatial
+from cityloom.sources.derived import Inputs
 
 
 def plan_of(df) -> str:
@@ -27,3 +28,18 @@ def test_tables_cut_into_squares_are_never_broadcast(spark):
     assert held.count() == 20
     for joined in (pairs, near, held):
         assert "SortMergeJoin [bx" in plan_of(joined)
+
+
+def customers(spark, folder, rows):
+    """A data folder with a customer table of many short rows in one small file."""
+    spark.range(1, rows + 1).select(
+        F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(0).alias("c_nationkey"), F.lit(10.0).alias("c_acctbal"), F.lit("s").alias("c_mktsegment")
+    ).coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
+    inputs = Inputs(spark, customers(spark, tmp_path, 25_000))
+    assert inputs.polygons.rdd.getNumPartitions() == 3
+    assert inputs.polygons.count() == 25_000
+    assert inputs.polygons.where("id = 7").select("minx").first() == inputs._view("footprints").where("id = 7").select("minx").first()
