@@ -43,3 +43,16 @@ def test_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
     assert inputs.polygons.rdd.getNumPartitions() == 3
     assert inputs.polygons.count() == 25_000
     assert inputs.polygons.where("id = 7").select("minx").first() == inputs._view("footprints").where("id = 7").select("minx").first()
+
+
+def test_touched_cells_are_not_compared_pair_by_pair(spark):
+    square = boxes(spark, 4).withColumn("edges", F.array(*[F.struct(F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2")) for a, b, c, d in (
+        ("minx", "miny", "maxx", "miny"), ("maxx", "miny", "maxx", "maxy"), ("maxx", "maxy", "minx", "maxy"), ("minx", "maxy", "minx", "miny"))]))
+    out = spatial.rasterize(square, 2.0, "all_touched")
+    assert "array_distinct" not in plan_of(out)
+    want = {}
+    for i in range(4):
+        for cx in range(int(i * 5 // 2), int((i * 5 + 4) // 2) + 1):
+            for cy in range(0, 3):
+                want[cx, cy] = i
+    assert {(r.cx, r.cy): r.id for r in out.collect()} == want
