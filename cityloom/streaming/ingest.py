@@ -133,7 +133,9 @@ def refresh_tiles(df: DataFrame, path: str, config: str) -> DataFrame:
     """Recompute a tiled table only where its sources changed and return the catalog of all published tiles.
 
     A tile's signature folds its rows' hashes and the configuration; tiles whose signature is on record are left alone.
-    The data of changed tiles replaces theirs, the signatures are recorded last. ``df`` has ``tile_x, tile_y``.
+    The changed tiles of a run go into a folder of its number, in ranges of tiles, and stand for theirs (``refreshed_rows``)
+    once their signatures are recorded, which is last; a run that broke off is written over. There is no folder per
+    tile, as those would be as many as the map is large. ``df`` has ``tile_x, tile_y``.
     """
     spark = df.sparkSession
     content = [c for c in df.columns if c not in ("tile_x", "tile_y")]
@@ -146,11 +148,19 @@ def refresh_tiles(df: DataFrame, path: str, config: str) -> DataFrame:
     marked.write.mode("overwrite").parquet(f"{path}/pending")
     pending = spark.read.parquet(f"{path}/pending")
     fresh = df.join(pending.select("tile_x", "tile_y"), ["tile_x", "tile_y"], "left_semi")
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_x", "tile_y").parquet(f"{path}/rows")
+    ranged = fresh.repartitionByRange("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y")
+    ranged.write.mode("overwrite").parquet(f"{path}/rows/written={run}")
     pending.write.mode("append").parquet(f"{path}/signatures")
     return latest_signatures(spark.read.parquet(f"{path}/signatures"))
 
 
+def refreshed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a refreshed table: those of each tile's latest run."""
+    latest = latest_signatures(spark.read.parquet(f"{path}/signatures")).select("tile_x", "tile_y", F.col("run").alias("written"))
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.join(latest.hint("merge"), ["tile_x", "tile_y", "written"]).select(*[c for c in rows.columns if c != "written"])
+
+
 def latest_signatures(signatures: DataFrame) -> DataFrame:
     newest = signatures.groupBy("tile_x", "tile_y").agg(F.max_by(F.struct("rows", "signature", "run"), "run").alias("s"))
     return newest.select("tile_x", "tile_y", "s.rows", "s.signature", "s.run")

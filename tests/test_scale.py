@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from cityloom.operators import spatial
+from cityloom.operators import buildings, roads, spatial, stats
+from cityloom.plans import composite, load
+from cityloom.sources import printlogs, tiles
 from cityloom.sources.derived import Inputs
+from cityloom.streaming import ingest
 
 
 def plan_of(df) -> str:
@@ -56,3 +61,15 @@ def test_touched_cells_are_not_compared_pair_by_pair(spark):
             for cy in range(0, 3):
                 want[cx, cy] = i
     assert {(r.cx, r.cy): r.id for r in out.collect()} == want
+
+
+def test_refreshed_tiles_have_no_folder_each_and_keep_their_latest_rows(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 40).alias("tile_x"), F.lit(0).cast("bigint").alias("tile_y"), "id", F.lit(1.0).alias("v"))
+    path = str(tmp_path / "refreshed")
+    ingest.refresh_tiles(rows, path, "v1")
+    changed = rows.withColumn("v", F.when(F.col("id") == 7, 2.0).otherwise(F.col("v")))
+    ingest.refresh_tiles(changed, path, "v1")
+    assert sorted(p.name for p in (tmp_path / "refreshed" / "rows").iterdir() if p.is_dir()) == ["written=0", "written=1"]
+    now = ingest.refreshed_rows(spark, path)
+    assert now.count() == 400 and sorted(now.columns) == sorted(rows.columns)
+    assert [r.id for r in now.where("v = 2.0").collect()] == [7]
