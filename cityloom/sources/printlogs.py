@@ -131,8 +131,11 @@ def unsplit_models(entries: DataFrame) -> DataFrame:
 def drop_shadowed_models(models: DataFrame, suffix: str = ".gcode.3mf") -> DataFrame:
     """Models without the sliced projects whose own source model is in the list too."""
     source = F.concat(F.regexp_replace("model", suffix.replace(".", r"\.") + "$", ""), F.lit(".3mf"))
-    sliced = models.withColumn("_source", F.when(F.col("model").endswith(suffix), source))
-    return sliced.join(models.select(F.col("model").alias("_source")).distinct(), "_source", "left_anti").drop("_source")
+    is_sliced = F.coalesce(F.col("model").endswith(suffix), F.lit(False))
+    sliced = models.where(is_sliced).withColumn("_source", source)
+    # the others stay out of the join: without a source they would all meet in the task of the NULL key
+    shadows = models.select(F.col("model").alias("_source")).distinct()
+    return models.where(~is_sliced).unionByName(sliced.join(shadows, "_source", "left_anti").drop("_source"))
 
 
 def reuse_totals(models: DataFrame, embedded: DataFrame) -> DataFrame:

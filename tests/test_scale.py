@@ -73,3 +73,10 @@ def test_refreshed_tiles_have_no_folder_each_and_keep_their_latest_rows(spark, t
     now = ingest.refreshed_rows(spark, path)
     assert now.count() == 400 and sorted(now.columns) == sorted(rows.columns)
     assert [r.id for r in now.where("v = 2.0").collect()] == [7]
+
+
+def test_models_without_a_source_stay_out_of_the_join(spark):
+    models = spark.createDataFrame([("a.3mf",), ("a.gcode.3mf",), ("b.gcode.3mf",), (None,)], "model string")
+    left = printlogs.drop_shadowed_models(models)
+    assert sorted(r.model or "" for r in left.collect()) == ["", "a.3mf", "b.gcode.3mf"]
+    assert "Union" in plan_of(left)
