@@ -235,7 +235,7 @@ def _(t):
     x0, y0, x1, y1 = (C(c) for c in BOX)
     mx, my = (x0 + x1) / 2, (y0 + y1) / 2
     corners = [(x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1)]
-    shaped = t.footprints.withColumn("edges", F.array(*[g.edge(a[0], a[1], b[0], b[1]) for a, b in zip(corners, corners[1:] + corners[:1])]))
+    shaped = t.dealt(t.footprints, "customer").withColumn("edges", F.array(*[g.edge(a[0], a[1], b[0], b[1]) for a, b in zip(corners, corners[1:] + corners[:1])]))
     out = seams.grid_cell_coverage(shaped.select("id", "edges", *BOX), 1.5, 8, 0.6)
     return out.select("id", C("rows").cast("bigint").alias("rows"), C("cols").cast("bigint").alias("cols"), "filled_cells", F.round("least_share", 6).alias("least_share"))
 

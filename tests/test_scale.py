@@ -80,3 +80,8 @@ def test_models_without_a_source_stay_out_of_the_join(spark):
     left = printlogs.drop_shadowed_models(models)
     assert sorted(r.model or "" for r in left.collect()) == ["", "a.3mf", "b.gcode.3mf"]
     assert "Union" in plan_of(left)
+
+
+def test_grids_of_outlines_are_dealt_out(spark, tmp_path):
+    folder = customers(spark, tmp_path, 25_000)
+    assert "REPARTITION_BY_NUM" in plan_of(load().QUERIES["a22_grid_cell_coverage"](spark, folder))
