@@ -79,9 +79,10 @@ def roof_surface(surfaces: DataFrame, size: float) -> DataFrame:
     flat = (F.col("z_max_ft") - F.col("z_min_ft")) < 0.05
     shaped = surfaces.withColumn("_a", a).withColumn("_c", third).withColumn("_flat", flat)
     nx, ny, nz = normal(F.col("_c"))
-    planes = shaped.withColumn("_nx", nx).withColumn("_ny", ny).withColumn("_nz", nz).where(
-        F.col("_flat") | (F.col("_c").isNotNull() & (F.abs("_nz") >= 1e-6) & (F.abs(g.area(F.col("edges"))) >= 0.05)))
-    cells = planes.select("owner_id", "z_max_ft", "_a", "_nx", "_ny", "_nz", "_flat", F.explode(g.covered_cells(F.col("edges"), size)).alias("c"))
+    planes = shaped.withColumn("_nx", nx).withColumn("_ny", ny).withColumn("_nz", nz)
+    # not a filter: Spark would move that in front of the exchange that deals the surfaces out
+    usable = F.col("_flat") | (F.col("_c").isNotNull() & (F.abs("_nz") >= 1e-6) & (F.abs(g.area(F.col("edges"))) >= 0.05))
+    cells = planes.select("owner_id", "z_max_ft", "_a", "_nx", "_ny", "_nz", "_flat", F.explode(F.when(usable, g.covered_cells(F.col("edges"), size))).alias("c"))
     x, y = (F.col("c.cx") + 0.5) * size, (F.col("c.cy") + 0.5) * size
     slope = (F.col("_nx") * (x - F.col("_a.x")) + F.col("_ny") * (y - F.col("_a.y"))) / F.when(F.col("_nz") != 0, F.col("_nz"))
     z = F.when(F.col("_flat"), F.col("z_max_ft")).otherwise(F.col("_a.z") - slope) * FT

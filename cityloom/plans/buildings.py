@@ -79,10 +79,10 @@ GROUND = "(3 + ((cx + cy*3) % 5 + 5) % 5 / 10.0e0)"
     WITH d AS (SELECT fid, max(roof_m - {GROUND}) AS described FROM ({RASTER4}) f JOIN ({ROOF_CELLS}) r USING (cx, cy) WHERE roof_owner = fid GROUP BY fid)
     SELECT d.fid, round(described, 5) AS described, described > 0 AND coalesce(height_roof/3, 6) - described <= described AS kept FROM d JOIN footprints f ON f.id = d.fid""")
 def _(t):
-    cells = spatial.rasterize(t.polygons, 4.0).withColumnRenamed("id", "fid").join(ops.roof_surface(surfaces(t), 4.0), ["cx", "cy"])
+    cells = spatial.rasterize(t.polygons, 4.0).withColumnRenamed("id", "fid").hint("merge").join(ops.roof_surface(surfaces(t), 4.0), ["cx", "cy"])
     found = stats.zonal_max(cells.where(C("roof_owner") == C("fid")), "fid", C("roof_m") - ground_of())
     recorded = F.coalesce(C("height_roof") / 3, F.lit(6.0))
-    return found.join(t.footprints.select(C("id").alias("fid"), "height_roof"), "fid").select(
+    return found.hint("merge").join(t.footprints.select(C("id").alias("fid"), "height_roof"), "fid").select(
         "fid", F.round("described", 5).alias("described"), stats.survey_describes(C("described"), recorded).alias("kept"))
 
 

@@ -92,3 +92,15 @@ def test_only_crossed_features_are_measured(spark, tmp_path):
     seam = spark.createDataFrame([(1, 0, 0.0, 500.0, 1000.0, 500.0)], "seam_id long, pos int, x1 double, y1 double, x2 double, y2 double")
     plan = plan_of(roads.seam_crossings(seam, features, 64.0, 2.5))
     assert plan.index("ArrowEvalPython") < plan.index("Join")
+
+
+def test_roofs_are_judged_after_they_are_dealt_out(spark):
+    roofs = boxes(spark, 9).select(
+        F.col("id").alias("owner_id"), F.lit(2.0).alias("z_max_ft"), F.lit(1.0).alias("z_min_ft"),
+        F.array(*[F.struct(F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2")) for a, b, c, d in (
+            ("minx", "miny", "maxx", "miny"), ("maxx", "miny", "maxx", "maxy"), ("maxx", "maxy", "minx", "maxy"), ("minx", "maxy", "minx", "miny"))]).alias("edges"),
+        F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(z).alias("z")) for x, y, z in (
+            ("minx", "miny", 1.0), ("maxx", "miny", 2.0), ("maxx", "maxy", 2.0), ("minx", "maxy", 1.0))]).alias("ring"))
+    out = buildings.roof_surface(roofs.repartition(3, "owner_id"), 4.0)
+    assert out.count() > 0
+    assert "aggregate(" not in plan_of(out).split("REPARTITION_BY_NUM")[1]
