@@ -112,3 +112,10 @@ def test_median_slopes_of_many_lines_at_once():
     got = stats.median_slopes(pd.Series(lines))
     want = [stats.median_slope(r[0::2], r[1::2]) if len(r) > 2 else np.nan for r in lines]
     assert np.array_equal(got, np.array(want), equal_nan=True)
+
+
+def test_a_line_fit_hands_many_lines_to_python_at_once(spark):
+    samples = spark.range(60).select((F.col("id") % 6).alias("line_id"), (F.col("id") / 60).alias("place"), (F.col("id") * 2.0).alias("z"))
+    out = samples.groupBy("line_id").agg(stats.theil_sen(F.col("place"), F.col("z")).alias("slope"))
+    assert [round(r.slope, 6) for r in out.collect()] == [120.0] * 6
+    assert "AggregateInPandas" not in plan_of(out) and "ArrowAggregatePython" not in plan_of(out)
