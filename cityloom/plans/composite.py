@@ -168,9 +168,10 @@ def _(t):
     return t.spark.sql("SELECT line_id, count(*) AS points FROM {segments} s, LATERAL densify(s.x1, s.y1, s.x2, s.y2, 5.0D) GROUP BY line_id", segments=way_segments(t).select("line_id", "x1", "y1", "x2", "y2"))
 
 
-def _files(t, df, name, key):
+def _files(t, df, name, key, base):
+    """``df`` written as at least eight files, one for every million rows of the ``base`` table."""
     path = scratch_path(t.spark, name)
-    df.repartition(8, key).write.parquet(path)
+    df.repartition(max(8, -(-t.base(base).count() // 1_000_000)), key).write.parquet(path)
     return path
 
 
@@ -188,7 +189,7 @@ def _(t):
 @query("t2_stream_bin_points", f"SELECT cx, cy, round(ground_m, 6) AS ground_m, ground_points, upper_m, upper_points FROM ({BINNED}) b")
 def _(t):
     points = cell_ops.read_points(t.points).select("x", "y", "z_ft", "cls", "withheld", "order_id")
-    source = _files(t, points.withColumn("part", C("order_id") % 8), "points", "part")
+    source = _files(t, points, "points", "order_id", "lineitem")
     cells = ingest.stream_bin_points(t.spark, source, "x double, y double, z_ft double, cls int, withheld boolean", scratch_path(t.spark, "live"), CELL_FT)
     return cells.withColumn("ground_m", F.round("ground_m", 6))
 
@@ -196,7 +197,7 @@ def _(t):
 @query("t3_stream_dedupe", "SELECT event_id, event_type FROM events")
 def _(t):
     events = t.events.select("event_id", "event_type", C("ts").cast("timestamp").alias("ts"))
-    source = _files(t, events.unionByName(events.where(C("event_id") % 3 == 0)).withColumn("part", C("event_id") % 8), "events", "part")
+    source = _files(t, events.unionByName(events.where(C("event_id") % 3 == 0)), "events", "event_id", "events")
     stream = t.spark.readStream.schema("event_id bigint, event_type string, ts timestamp").option("maxFilesPerTrigger", 3).parquet(source)
     out = scratch_path(t.spark, "deduped")
     once = ingest.stream_dedupe(stream, ["event_id"], "ts", "400 days")
@@ -208,7 +209,7 @@ def _(t):
     SELECT job, stage, arg_max(status, (ts, event_id)) AS status FROM stage_events GROUP BY job, stage""")
 def _(t):
     events = t.stage_events.select("event_id", C("ts").cast("timestamp").alias("ts"), "job", "stage", "status")
-    source = _files(t, events.withColumn("part", C("event_id") % 8), "stages", "part")
+    source = _files(t, events, "stages", "event_id", "events")
     stream = t.spark.readStream.schema("event_id bigint, ts timestamp, job string, stage string, status string").parquet(source)
     out = scratch_path(t.spark, "status")
 

@@ -119,3 +119,15 @@ def test_a_line_fit_hands_many_lines_to_python_at_once(spark):
     out = samples.groupBy("line_id").agg(stats.theil_sen(F.col("place"), F.col("z")).alias("slope"))
     assert [round(r.slope, 6) for r in out.collect()] == [120.0] * 6
     assert "AggregateInPandas" not in plan_of(out) and "ArrowAggregatePython" not in plan_of(out)
+
+
+def test_streamed_files_grow_in_number_not_in_size(spark):
+    class Many:
+        def __init__(self):
+            self.spark = spark
+
+        def base(self, name):
+            return spark.range(12_000_000)
+
+    path = composite._files(Many(), spark.range(5_000), "many", "id", "events")
+    assert len(spark.read.parquet(path).inputFiles()) == 12
