@@ -27,16 +27,17 @@ def tile_rows(df: DataFrame, span: float, dedupe_by: list[str], order: list[str]
 
 
 def write_tiles(df: DataFrame, path: str, span: float = SPAN_FT, dedupe_by: list[str] | None = None, files: int | None = None) -> None:
-    """Write a tiled table, partitioned by tile and in order of box centre inside it.
+    """Write a tiled table in order of tile and of box centre inside it.
 
     Ranges over tile and centre decide the files, so a crowded tile becomes several files instead of one slow task, and
-    every file covers a small box for its statistics to prune by.
+    every file covers few tiles and a small box for its statistics to prune by. Tiles have no folders of their own:
+    those would be as many as the map is large, and each a file to create and to list.
     """
     rows = tile_rows(df, span, dedupe_by or ["source_order"])
     keyed = rows.withColumn("_cx", (F.col("minx") + F.col("maxx")) / 2).withColumn("_cy", (F.col("miny") + F.col("maxy")) / 2)
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tile_x", "tile_y", "_cx", "_cy", "source_order"]
-    keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_cx", "_cy").write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(path)
+    keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_cx", "_cy").write.mode("overwrite").parquet(path)
 
 
 def read_tiles(

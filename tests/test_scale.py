@@ -131,3 +131,11 @@ def test_streamed_files_grow_in_number_not_in_size(spark):
 
     path = composite._files(Many(), spark.range(5_000), "many", "id", "events")
     assert len(spark.read.parquet(path).inputFiles()) == 12
+
+
+def test_tiles_have_no_folder_each(spark, tmp_path):
+    path = tmp_path / "tiles"
+    tiles.write_tiles(boxes(spark, 60).withColumn("source_order", F.col("id")), str(path), 10.0)
+    assert not [p for p in path.iterdir() if p.is_dir()]
+    near = tiles.read_tiles(spark, str(path), (100.0, 0.0, 112.0, 4.0), 10.0)
+    assert sorted(r.id for r in near.collect()) == [20, 21, 22]
