@@ -148,7 +148,7 @@ def fixture_heights(fixtures: DataFrame, cells: DataFrame, size: float, min_widt
     A tank has its measured top, and is skipped when that lies over a metre below the roof; a cooling tower stands as
     high as the points above the roof say, between the printable minimum and 4 m. The roof is the 30th percentile.
     """
-    on_roof = fixture_cells(fixtures, size, min_width_ft).join(cells, ["cx", "cy"])
+    on_roof = fixture_cells(fixtures, size, min_width_ft).hint("merge").join(cells, ["cx", "cy"])
     level = on_roof.groupBy("id", "kind", "measured_top_m").agg(
         F.percentile("top_m", F.lit(0.3)).alias("roof_m"), F.percentile("upper_m", F.lit(0.7)).alias("seen_m"), F.count("*").alias("cells"))
     tank = F.col("kind") == "tank"

@@ -139,3 +139,12 @@ def test_tiles_have_no_folder_each(spark, tmp_path):
     assert not [p for p in path.iterdir() if p.is_dir()]
     near = tiles.read_tiles(spark, str(path), (100.0, 0.0, 112.0, 4.0), 10.0)
     assert sorted(r.id for r in near.collect()) == [20, 21, 22]
+
+
+def test_fixture_cells_are_never_broadcast(spark):
+    square = [F.struct(F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2")) for a, b, c, d in (
+        ("minx", "miny", "maxx", "miny"), ("maxx", "miny", "maxx", "maxy"), ("maxx", "maxy", "minx", "maxy"), ("minx", "maxy", "minx", "miny"))]
+    stand = boxes(spark, 5).withColumns({"kind": F.lit("tank"), "measured_top_m": F.lit(9.0), "edges": F.array(*square)})
+    cells = spark.range(20).select(F.col("id").alias("cx"), F.lit(0).cast("bigint").alias("cy"), F.lit(3.0).alias("top_m"), F.lit(4.0).alias("upper_m"))
+    out = buildings.fixture_heights(stand, cells, 2.0, 4.0, 0.8)
+    assert out.count() == 5 and "SortMergeJoin [cx" in plan_of(out)
