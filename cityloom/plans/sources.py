@@ -95,7 +95,7 @@ def _(t):
         F.struct("doitt_id", "bin", F.when(C("id") % 5 == 0, "tall").otherwise(C("height_roof").cast("string")).alias("height_roof")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
     page = F.floor(C("id") / 250) * 250
-    pages = t.footprints.select(page.alias("page_offset"), F.struct("id", feature.alias("f")).alias("r")).groupBy("page_offset").agg(
+    pages = t.dealt(t.footprints.select(page.alias("page_offset"), F.struct("id", feature.alias("f")).alias("r")), "customer", "page_offset").groupBy("page_offset").agg(
         F.to_json(F.struct(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["f"]).alias("features"))).alias("text"))
     parsed = pages.select("page_offset", F.from_json("text", vectors.FEATURES)["features"].alias("features"))
     return vectors.features_of_pages(parsed).select("source_order", "doitt_id", "height_roof", *BOX)

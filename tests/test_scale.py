@@ -148,3 +148,9 @@ def test_fixture_cells_are_never_broadcast(spark):
     cells = spark.range(20).select(F.col("id").alias("cx"), F.lit(0).cast("bigint").alias("cy"), F.lit(3.0).alias("top_m"), F.lit(4.0).alias("upper_m"))
     out = buildings.fixture_heights(stand, cells, 2.0, 4.0, 0.8)
     assert out.count() == 5 and "SortMergeJoin [cx" in plan_of(out)
+
+
+def test_pages_of_features_are_dealt_out(spark, tmp_path):
+    folder = customers(spark, tmp_path, 25_000)
+    out = load().QUERIES["s8_ingest_feature_collection"](spark, folder)
+    assert "REPARTITION_BY_NUM" in plan_of(out) and out.count() == 25_000
