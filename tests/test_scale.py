@@ -154,3 +154,8 @@ def test_pages_of_features_are_dealt_out(spark, tmp_path):
     folder = customers(spark, tmp_path, 25_000)
     out = load().QUERIES["s8_ingest_feature_collection"](spark, folder)
     assert "REPARTITION_BY_NUM" in plan_of(out) and out.count() == 25_000
+
+
+def test_the_table_function_of_cells_gets_dealt_out_rows(spark, tmp_path):
+    folder = customers(spark, tmp_path, 25_000)
+    assert "REPARTITION_BY_NUM" in plan_of(load().QUERIES["x1_cells_of_polygon"](spark, folder))
