@@ -151,7 +151,7 @@ def deck_profiles(bridges: DataFrame, structures: DataFrame, spots: DataFrame, g
     by_spot, by_ring = spot_rows.join(enough, "way_id", "left_semi"), corners.join(enough, "way_id", "left_anti")
     fits = robust_line_fit(placed(by_spot).unionByName(placed(by_ring)), "way_id")
     rest = lines.join(touching.select("way_id").distinct(), "way_id", "left_anti")
-    around = ribbon_places(rest, size, ribbon_ft).join(ground, ["cx", "cy"]).groupBy(F.col("line_id").alias("way_id")).agg(
+    around = ribbon_places(rest, size, ribbon_ft).hint("merge").join(ground, ["cx", "cy"]).groupBy(F.col("line_id").alias("way_id")).agg(
         F.percentile("ground_m", F.lit(0.8)).alias("z"), F.count("*").alias("n"))
     source = enough.withColumn("source", F.lit("spots"))
     fitted = fits.join(source, "way_id", "left").select("way_id", "start_z", "end_z", "samples", "rejected", F.coalesce("source", F.lit("structure")).alias("source"))

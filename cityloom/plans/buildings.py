@@ -114,7 +114,7 @@ def height_inputs(t):
     roofs = ops.roof_surface(surfaces(t), 4.0).withColumn("roof_m", C("roof_m") - 20)
     prints = spatial.rasterize(t.polygons, 4.0).withColumnRenamed("id", "fid")
     domain = prints.select("cx", "cy").unionByName(roofs.select("cx", "cy")).distinct()
-    cells = cut(domain.join(prints, ["cx", "cy"], "left").withColumn("ground_m", ground_of()), "cells")
+    cells = cut(domain.join(prints.hint("merge"), ["cx", "cy"], "left").withColumn("ground_m", ground_of()), "cells")
     return cells, t.footprints.select(C("id").alias("fid"), (C("height_roof") / 6).alias("recorded_m")), cut(roofs, "roofs"), cut(parts(t), "parts")
 
 

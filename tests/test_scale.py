@@ -159,3 +159,10 @@ def test_pages_of_features_are_dealt_out(spark, tmp_path):
 def test_the_table_function_of_cells_gets_dealt_out_rows(spark, tmp_path):
     folder = customers(spark, tmp_path, 25_000)
     assert "REPARTITION_BY_NUM" in plan_of(load().QUERIES["x1_cells_of_polygon"](spark, folder))
+
+
+def test_samples_of_lines_are_merged_with_cells(spark):
+    line = spark.createDataFrame([(1, 0, 0.0, 0.0, 80.0, 0.0)], "line_id long, pos int, x1 double, y1 double, x2 double, y2 double")
+    cells = spark.range(20).select(F.col("id").alias("cx"), F.lit(0).cast("bigint").alias("cy"), F.lit(1).alias("cls"))
+    out = spatial.sample_lines(line, cells, 4.0)
+    assert out.count() == 20 and "SortMergeJoin [cx" in plan_of(out)
