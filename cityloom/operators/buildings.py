@@ -143,12 +143,22 @@ def fixture_cells(fixtures: DataFrame, size: float, min_width_ft: float) -> Data
 
 
 def fixture_heights(fixtures: DataFrame, cells: DataFrame, size: float, min_width_ft: float, minimum_m: float) -> DataFrame:
-    """Top of each roof fixture: ``cells`` are building cells with ``top_m, upper_m``.
+    """Top of each roof fixture: ``cells`` are building cells with ``top_m, upper_m``."""
+    return fixture_levels(fixtures_on_roofs(fixtures, cells, size, min_width_ft), minimum_m)
+
+
+def fixtures_on_roofs(fixtures: DataFrame, cells: DataFrame, size: float, min_width_ft: float) -> DataFrame:
+    """The cells of each fixture that ``cells`` hold. Fixtures look small before they are cut into cells, so both are merged."""
+    drawn = fixture_cells(fixtures, size, min_width_ft).select("id", "kind", "measured_top_m", "cx", "cy")
+    return drawn.hint("merge").join(cells, ["cx", "cy"])
+
+
+def fixture_levels(on_roof: DataFrame, minimum_m: float) -> DataFrame:
+    """Top of each fixture from its cells ``on_roof``.
 
     A tank has its measured top, and is skipped when that lies over a metre below the roof; a cooling tower stands as
     high as the points above the roof say, between the printable minimum and 4 m. The roof is the 30th percentile.
     """
-    on_roof = fixture_cells(fixtures, size, min_width_ft).hint("merge").join(cells, ["cx", "cy"])
     level = on_roof.groupBy("id", "kind", "measured_top_m").agg(
         F.percentile("top_m", F.lit(0.3)).alias("roof_m"), F.percentile("upper_m", F.lit(0.7)).alias("seen_m"), F.count("*").alias("cells"))
     tank = F.col("kind") == "tank"

@@ -231,8 +231,8 @@ def _(t):
     return paint.yield_counts(paint.paint_priority(*painted_layers(t))).select("trails_yielded")
 
 
-def stair_runs(t):
-    s = way_segments(t).where(C("line_id") % 10 == 7)
+def stair_runs(t, segments=None):
+    s = (way_segments(t) if segments is None else segments).where(C("line_id") % 10 == 7)
     return s.join(s.groupBy("line_id").agg(F.sum("length").alias("line_length")), "line_id")
 
 

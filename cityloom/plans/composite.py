@@ -53,6 +53,13 @@ DRAWN = {
     "trail_decks": ("drawn = 'deck' AND cls = 'trail'", 10.0), "tunnels": ("drawn = 'none' AND startswith(grade, 'tunnel:')", 12.0)}
 
 
+def fixed_cells(stand, on_roofs):
+    """Roof cells that fixtures stand on, with the highest top; which cells those are is worked out once."""
+    on_roof = cut(buildings.fixtures_on_roofs(stand, on_roofs, CELL_FT, 20.0), "on-roof")
+    tops = buildings.fixture_levels(on_roof, 0.8).where("top_m IS NOT NULL").select("id", C("top_m").alias("fixture_m"))
+    return on_roof.join(tops.hint("merge"), "id").groupBy("cx", "cy").agg(F.max("fixture_m").alias("top_m"))
+
+
 def material_fields(t):
     """Material and printed heights per cell from all layers of the map.
 
@@ -62,10 +69,11 @@ def material_fields(t):
     ground = cut(t.landcover.withColumn("ground_m", ground_of()), "ground")
     base = ground.select("cx", "cy", "ground_m")
     lifted = lambda cells, material, lift: cells.select("cx", "cy").join(base, ["cx", "cy"]).select("cx", "cy", F.lit(material).alias("material"), (C("ground_m") + lift).alias("top_m"))
-    routes = road_symbols(t).select("way_id", "cls", "drawn", "grade")
+    segments = cut(way_segments(t), "segments")
+    routes = road_symbols(t, segments).select("way_id", "cls", "drawn", "grade")
     kind = F.coalesce(*[F.when(F.expr(cond), name) for name, (cond, _) in DRAWN.items()])
     width = F.create_map(*[F.lit(x) for name, (_, feet) in DRAWN.items() for x in (name, feet)])[C("kind")]
-    lines = cut(way_segments(t).join(routes.withColumn("kind", kind).where("kind IS NOT NULL"), C("line_id") == C("way_id")).withColumn("width_ft", width), "lines")
+    lines = cut(segments.join(routes.withColumn("kind", kind).where("kind IS NOT NULL"), C("line_id") == C("way_id")).withColumn("width_ft", width), "lines")
     ribbons = cut(roads.road_ribbons(lines, CELL_FT, ["kind"]), "ribbons")
     drawn = lambda *names: ribbons.where(C("kind").isin(*names)).select("cx", "cy")
     seen = cut(binned(t), "binned")
@@ -88,10 +96,8 @@ def material_fields(t):
         t.footprints.select(C("id").alias("fid"), (C("height_roof") / 6).alias("recorded_m")), cut(roofs, "roofs"), cut(massing, "parts")), "heights")
     upper = seen.select("cx", "cy", (C("upper_m") / 2).alias("upper_m"))
     on_roofs = heights.join(upper, ["cx", "cy"], "left").select("cx", "cy", "top_m", "upper_m")
-    stand = fixtures(t)
-    tops = buildings.fixture_heights(stand, on_roofs, CELL_FT, 20.0, 0.8).where("top_m IS NOT NULL").select("id", C("top_m").alias("fixture_m"))
-    fixed = buildings.fixture_cells(stand, CELL_FT, 20.0).join(tops, "id").join(on_roofs.select("cx", "cy"), ["cx", "cy"]).groupBy("cx", "cy").agg(F.max("fixture_m").alias("top_m"))
-    treads, _ = paint.stair_treads(stair_runs(t), base, prints.select("cx", "cy"), ground.where(C("cls") == 4).select("cx", "cy"), drawn("roads", "road_decks", "trail_decks"),
+    fixed = fixed_cells(fixtures(t), on_roofs)
+    treads, _ = paint.stair_treads(stair_runs(t, segments), base, prints.select("cx", "cy"), ground.where(C("cls") == 4).select("cx", "cy"), drawn("roads", "road_decks", "trail_decks"),
                                    size=CELL_FT, width_ft=12.0, mm_per_ft=0.0762, mm_per_m=0.375, relief_m=0.5)
 
     green = cut(regions.vegetated_ground(t.landcover, tile=64), "green")

@@ -159,10 +159,11 @@ def _(t):
     return roads.carried_structures(ways, t.polygons, 64.0).select("way_id", "polygon_id", "kept")
 
 
-def road_symbols(t):
-    """Routes with class, drawing and width: the street part of a map."""
-    s = way_segments(t)
-    routes = _ways(t).join(spatial.line_support(s, t.polygons, 64.0), C("way_id") == C("line_id")).withColumn(
+def road_symbols(t, segments=None):
+    """Routes with class, drawing and width: the street part of a map. ``segments`` are the ways' own, already written."""
+    s = cut(way_segments(t), "segments") if segments is None else segments  # read four times below, each time with its windows if not written
+    routes = _ways(t).join(spatial.line_support(s, t.polygons, 64.0), C("way_id") == C("line_id"))
+    routes = t.dealt(routes, "customer", "way_id").withColumn(  # few bytes, but a long rule for each
         "v", tg.classify_highway(C("highway"), C("tags"), C("support"))).withColumn("route_key", tg.route_key(C("tags"), C("way_id")))
     routes = routes.select(
         "way_id", "highway", "tags", "route_key", "support", C("v.cls").alias("cls"), tg.grade_key(C("tags")).alias("grade"), (C("length") * MM_PER_FT).alias("length_mm"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cityloom.operators import buildings, roads, spatial, stats
 from cityloom.plans import composite, load
+from cityloom.plans import roads as plan_roads
 from cityloom.sources import printlogs, tiles
 from cityloom.sources.derived import Inputs
 from cityloom.streaming import ingest
@@ -166,3 +167,24 @@ def test_samples_of_lines_are_merged_with_cells(spark):
     cells = spark.range(20).select(F.col("id").alias("cx"), F.lit(0).cast("bigint").alias("cy"), F.lit(1).alias("cls"))
     out = spatial.sample_lines(line, cells, 4.0)
     assert out.count() == 20 and "SortMergeJoin [cx" in plan_of(out)
+
+
+def test_fixture_cells_of_the_map_are_worked_out_once_and_merged(spark):
+    square = [F.struct(F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2")) for a, b, c, d in (
+        ("minx", "miny", "maxx", "miny"), ("maxx", "miny", "maxx", "maxy"), ("maxx", "maxy", "minx", "maxy"), ("minx", "maxy", "minx", "miny"))]
+    stand = boxes(spark, 9).withColumns({"kind": F.lit("tank"), "measured_top_m": 9.0 + F.col("id"), "edges": F.array(*square)})
+    roofs = spark.range(-4, 8).select(F.col("id").alias("cx"), F.lit(0).cast("bigint").alias("cy"), F.lit(3.0).alias("top_m"), F.lit(4.0).alias("upper_m"))
+    out = composite.fixed_cells(stand, roofs)
+    assert "exists(" not in plan_of(out) and "SortMergeJoin [id" in plan_of(out)
+    tops = buildings.fixture_heights(stand, roofs, 8.0, 20.0, 0.8).select("id", F.col("top_m").alias("fixture_m"))
+    want = buildings.fixture_cells(stand, 8.0, 20.0).join(tops, "id").join(roofs.select("cx", "cy"), ["cx", "cy"]).groupBy("cx", "cy").agg(F.max("fixture_m").alias("top_m"))
+    assert sorted(out.collect()) == sorted(want.collect()) != []
+
+
+def test_street_symbols_read_written_segments(spark, tmp_path):
+    folder = customers(spark, tmp_path, 40)
+    spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") % 40 + 1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"),
+                            F.current_timestamp().alias("o_orderdate"), F.lit("1").alias("o_orderpriority")).write.parquet(f"{folder}/orders.parquet")
+    once = plan_roads.way_segments(Inputs(spark, folder))
+    out = plan_roads.road_symbols(Inputs(spark, folder), once.limit(0))
+    assert out.count() == 0 and plan_roads.road_symbols(Inputs(spark, folder)).count() == 40
