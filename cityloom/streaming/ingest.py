@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,39 +95,81 @@ def stream_dedupe(stream: DataFrame, keys: list[str], time: str, within: str) ->
 
 
 STATUS_OUT = "job string, stage string, status string, started timestamp, seconds double"
-STATUS_STATE = "status string, started timestamp, seconds double, seen timestamp, seen_id long"
+STATUS_KEPT = ["job", "stage", "status", "started", "seconds", "seen", "seen_id"]
+STATUS_STATE = "job array<string>, stage array<string>, status array<string>, started array<bigint>, seconds array<double>, seen array<bigint>, seen_id array<bigint>"
+NEVER = 2**63 - 1
 
 
-def stream_stage_status(events: DataFrame, patience_minutes: int, lateness: str = "1 hour") -> DataFrame:
+def stream_stage_status(events: DataFrame, patience_minutes: int, lateness: str = "1 hour", buckets: int = 4096) -> DataFrame:
     """Latest status of every stage of every job with its elapsed seconds; a running stage nobody ends is ``overdue``.
 
-    State per stage is one small row. Events of a batch are taken in time order whatever batch brings them.
+    Stages share ``buckets`` by a hash, so Python is called for a bucket and not for every stage; state is one small
+    entry per stage. Events of a batch are taken in time order whatever batch brings them; one without a time is last.
     """
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, started, seconds, seen, seen_id = state.get
+        known = pd.DataFrame(dict(zip(STATUS_KEPT, state.get)) if state.exists else {c: [] for c in STATUS_KEPT}, dtype=object)
+        fresh = [] if state.hasTimedOut else [rows for rows in batches if len(rows)]
+        told, known = fold_status(known, pd.concat(fresh)) if fresh else (None, known)
+        now = state.getCurrentWatermarkMs()
+        due = [int(at) // 1000 + patience_minutes * 60_000 if status == "running" and at is not None and at != NEVER else NEVER
+               for status, at in zip(known["status"], known["started"])]
+        late = np.array([d <= now for d in due], dtype=bool)
+        if told is not None:
+            late &= ~known["_told"].to_numpy(dtype=bool)
+        overdue = known[late].assign(status="overdue")
+        known, waiting = known[~late], [d for d, gone in zip(due, late) if not gone and d != NEVER]
+        if len(known):
+            state.update(tuple(known[c].tolist() for c in STATUS_KEPT))
+            if waiting:
+                state.setTimeoutTimestamp(max(min(waiting), now + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([{"job": key[0], "stage": key[1], "status": "overdue", "started": started, "seconds": seconds}])
-            return
-        status, started, seconds, seen, seen_id = state.get if state.exists else (None, None, None, None, None)
-        for rows in batches:
-            for row in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
-                if seen is not None and (row.ts, row.event_id) <= (pd.Timestamp(seen), seen_id):
-                    continue
-                if row.status == "running":
-                    started, seconds = row.ts, None
-                elif status == "running" and started is not None:
-                    seconds = (row.ts - pd.Timestamp(started)).total_seconds()
-                status, seen, seen_id = row.status, row.ts, row.event_id
-        state.update((status, started, seconds, seen, seen_id))
-        if status == "running":
-            due = int(pd.Timestamp(started).timestamp() * 1000) + patience_minutes * 60_000
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame([{"job": key[0], "stage": key[1], "status": status, "started": started, "seconds": seconds}])
-
-    marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("job", "stage").applyInPandasWithState(follow, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        out = overdue if told is None else pd.concat([told, overdue]) if len(overdue) else told
+        started = pd.to_datetime([None if at is None or at == NEVER else at for at in out["started"]], unit="us", utc=True)
+        yield pd.DataFrame({"job": out["job"].array, "stage": out["stage"].array, "status": out["status"].array, "started": started,
+                            "seconds": out["seconds"].to_numpy(dtype=float, na_value=np.nan)}).astype({"seconds": "Float64"})
+
+    # the time itself goes along as it carries the watermark
+    marked = events.withWatermark("ts", lateness).select(
+        "ts", "job", "stage", "status", "event_id", F.coalesce(F.unix_micros("ts"), F.lit(NEVER)).alias("at"),
+        F.pmod(F.xxhash64("job", "stage"), F.lit(buckets)).alias("bucket"))
+    return marked.groupBy("bucket").applyInPandasWithState(follow, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def fold_status(known: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The entries of the stages that ``rows`` name, and all entries with those renewed; ``_told`` marks them.
+
+    A stage's last event counts as one of its rows. Rows that are not later than it are left out. The time a stage has
+    run is that from its last start to the event after it.
+    """
+    n = len(known)
+    events = pd.concat([known.rename(columns={"seen": "at", "seen_id": "event_id"}), rows], ignore_index=True)
+    code = events.groupby(["job", "stage"], sort=False, dropna=False).ngroup().to_numpy()  # those known come first, as they stand
+    at, event = events["at"].to_numpy(dtype=np.int64), events["event_id"].to_numpy(dtype=np.int64)
+    before = code < n
+    prior = np.where(before, code, 0)
+    later = ~before | (at > at[prior]) | ((at == at[prior]) & (event > event[prior]))
+    later[:n] = True
+    order = np.flatnonzero(later)
+    order = order[np.lexsort((event[order], at[order], code[order]))]
+    code_in, running = code[order], (events["status"].to_numpy()[order] == "running")
+    stages = int(code.max()) + 1
+    last, start = np.zeros(stages, np.int64), np.full(stages, -1, np.int64)
+    last[code_in] = np.arange(len(order))
+    start[code_in[running]] = np.flatnonzero(running)
+    newest = events.iloc[order[last]]
+    ended = start < last
+    after = np.where(ended, start + 1, 0)
+    seconds = (at[order[after]] - at[order[start]]) / 1e6
+    old = lambda name: known[name].tolist() + [None] * (stages - n)
+    started = [int(at[order[s]]) if s >= 0 else o for s, o in zip(start, old("started"))]
+    took = [o if s < 0 else float(v) if e else None for s, e, v, o in zip(start, ended, seconds, old("seconds"))]
+    touched = np.zeros(stages, dtype=bool)
+    touched[code[n:]] = True
+    all_ = pd.DataFrame({
+        "job": newest["job"].tolist(), "stage": newest["stage"].tolist(), "status": newest["status"].tolist(), "started": started, "seconds": took,
+        "seen": at[order[last]].tolist(), "seen_id": event[order[last]].tolist(), "_told": touched}, dtype=object)
+    return all_[touched], all_
 
 
 def refresh_tiles(df: DataFrame, path: str, config: str) -> DataFrame:

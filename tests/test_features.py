@@ -5,6 +5,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,3 +359,28 @@ def test_silent_stage_becomes_overdue(spark, folder):
     run()
     rows = {(r.stage, r.status): r.seconds for r in spark.read.parquet(out + "/rows").collect()}
     assert rows[("mesh", "completed")] == 600.0 and ("slice", "overdue") in rows and ("mesh", "overdue") not in rows
+
+
+def test_stages_share_python_calls(spark, folder):
+    """Whole buckets are folded at once, in time order over batches, and equal an event-by-event fold."""
+    import random
+    rng = random.Random(3)
+    known, want, number = pd.DataFrame({c: [] for c in ingest.STATUS_KEPT}, dtype=object), {}, 0
+    for batch in range(20):
+        rows = []
+        for _ in range(30):
+            number += 1
+            rows.append((rng.choice("abcd"), rng.choice(["x", "y", None]), rng.choice(["running", "completed", "failed"]), rng.randint(0, 20) + batch * rng.randint(3, 8), number))
+        for job, stage, status, at, event in sorted(rows, key=lambda r: (r[3], r[4])):
+            now, started, seconds, seen, seen_id = want.get((job, stage), (None, None, None, -1, -1))
+            if (at, event) <= (seen, seen_id):
+                continue
+            if status == "running":
+                started, seconds = at, None
+            elif now == "running":
+                seconds = (at - started) / 1e6
+            want[job, stage] = (status, started, seconds, at, event)
+        told, known = ingest.fold_status(known, pd.DataFrame(rows, columns=["job", "stage", "status", "at", "event_id"]))
+        assert {(r.job, r.stage) for r in told.itertuples()} == {r[:2] for r in rows}
+        known = known[ingest.STATUS_KEPT]
+        assert {(r.job, r.stage): (r.status, r.started, r.seconds, r.seen, r.seen_id) for r in known.itertuples()} == want
