@@ -164,7 +164,9 @@ def _(t):
       LATERAL (SELECT unnest(range(CAST(floor(p.miny/2) AS BIGINT), CAST(floor(p.maxy/2) AS BIGINT) + 1)) AS cy) q, LATERAL (SELECT cx*2 + 1.0e0 AS px, cy*2 + 1.0e0 AS py) c JOIN edges e ON e.id = p.id GROUP BY p.id, cx, cy, px, py HAVING {CROSSED}) r GROUP BY id""")
 def _(t):
     tables.register(t.spark)
-    return t.spark.sql("SELECT id, count(*) AS cells, sum(cx) AS sum_cx, sum(cy) AS sum_cy FROM {polygons} p, LATERAL cells_of_polygon(p.edges, 2.0D) GROUP BY id", polygons=t.polygons)
+    return t.spark.sql("""
+        SELECT id, count(*) AS cells, sum(cx) AS sum_cx, sum(cy) AS sum_cy
+        FROM {polygons} p LATERAL VIEW inline(cell_runs(p.edges, 2.0D)) r AS cy, low, high LATERAL VIEW explode(sequence(low, high)) c AS cx GROUP BY id""", polygons=t.polygons)
 
 
 @query("x2_densify", f"""

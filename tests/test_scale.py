@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cityloom.functions import tables
 from cityloom.operators import buildings, roads, spatial, stats
 from cityloom.plans import composite, load
 from cityloom.plans import roads as plan_roads
@@ -188,3 +190,16 @@ def test_street_symbols_read_written_segments(spark, tmp_path):
     once = plan_roads.way_segments(Inputs(spark, folder))
     out = plan_roads.road_symbols(Inputs(spark, folder), once.limit(0))
     assert out.count() == 0 and plan_roads.road_symbols(Inputs(spark, folder)).count() == 40
+
+
+def test_cell_runs_of_many_outlines_equal_the_table_function(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    ring = lambda p: [dict(zip(("x1", "y1", "x2", "y2"), (*map(float, a), *map(float, b)))) for a, b in zip(p, np.roll(p, -1, axis=0))]
+    outlines = [ring(rng.integers(-40, 40, (n, 2)) / 4) for n in (3, 4, 5, 9, 30)] + [None, []]
+    outlines.insert(2, ring(rng.integers(-40, 40, (4, 2)) / 4)[:3])  # left open: its neighbours must not suffer
+    for size in (0.5, 2.0):
+        runs = tables.cell_runs(pa.array(outlines, pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))), pa.array([size] * len(outlines)))
+        got = [[(x, r["cy"]) for r in line for x in range(r["low"], r["high"] + 1)] for line in runs.to_pylist()]
+        assert got == [list(tables.CellsOfPolygon().eval(o, size)) for o in outlines]
+    plan = plan_of(load().QUERIES["x1_cells_of_polygon"](spark, customers(spark, tmp_path, 25)))
+    assert "PythonUDTF" not in plan and "cell_runs" in plan
