@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cityloom.functions import tables
-from cityloom.operators import buildings, roads, spatial, stats
+from cityloom.operators import buildings, ordered, roads, spatial, stats
 from cityloom.plans import composite, load
 from cityloom.plans import roads as plan_roads
 from cityloom.sources import printlogs, tiles
@@ -203,3 +203,9 @@ def test_cell_runs_of_many_outlines_equal_the_table_function(spark, tmp_path):
         assert got == [list(tables.CellsOfPolygon().eval(o, size)) for o in outlines]
     plan = plan_of(load().QUERIES["x1_cells_of_polygon"](spark, customers(spark, tmp_path, 25)))
     assert "PythonUDTF" not in plan and "cell_runs" in plan
+
+
+def test_spans_that_tie_are_counted_in_the_island_they_lie_in(spark):
+    rows = [(1, 0.0, 1.0)] * 3 + [(1, 5.0, 6.0)] * 4 + [(1, 5.5, 7.0), (2, 5.0, 6.0)]
+    spans = spark.createDataFrame(rows, "route int, s double, e double")
+    assert sorted(tuple(r) for r in ordered.merge_spans(spans, "route", "s", "e", 2.0).collect()) == [(1, 0.0, 1.0, 3), (1, 5.0, 7.0, 5), (2, 5.0, 6.0, 1)]
