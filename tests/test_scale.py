@@ -209,3 +209,10 @@ def test_spans_that_tie_are_counted_in_the_island_they_lie_in(spark):
     rows = [(1, 0.0, 1.0)] * 3 + [(1, 5.0, 6.0)] * 4 + [(1, 5.5, 7.0), (2, 5.0, 6.0)]
     spans = spark.createDataFrame(rows, "route int, s double, e double")
     assert sorted(tuple(r) for r in ordered.merge_spans(spans, "route", "s", "e", 2.0).collect()) == [(1, 0.0, 1.0, 3), (1, 5.0, 7.0, 5), (2, 5.0, 6.0, 1)]
+
+
+def test_points_along_lines_need_no_python_call_for_each(spark, tmp_path):
+    folder = customers(spark, tmp_path, 4)
+    spark.range(40).select(F.col("id").alias("o_orderkey"), (F.col("id") % 4 + 1).alias("o_custkey"), F.current_timestamp().alias("o_orderdate")).write.parquet(f"{folder}/orders.parquet")
+    out = load().QUERIES["x2_densify"](spark, folder)
+    assert "Python" not in plan_of(out) and out.count() == 4
