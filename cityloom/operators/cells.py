@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import once
 from ..functions.lattice import FT, cell_of, floor_div
 from ..functions.levels import elevation_to_mm
 
@@ -18,6 +19,8 @@ from ..functions.levels import elevation_to_mm
 GROUND_CLASS = 2
 UPPER_CLASSES = [1, 2, 17, 25]
 LAND_COVER_CLASSES = list(range(0, 9))
+TILE_BITS = 6
+TILE = 1 << TILE_BITS
 
 
 def point_class(raw: Column, extended: Column) -> Column:
@@ -195,6 +198,17 @@ def relative_heights_mm(cells: DataFrame, origin_m: float, scale: float, vertica
     return cells.withColumn("ground_mm", ground).withColumn("surface_mm", ground + above)
 
 
+def cell_tiles(cells: DataFrame) -> DataFrame:
+    """Cells as bits, in tiles of 64 by 64: ``_rows`` holds a number for each row of ``_tx, _ty``, with a bit for each cell."""
+    row = cells.groupBy(
+        F.shiftright("cx", TILE_BITS).alias("_tx"), F.shiftright("cy", TILE_BITS).alias("_ty"), F.col("cy").bitwiseAND(TILE - 1).cast("int").alias("_row"),
+    ).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cx").bitwiseAND(TILE - 1).cast("int"))).alias("_bits"))
+    tiles = row.groupBy("_tx", "_ty").agg(F.collect_list(F.struct("_row", "_bits")).alias("_found"))
+    tiles = once(tiles, "_by_row", F.map_from_entries("_found"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(TILE - 1)), lambda r: F.coalesce(F.try_element_at("_by_row", r), F.lit(0).cast("bigint")))
+    return tiles.select("_tx", "_ty", bits.alias("_rows"))
+
+
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per value of each named column, as one long table; the table is read once."""
     values = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols])

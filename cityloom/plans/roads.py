@@ -112,7 +112,7 @@ FIRST = "CAST(ceil((({at} - which*reach)/total - 0.1e0)/0.8e0*(n - 1) - 1e-9) AS
     w AS (SELECT line_id, i, run, min(abs(k)) AS nearest, count(*) AS cells FROM h GROUP BY 1, 2, 3)
     SELECT line_id, i AS place, round(max(cells)*4*{FOOT}, 6) AS width_m FROM w WHERE nearest*4 <= 1.5e0/{FOOT} GROUP BY 1, 2 HAVING max(cells)*4*{FOOT} BETWEEN 2.5 AND 60""")
 def _(t):
-    return roads.road_width_samples(_measured(t), spatial.rasterize(t.polygons, 4.0), 4.0).withColumn("width_m", F.round("width_m", 6))
+    return roads.road_width_samples(_measured(t), spatial.cells_of_polygons(t.polygons, 4.0, []), 4.0).withColumn("width_m", F.round("width_m", 6))
 
 
 @query("r24_road_ribbons", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cityloom.functions import tables
@@ -245,3 +246,35 @@ def test_a_line_fit_shuffles_its_samples_once(spark):
         ends = np.clip([start, start + slope], z.min() - edge, z.max() + edge)
         assert np.allclose([got[n].start_z, got[n].end_z], ends)
         assert (got[n].samples, got[n].rejected, got[n].method) == (len(z), n - len(z), "fitted")
+
+
+def test_a_road_width_meets_tiles_of_roadbed(spark):
+    rng = np.random.default_rng(20)
+    ends = [(-300.0, 5.0, 300.0, 5.0), (7.0, -250.0, 7.0, 250.0)] + [tuple(map(float, rng.uniform(-300, 300, 4))) for _ in range(30)]
+    lines = [(n, 0, *e, 0.0, float(np.hypot(e[2] - e[0], e[3] - e[1]))) for n, e in enumerate(ends)]
+    segments = spark.createDataFrame([(*row, row[-1]) for row in lines], "line_id int, pos int, x1 double, y1 double, x2 double, y2 double, start_length double, length double, line_length double")
+    for size, share in ((1.0, 0.9), (4.0, 0.7)):
+        side = int(500 / size)
+        bed = {(int(x), int(y)) for x, y in np.argwhere(rng.random((2 * side, 2 * side)) < share) - side if abs(x) * size < 330}
+        cells = spark.createDataFrame(pd.DataFrame(sorted(bed), columns=["cx", "cy"]))
+        out = roads.road_width_samples(segments, cells, size)
+        assert "Join [_tx" in plan_of(out) and "Join [cx" not in plan_of(out)
+        got = {(r.line_id, r.place): r.width_m for r in out.collect()}
+        foot, want = 0.3048006096012192, {}
+        steps = int(60 / foot / size)
+        for n, _, x1, y1, x2, y2, _, total in lines:
+            places = min(max(int(np.ceil(total / (15 / foot))), 3), 30)
+            ux, uy = (x2 - x1) / total, (y2 - y1) / total
+            for i in range(places):
+                at = (0.1 + i * 0.8 / (places - 1)) * total
+                runs, run = [], []
+                for k in range(-steps, steps + 2):
+                    cell = (int(np.floor((x1 + ux * at - uy * k * size) / size)), int(np.floor((y1 + uy * at + ux * k * size) / size)))
+                    if k <= steps and cell in bed:
+                        run.append(k)
+                    elif run:
+                        runs, run = [*runs, run], []
+                wide = [len(r) * size * foot for r in runs if min(map(abs, r)) * size <= max(1.5 / foot, size / 2)]
+                if wide and 2.5 <= max(wide) <= 60:
+                    want[n, i] = max(wide)
+        assert got == pytest.approx(want) and len(want) > 50
